@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, langid, secret_scan, shards, simhash
+from . import ann, common, html_text, langid, secret_scan, shards, simhash, token_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,16 @@ def op4_learned_partition_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_codes.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, fold=0))
@@ -43,6 +53,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_secret_scan,
         op3_hypergeometric_sharding,
         op4_learned_partition_ann,
+        op7_token_codes,
+        op8_html_main_text,
         op9_language_id,
     )
     return {f.__name__: f for f in named}
