@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, html_text, langid, secret_scan, shards, simhash, token_codes
+from . import ann, common, decontaminate, html_text, langid, pieces, secret_scan, shards, simhash, token_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,16 @@ def op4_learned_partition_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pieces.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -53,6 +63,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_secret_scan,
         op3_hypergeometric_sharding,
         op4_learned_partition_ann,
+        op5_sentencepiece,
+        op6_benchmark_decontamination,
         op7_token_codes,
         op8_html_main_text,
         op9_language_id,
