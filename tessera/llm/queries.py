@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, common, decontaminate, html_text, langid, pieces, secret_scan, shards, simhash, token_codes
+from . import ann, common, decontaminate, html_text, langid, ngram_lm, pieces, secret_scan, shards, simhash, token_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", common.in_fold(F.col("doc_id"), 0).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op10_bloom_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_simhash_near_dedup,
@@ -68,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op7_token_codes,
         op8_html_main_text,
         op9_language_id,
+        op10_bloom_lm_scores,
     )
     return {f.__name__: f for f in named}
 
