@@ -42,7 +42,7 @@ from .common import new_folder
 
 END = 2
 FILE_TOKENS = 2_000_000
-CACHED_WORDS = 800_000
+CACHED_WORDS = 1_000_000
 MAGIC = b"TDAC0001"
 BLOCK = 512  # bits of a bitmap for each entry of its directory
 
@@ -64,19 +64,34 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.later: dict[str, bytes] = {}
+        self.marks = dict(zip(".,;:!?", self._encode(list(".,;:!?"))))
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in (x or "" for x in texts)]
-        if len(self.later) > CACHED_WORDS:
-            self.later.clear()
-        new = list({w for words in cut for w in words[1:] if w not in self.later})
-        self.later.update(zip(new, self._encode([" " + w for w in new])))
+        fresh = self._learn({w for words in cut for w in words[1:] if w not in self.later})
+        if len(self.later) + len(fresh) <= CACHED_WORDS:
+            self.later.update(fresh)
+            fresh = {}
+        # the words met first stay; when there are enough, others are encoded each time
+        known, rest = self.later.get, fresh.get
         heads = self._encode([words[0] for words in cut])
+        if fresh:
+            return [np.frombuffer(head + b"".join([known(w) or rest(w) for w in words[1:]]), "<u4") for head, words in zip(heads, cut)]
         return [np.frombuffer(head + b"".join(map(self.later.__getitem__, words[1:])), "<u4") for head, words in zip(heads, cut)]
 
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words after a space; one mark after letters is a pre-token of its own."""
+        stems = {w: w[:-1] if w[-1] in self.marks and w[:-1].isalpha() else w for w in words}
+        new = list({s for s in stems.values() if s not in self.later})
+        fresh = dict(zip(new, self._encode([" " + s for s in new])))
+        for w, stem in stems.items():
+            if w != stem:
+                fresh[w] = (self.later.get(stem) or fresh[stem]) + self.marks[w[-1]]
+        return fresh
+
 
 def pack(ids: np.ndarray) -> bytes:
     """The levels of directly addressable codes of the ids."""

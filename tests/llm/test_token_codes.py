@@ -35,6 +35,13 @@ def test_words_kept_apart_encode_as_whole_texts(text):
     assert encoder([text])[0].tolist() == plain(text)
 
 
+def test_ids_do_not_depend_on_the_words_kept(monkeypatch):
+    monkeypatch.setattr(C, "CACHED_WORDS", 6)
+    encoder = C.Encoder(PATH)
+    for text in ("one two, three two. four", "five six! seven; two, eight x1. ?? a.b", "one nine: ten, nine"):
+        assert encoder([text, text])[1].tolist() == plain(text)
+
+
 def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(4)
     texts = dict(docs.select("doc_id", "text").collect())
