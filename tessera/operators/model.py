@@ -74,7 +74,7 @@ def knn_predict(train_rows: DataFrame, asked: DataFrame, features: list[str], la
     """Mean label of the k nearest training rows: queries against all rows, in blocks that each keep k."""
     distance = F.sqrt(sum(F.pow(F.col(f"a.{c}") - F.col(f"t.{c}"), 2) for c in features))
     rows = train_rows.withColumn("_b", F.pmod(F.xxhash64(*features), F.lit(blocks))).alias("t")
-    queries = asked.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")).alias("a")
+    queries = asked.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).alias("a")
     pairs = queries.join(rows, F.col("a._b") == F.col("t._b")).select(F.col(f"a.{key}").alias(key), "a._b", distance.alias("d"), F.col(f"t.{label}").alias("y"))
     best = lambda keys: F.row_number().over(W.partitionBy(*keys).orderBy("d", "y"))
     near = pairs.withColumn("n", best([key, "_b"])).filter(F.col("n") <= k).withColumn("n", best([key])).filter(F.col("n") <= k)

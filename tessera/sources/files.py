@@ -27,7 +27,7 @@ def read_keyed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
-    df.write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"')
+    df.write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
