@@ -1,42 +1,14 @@
-"""What the operators of this subpackage share: the shared folder, lineage cuts and Arrow mapping."""
+"""What the operators of this subpackage share: Arrow mapping, folds, and the shared folder of the session."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and every executor can reach.
-
-    It is ``spark.checkpoint.dir`` of the session; a folder of this machine is
-    set only where that is unset, as in tests.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
-    return named or context.getCheckpointDir().rsplit("/", 1)[0]
-
-
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """Path of a folder below the shared one that nothing else uses."""
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df``, computed once and read back from the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
+from ..session import cut, new_folder, shared_dir  # noqa: F401
 
 
 def map_rows(
