@@ -21,10 +21,12 @@ other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,29 +94,38 @@ def _shared_bytes(difference: Column) -> Column:
     return sum(((difference.bitwiseAND(F.lit(_byte_mask([p])))) == 0).cast("int") for p in range(8))
 
 
-@F.pandas_udf(T.ArrayType(T.StructType().add("u", T.LongType()).add("v", T.LongType())))
-def _list_links(lists: pd.Series) -> pd.Series:
+def _list_links(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a bounded posting list, edges that connect what its links connect."""
-    out = []
-    for members in lists:
-        values = np.unique(np.asarray(members, dtype=np.int64)).view(np.uint64)
-        rest = np.ones(len(values), bool)
-        edges = []
-        for seed in range(len(values)):
-            if not rest[seed]:
-                continue
-            rest[seed] = False
-            frontier = np.array([seed])
-            while len(frontier) and rest.any():
-                other = np.flatnonzero(rest)
-                differ = values[frontier][:, None] ^ values[other][None, :]
-                tally = (differ.reshape(-1, 1).view(np.uint8) == 0).sum(axis=1).reshape(differ.shape)
-                linked = ((tally >= MIN_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)).any(axis=0)
-                frontier = other[linked]
-                rest[frontier] = False
-                edges += [{"u": int(values[f].view(np.int64)), "v": int(values[seed].view(np.int64))} for f in frontier]
-        out.append(edges)
-    return pd.Series(out)
+    values = np.unique(members).view(np.uint64)
+    rest = np.ones(len(values), bool)
+    u, v = [], []
+    for seed in range(len(values)):
+        if not rest[seed]:
+            continue
+        rest[seed] = False
+        frontier = np.array([seed])
+        while len(frontier) and rest.any():
+            other = np.flatnonzero(rest)
+            found = np.zeros(len(other), bool)
+            for at in range(0, len(frontier), 64):  # some rows of the pair table at a time
+                differ = values[frontier[at : at + 64]][:, None] ^ values[other][None, :]
+                tally = sum((differ >> np.uint64(8 * p) & np.uint64(0xFF) == 0).astype(np.uint8) for p in range(8))
+                found |= ((tally >= MIN_SHARED) & (np.bitwise_count(differ) <= MAX_BITS)).any(axis=0)
+            frontier = other[found]
+            rest[frontier] = False
+            u.append(frontier)
+            v.append(np.full(len(frontier), seed))
+    join = lambda x: values[np.concatenate(x)].view(np.int64) if x else np.zeros(0, np.int64)
+    return join(u), join(v)
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (u, v) of each posting list; a batch of edges leaves before the next list is read."""
+    for batch in batches:
+        for members in batch.column(0):
+            u, v = _list_links(members.values.to_numpy())
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
 
 def _links_of(postings: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
@@ -123,10 +134,8 @@ def _links_of(postings: DataFrame, bound: int) -> tuple[DataFrame, DataFrame]:
     differ = F.col("u").bitwiseXOR(F.col("v"))
     pairs = lists.filter("n = 2").filter((_shared_bytes(differ) >= MIN_SHARED) & (F.bit_count(differ) <= MAX_BITS)).select("u", "v")
     longer = postings.join(lists.filter("n > 2").select("m", "k", "n"), ["m", "k"])
-    several = (
-        longer.filter(F.col("n") <= bound).groupBy("m", "k").agg(F.collect_list("fp").alias("fps"))
-        .select(F.explode(_list_links("fps")).alias("e")).select("e.u", "e.v")
-    )
+    lists_of = longer.filter(F.col("n") <= bound).groupBy("m", "k").agg(F.collect_list("fp").alias("fps"))
+    several = lists_of.select("fps").mapInArrow(_linked, "u bigint, v bigint")
     return pairs.unionByName(several), longer.filter(F.col("n") > bound).select("m", "k", "fp")
 
 
@@ -194,14 +203,17 @@ def one_of_each(docs: DataFrame, bound: int = LIST_BOUND) -> DataFrame:
     """
     from pyspark.sql import Window as W
 
-    marks = near_duplicates(docs, bound)
-    keep = marks.filter("doc_id <=> component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi")
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    named = named.withColumn("_nth", first).filter("_nth = 1").drop("_nth")
+    marks = cut(near_duplicates(docs, bound))
+    keep = cut(marks.filter("doc_id = component_id").groupBy("doc_id").count())
+    once, more = keep.filter("count = 1").select("doc_id"), keep.filter("count > 1").select("doc_id")
+    first = lambda df, by: df.withColumn("_nth", F.row_number().over(W.partitionBy(by).orderBy(F.xxhash64("text")))).filter("_nth = 1").drop("_nth")
+    # ids are the side that is hashed, so texts are neither sorted nor held
+    kept = docs.join(once.hint("shuffle_hash"), "doc_id", "left_semi")
+    if not more.isEmpty():
+        kept = kept.unionByName(first(docs.join(more, "doc_id", "left_semi"), "doc_id"))
     apart = marks.filter("doc_id is null and component_id is null").select("fingerprint").distinct()
-    nameless = docs.filter("doc_id is null").withColumn("_print", F.lower(F.lpad(F.hex(fingerprint(F.col("text"))), 16, "0")))
-    nameless = nameless.join(apart, F.col("_print") == apart["fingerprint"], "left_semi")
-    first = F.row_number().over(W.partitionBy("_print").orderBy(F.xxhash64("text")))
-    nameless = nameless.withColumn("_nth", first).filter("_nth = 1").drop("_nth", "_print")
-    return named.unionByName(nameless)
+    if not apart.isEmpty():
+        nameless = docs.filter("doc_id is null").withColumn("_print", F.lower(F.lpad(F.hex(fingerprint(F.col("text"))), 16, "0")))
+        nameless = nameless.join(apart, F.col("_print") == apart["fingerprint"], "left_semi")
+        kept = kept.unionByName(first(nameless, "_print").drop("_print"))
+    return kept
