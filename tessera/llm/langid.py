@@ -9,7 +9,7 @@ linear, a prediction only averages rows of one small table of bucket scores.
 
 A part of the sample is kept back to set the temperature of the softmax and the
 score below which a text is rejected: the ``REJECT`` quantile of its scores, at
-most one half.
+most one half and one and a half times the score of a guess.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0
 and is rejected; so is every text if there is nothing to learn from; repeated
@@ -119,7 +119,7 @@ def train(rows: list[tuple[str, np.ndarray, np.ndarray]], rounds: int = 6, seed:
     loss = lambda t: -np.log(_softmax(logits * t)[np.arange(len(truth)), truth] + 1e-12).mean()
     heat = min((0.25, 0.35, 0.5, 0.7, 1, 1.4, 2, 2.8, 4), key=loss)
     scores = _softmax(logits * heat).max(axis=1)
-    return Model(langs, (table * heat).astype(np.float32), bias * heat, float(min(0.5, np.quantile(scores, REJECT))))
+    return Model(langs, (table * heat).astype(np.float32), bias * heat, float(min(0.5, 1.5 / len(langs), np.quantile(scores, REJECT))))
 
 
 def fit(docs: DataFrame, fold: int | None = 0) -> Model:
