@@ -33,6 +33,7 @@ from .common import in_fold, map_rows
 BUCKETS = 1 << 16
 DIMENSIONS = 16
 PER_LANG = 400
+SPARE = 4
 LANGS = 256
 REJECT = 0.001
 UNKNOWN = "und"
@@ -127,9 +128,11 @@ def fit(docs: DataFrame, fold: int | None = 0) -> Model:
     labelled = docs.select("doc_id", "lang").filter("lang is not null and lang <> 'und' and text is not null")
     if fold is not None:
         labelled = labelled.filter(~in_fold(F.col("doc_id"), fold))
-    common = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).select("lang")
+    common = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGS)
+    # a language's sample has its smallest hashes, so all but some SPARE samples' worth of rows leave before they are ranked
+    near = labelled.join(F.broadcast(common), "lang").filter((F.xxhash64("doc_id") / 2.0**64 + 0.5) * F.col("n") < SPARE * PER_LANG)
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.withColumn("nth", nth).filter(F.col("nth") <= PER_LANG).join(F.broadcast(common), "lang", "left_semi")
+    chosen = near.withColumn("nth", nth).filter(F.col("nth") <= PER_LANG)
     # at most PER_LANG * LANGS keys, so their table can be sent to every task
     drawn = docs.select("doc_id", "lang", "text").filter("text is not null").join(F.broadcast(chosen.select("doc_id", "lang").distinct()), ["doc_id", "lang"])
     hashed = map_rows(drawn, "doc_id bigint, lang string, at array<int>, share array<float>", lambda: lambda rows: [(i, lang, *features(t)) for i, lang, t in rows if has_letter(t)])
