@@ -1,13 +1,14 @@
 """Language-model scores from a log-frequency Bloom filter of n-gram counts.
 
-The filter holds the quantised counts of the words and word pairs that make up
-at least ``RELATIVE`` of all training tokens: an n-gram of level q is stored
-with each of the levels 1 to q. Its count is found by probing level after level
-until one is missing, and smoothed probabilities interpolate what is found for
-the pair with the add-half estimate of the word. As at most 1 / RELATIVE words
-and as many pairs can reach that share, the filter that is sent to every worker
-has a size bound that doesn't depend on the corpus. A pair can only be frequent
-if both its words are, so only such pairs are counted.
+The filter holds the quantised counts of all training words and word pairs: an
+n-gram of level q is stored with each of the levels 1 to q. Its count is found
+by probing level after level until one is missing, and smoothed probabilities
+interpolate what is found for the pair with the add-half estimate of the word.
+
+The filter grows with the corpus, so it is split into parts by hash of the
+n-gram, each of about ``PART_TOKENS`` training tokens. No worker holds more than
+one part at once: a block of documents sends its distinct n-grams to the parts
+they belong to and gets back one level, a byte, for each.
 
 The base score uses exact counts of all training words. Documents are dealt
 into blocks of bounded size; each block asks for the counts of its distinct
@@ -35,12 +36,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, in_fold
 
-RELATIVE = 1e-5
 BASE = math.sqrt(2)
 BITS = 14
 HASHES = 8
 PAIR_WEIGHT = 0.7
 BLOCK_BYTES = 12_000_000
+PART_TOKENS = 2_000_000  # training tokens for each part of the filter
 HELD = 400_000  # distinct n-grams that a task counts before it hands them on
 END = b""
 
@@ -87,6 +88,15 @@ class Bloom:
         for i in range(HASHES):
             yield (a + np.uint64(i) * b) % np.uint64(self.words * 64)
 
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> Bloom:
+        """Store each key with all levels up to its count's."""
+        flags, q = np.zeros(self.words * 64, bool), levels(counts.astype(float), 1.0)
+        for level in range(1, int(q.max(initial=0)) + 1):
+            for place in self.places(keys[q >= level], level):
+                flags[place] = True
+        self.bits |= np.packbits(flags, bitorder="little").view("<u8")
+        return self
+
     def level(self, keys: np.ndarray) -> np.ndarray:
         """The level of each key: probes go on while the next level is there."""
         out, left, level = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
@@ -101,16 +111,27 @@ class Bloom:
         return out
 
 
+class Found:
+    """Levels that the parts of the filter gave for a block's n-grams."""
+
+    def __init__(self, keys: np.ndarray, levels: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.levels = keys[order], levels[order]
+
+    def level(self, keys: np.ndarray) -> np.ndarray:
+        return self.levels[np.searchsorted(self.keys, keys)].astype(np.int64)
+
+
 class Model:
-    """The filter with what turns levels into probabilities."""
+    """The filter, or what it gave for a block, with what turns levels into probabilities."""
 
-    def __init__(self, total: int, distinct: int, least: float, bloom: Bloom):
-        self.total, self.distinct, self.least, self.bloom = total, distinct, least, bloom
+    def __init__(self, total: int, distinct: int, bloom: Bloom | Found):
+        self.total, self.distinct, self.bloom = total, distinct, bloom
 
     def counts(self, keys: np.ndarray) -> np.ndarray:
         """Estimated counts: the middle of the level found, 0 for what isn't in the filter."""
         found = self.bloom.level(keys)
-        return np.where(found > 0, self.least * BASE ** (found - 1) * (1 + BASE) / 2, 0.0)
+        return np.where(found > 0, BASE ** (found - 1) * (1 + BASE) / 2, 0.0)
 
     def log10(self, keys: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
         """log10 probability of each token after the one before it; ``first`` marks the starts of texts."""
@@ -172,126 +193,205 @@ def _keyed(documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return keys, np.fromiter(map(place.__getitem__, joined), np.int64, len(joined)), np.cumsum(size) - size, size
 
 
-def pair_counts(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(h, n) of the pairs of frequent words; ``frequent`` has their sorted keys."""
-    sent = texts.sparkSession.sparkContext.broadcast(frequent)  # at most 1 / RELATIVE keys
+def _pairs(keys: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Key of each token's pair with the one before it, from what ``_keyed`` gives."""
+    word = keys[at]
+    before = np.concatenate([word[:1], word[:-1]])
+    before[start] = word_key(END)
+    return pair_keys(before, word)
+
+
+def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    keys, counts = np.concatenate(h), np.concatenate(n)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch], known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of the pairs in the one column of texts; with ``known``, of pairs of those words alone."""
+    held, n = [], 0
+    for (part,) in _slices(batches):
+        keys, at, start, _ = _keyed([tokens(t) for t in part])
+        pairs = _pairs(keys, at, start)
+        if known is not None:
+            ok = np.isin(keys, known)[at]
+            pairs = pairs[ok & (np.concatenate([ok[:1], ok[:-1]]) | np.isin(np.arange(len(at)), start))]
+        held.append(np.unique(pairs, return_counts=True))
+        n += len(held[-1][0])
+        if n >= HELD:
+            held = [_summed(*zip(*held))]
+            n = len(held[0][0])
+            if n >= HELD // 2:
+                yield held[0]
+                held, n = [], 0
+    if held:
+        yield _summed(*zip(*held))
+
+
+def pair_counts(texts: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
+    """(h, n) of the pairs of words; if ``frequent`` is given, of pairs of words with these keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = sent.value, [], 0
+        yield from (_batch(*x) for x in _count_pairs(batches, frequent))
 
-        def told() -> pa.RecordBatch:
-            h, again = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
-            return _batch(h, np.bincount(again, np.concatenate([x for _, x in held]), len(h)).astype(np.int64))
+    return texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
 
-        for (part,) in _slices(batches):
-            keys, at, start, _ = _keyed([tokens(t) for t in part])
-            place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            common = (known[place] == keys)[at]
-            word, before = keys[at], np.concatenate([[0], keys[at][:-1]])
-            ok = common.copy()
-            ok[1:] &= common[:-1]
-            before[start] = word_key(END)
-            ok[start] = common[start]
-            h, count = np.unique(pair_keys(before[ok], word[ok]), return_counts=True)
-            held.append((h, count))
-            n += len(h)
-            if n >= HELD:
-                batch = told()
-                held, n = [(batch.column(0).to_numpy(), batch.column(1).to_numpy())], batch.num_rows
-                if n >= HELD // 2:
-                    yield batch
-                    held, n = [], 0
-        if held:
-            yield told()
 
-    return texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+def train(texts: DataFrame) -> Model:
+    """Model of the one column of ``texts`` with a filter in one piece, for texts that one process can hold."""
+    words = word_counts(texts).toPandas()
+    grams = [words, pair_counts(texts).toPandas()]
+    h, n = (np.concatenate([g[c].to_numpy(np.int64) for g in grams]) for c in ("h", "n"))
+    return Model(int(words["n"].sum()), len(words), _filter_of(h, n))
 
 
-def _filter_of(grams: DataFrame, least: float) -> Bloom:
-    """The filter that holds (h, n) of n-grams, built by the executors."""
-    level = lambda: (1 + F.floor(F.log(F.greatest(F.col("n").cast("double"), F.lit(least)) / least) / math.log(BASE) + 1e-9)).cast("int")
-    entries = grams.agg(F.sum(level())).first()[0] or 0
-    bloom = Bloom(int(entries))
-    empty = Bloom(0)
-    empty.words = bloom.words
-    schema = pa.schema([("word", pa.int64()), ("mask", pa.int64())])
+def _filter_of(h: np.ndarray, n: np.ndarray) -> Bloom:
+    """The filter that holds the counts ``n`` of the keys ``h``."""
+    return Bloom(int(levels(n.astype(float), 1.0).sum())).add(h, n)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that their zero bytes stand together."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            h, n = (batch.column(c).to_numpy() for c in (0, 1))
-            q = levels(n.astype(float), least)
-            keys = np.repeat(h, q)
-            level = np.arange(len(keys)) - np.repeat(np.cumsum(q) - q, q) + 1
-            place = np.concatenate(list(empty.places(keys, level)))
-            mask = (np.uint64(1) << (place & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((place >> np.uint64(6)).astype(np.int64)), pa.array(mask)], schema=schema)
-
-    rows = grams.select("h", "n").mapInArrow(run, "word bigint, mask bigint").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
-    bloom.bits[rows["word"].to_numpy(np.int64)] = rows["mask"].to_numpy(np.int64).view(np.uint64)
-    return bloom
-
-
-def train(texts: DataFrame, counts: DataFrame | None = None, relative: float = RELATIVE) -> Model:
-    """Model of the one column of ``texts``; ``counts`` as word_counts gives them, if they are there already."""
-    counts = cut(word_counts(texts)) if counts is None else counts
-    distinct, total = counts.agg(F.count("*"), F.sum("n")).first()
-    total = int(total or 0)
-    least = max(1.0, relative * total)
-    words = counts.filter(F.col("n") >= least)
-    frequent = np.sort(words.select("h").toPandas()["h"].to_numpy(np.int64)) if total else np.zeros(0, np.int64)
-    grams = words
-    if len(frequent):
-        grams = cut(words.unionByName(pair_counts(texts, frequent).filter(F.col("n") >= least)))
-    return Model(total, int(distinct), least, _filter_of(grams, least))
 
+def _of_planes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
 
-def score(docs: DataFrame, training: Column | None = None, relative: float = RELATIVE) -> DataFrame:
+
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys in unsigned order as differences."""
+    return _planes(np.diff(keys.view(np.uint64), prepend=np.uint64(0)))
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(_of_planes(x).view(np.uint64), dtype=np.uint64).view(np.int64)
+
+
+def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part's keys begin and end; parts are ranges of unsigned keys, in whose order ``keys`` are."""
+    part = (keys.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
+    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+
+
+_CELLS = pa.schema([("part", pa.int64()), ("h", pa.binary()), ("n", pa.binary())])
+
+
+def _cells(h: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
+    """A row for each part with the keys and counts that belong to it."""
+    order = np.argsort(h.view(np.uint64))
+    h, n = h[order], n[order]
+    at = _bounds(h, parts)
+    some = np.flatnonzero(np.diff(at)).tolist()
+    cut_up = lambda x, pack: pa.array([pack(x[at[p] : at[p + 1]]) for p in some], pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), cut_up(h, _packed), cut_up(n, _planes)], schema=_CELLS)
+
+
+def _counted(texts: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
+    """(part, h, n): counts of pairs as tasks find them and of words, in cells of packed keys and counts."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from (_cells(*x, parts) for x in _count_pairs(batches))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= HELD:
+                yield told(held)
+                held, n = [], 0
+        if n:
+            yield told(held)
+
+    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        return _cells(table.column(0).to_numpy(), table.column(1).to_numpy(), parts)
+
+    schema = "part bigint, h binary, n binary"
+    return texts.mapInArrow(pairs, schema).unionByName(counts.select("h", "n").mapInArrow(words, schema))
+
+
+_ASKED = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())])
+_TOLD = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.binary()), ("levels", pa.binary())])
+
+
+def _probe(cells: pa.Table, asked: pa.Table) -> pa.Table:
+    """What one part knows of the n-grams that blocks ask for: exact counts of words, and levels (a byte each) of words and pairs."""
+    if not asked.num_rows:
+        return _TOLD.empty_table()
+    h, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if cells.num_rows:
+        h, n = _summed([_unpacked(x) for x in cells.column("h").to_pylist()], [_of_planes(x) for x in cells.column("n").to_pylist()])
+    bloom, rows = _filter_of(h, n), []
+    for block, part, words, pairs in zip(*(c.to_pylist() for c in asked.columns)):
+        words, count = _unpacked(words), np.int64(0)
+        if len(h):
+            place = np.minimum(np.searchsorted(h, words), len(h) - 1)
+            count = np.where(h[place] == words, n[place], 0)
+        level = bloom.level(np.concatenate([words, _unpacked(pairs)]))
+        rows.append((block, part, _planes(np.broadcast_to(count, len(words)).astype(np.int64)), level.astype(np.uint8).tobytes()))
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOLD)], schema=_TOLD)
+
+
+class _Block:
+    """Tokens of a block of documents and its distinct n-grams, in unsigned order of their keys."""
+
+    def __init__(self, documents: pa.Table):
+        self.slices = [_keyed([tokens(t) for t in part]) for (part,) in _slices(documents.select(["text"]).to_batches())]
+        distinct = lambda x: np.unique(np.concatenate(x).view(np.uint64)).view(np.int64)
+        self.words = distinct([keys for keys, _, _, _ in self.slices])
+        self.pairs = distinct([_pairs(keys, at, start) for keys, at, start, _ in self.slices])
+
+    def asked(self, block: int, parts: int) -> pa.Table:
+        w, p = _bounds(self.words, parts), _bounds(self.pairs, parts)
+        some = np.flatnonzero(np.diff(w) + np.diff(p)).tolist()
+        rows = [(block, i, _packed(self.words[w[i] : w[i + 1]]), _packed(self.pairs[p[i] : p[i + 1]])) for i in some]
+        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
+
+    def told(self, known: pa.Table) -> tuple[Found, np.ndarray]:
+        """Levels of all n-grams, and exact counts of the words."""
+        n, words, pairs = [], [], []
+        for count, level in zip(*(known.sort_by("part").column(c).to_pylist() for c in ("n", "levels"))):
+            n.append(_of_planes(count))
+            words.append(level[: len(n[-1])])
+            pairs.append(level[len(n[-1]) :])
+        return Found(np.concatenate([self.words, self.pairs]), np.frombuffer(b"".join(words + pairs), np.uint8)), np.concatenate(n)
+
+
+def score(docs: DataFrame, training: Column | None = None) -> DataFrame:
     """Scores of all rows by a model of those for which ``training`` (on doc_id) holds."""
-    spark = docs.sparkSession
     training = ~in_fold(F.col("doc_id"), 1) if training is None else training
     texts = docs.filter(training).select("text")
     counts = cut(word_counts(texts))
-    model = train(texts, counts, relative)
-    sent = spark.sparkContext.broadcast(model)
+    distinct, total = counts.agg(F.count("*"), F.sum("n")).first()
+    total = int(total or 0)
+    parts = max(1, -(-total // PART_TOKENS))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
     dealt = docs.select("doc_id", "text", (~training).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
     dealt = dealt.repartition("block")
-    asked = pa.schema([("block", pa.int64()), ("h", pa.int64())])
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The distinct words of each block."""
-        held: dict[int, set[bytes]] = {}
-
-        def told(block: int) -> pa.RecordBatch:
-            words = held.pop(block)
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), block)), pa.array(np.fromiter(map(word_key, words), np.int64, len(words)))], schema=asked)
 
-        for _, part, _, ids in _slices(batches):
-            for text, block in zip(part, ids):
-                held.setdefault(block, set()).update(tokens(text))
-            if sum(map(len, held.values())) >= 2 * HELD:
-                yield told(max(held, key=lambda b: len(held[b])))
-        yield from map(told, list(held))
+    def ask(documents: pa.Table) -> pa.Table:
+        return _Block(documents).asked(documents.column("block")[0].as_py(), parts)
 
-    needed = dealt.mapInArrow(ask, "block bigint, h bigint").join(counts, "h").select("block", "h", "n").distinct()
+    wanted = dealt.groupBy("block").applyInArrow(ask, "block bigint, part bigint, words binary, pairs binary")
+    told = _counted(texts, counts, parts).groupBy("part").cogroup(wanted.groupBy("part"))
+    told = told.applyInArrow(_probe, "block bigint, part bigint, n binary, levels binary")
     out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def rate(documents: pa.Table, known: pa.Table) -> pa.Table:
-        m, end = sent.value, word_key(END)
-        h, n = (known.column(c).to_numpy() for c in ("h", "n"))
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        made = [out.empty_table()]
-        for doc_ids, part, held, _ in _slices(documents.to_batches()):
-            keys, at, start, length = _keyed([tokens(t) for t in part])
-            count = np.zeros(len(keys))
-            if len(h):
-                place = np.minimum(np.searchsorted(h, keys), len(h) - 1)
-                count = np.where(h[place] == keys, n[place], 0)
-            base = np.log10((count + 0.5) / (m.total + 0.5 * (m.distinct + 1)))[at]
+        end, block, made = word_key(END), _Block(documents), []
+        found, n = block.told(known)
+        m, h = Model(total, distinct, found), block.words.view(np.uint64)
+        for (doc_ids, held), (keys, at, start, length) in zip(_slices(documents.select(["doc_id", "held_out"]).to_batches()), block.slices):
+            count = n[np.searchsorted(h, keys.view(np.uint64))]
+            base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))[at]
             sums = [np.add.reduceat(x, start) for x in (base, m.log10(keys[at], start, end), (count > 0)[at].astype(np.int64))]
-            made.append(pa.table([pa.array(doc_ids, pa.int64()), pa.array(held), length, sums[2], np.full(len(part), m.total), sums[0], sums[1]], schema=out))
+            made.append(pa.table([pa.array(doc_ids, pa.int64()), pa.array(held), length, sums[2], np.full(len(length), total), sums[0], sums[1]], schema=out))
         return pa.concat_tables(made)
 
-    return dealt.groupBy("block").cogroup(needed.groupBy("block")).applyInArrow(rate, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(rate, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

@@ -85,3 +85,27 @@ def test_nulls_repeats_and_empty(spark):
     got = sorted((str(r.doc_id), r.n_tokens) for r in M.score(docs).collect())
     assert got == [("1", 1), ("3", 3), ("3", 3), ("None", 2)]
     assert M.score(docs.limit(0)).count() == 0
+
+
+def test_rare_pairs_count_whatever_the_size_of_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(M, "PART_TOKENS", 20_000)  # several parts
+    monkeypatch.setattr(M, "BLOCK_BYTES", 400_000)
+    common = " ".join(["so", "it", "goes", "on"] * 500)
+    rows = [(2 * i, common) for i in range(150)] + [(1001, "rare pair"), (1003, "rare pair"), (2001, "rare pair"), (2003, "pair rare")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r for r in M.score(docs, training=docs["doc_id"] < 2000).collect()}
+    assert got[2001].train_tokens > 200_000 and got[2001].n_known == 3
+    # both words occur twice in more than 300,000 tokens, and the one always after the other
+    assert got[2001].score - got[2001].base_score > 3 and got[2001].score > got[2003].score + 3
+    assert abs(got[2001].base_score - got[2003].base_score) < 1e-9
+
+
+def test_keys_and_counts_come_back_from_cells():
+    rng = np.random.default_rng(0)
+    keys, counts = np.unique(rng.integers(-(2**63), 2**63 - 1, 4000)), rng.integers(1, 900, 4000)
+    cells = M._cells(keys, counts, 5).to_pylist()
+    h, n = (np.concatenate([f(c[x]) for c in cells]) for x, f in (("h", M._unpacked), ("n", M._of_planes)))
+    assert [c["part"] for c in cells] == list(range(5)) and dict(zip(h.tolist(), n.tolist())) == dict(zip(keys.tolist(), counts.tolist()))
+    found = M._filter_of(keys, counts).level(keys)
+    want = M.levels(counts.astype(float), 1.0)
+    assert (found >= want).all() and (found == want).mean() > 0.98
