@@ -37,6 +37,11 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([^-]*)-----END \1-----")
 _BASE64 = re.compile(r"[A-Za-z0-9+/]{44,}={0,2}")
+# a key's first line where base64 is wrapped, and the lines after it; line ends may be escaped, lines quoted or indented
+_LINE_END = r"(?:\\+[rn]|[\r\n])"
+_ESCAPED_END = re.compile(r"(?:\\+r)?\\+n|\\+r|\r\n?")
+_FIRST_LINE = re.compile(r"(?:(?<![A-Za-z0-9+/])|(?<=\\n)|(?<=\\r))(?:M[A-Za-z0-9+/]{15,}|b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]*)(?=[ \t\"',;]*" + _LINE_END + ")")
+_NEXT_LINE = re.compile(r"[ \t\"',;]*" + _LINE_END + r"(?:[ \t\"',;>#*]|" + _LINE_END + r")*([A-Za-z0-9+/]+={0,2})")
 _ANY_HEX = re.compile(r"[0-9A-Fa-f]{64,}")
 _SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(e[yw][A-Za-z0-9_-]{6,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
 
@@ -105,6 +110,42 @@ def _decoded(text: str, url: bool = False) -> bytes | None:
         return None
 
 
+def _needed(data: bytes) -> int | None:
+    """Bytes of the key that begins with ``data``, as far as its start tells; None if it can't be a key."""
+    magic = b"openssh-key-v1\0"
+    if data.startswith(magic):
+        at = len(magic)
+        for part in range(6):
+            if at + 4 > len(data):
+                return at + 4
+            at += 4 if part == 3 else 4 + int.from_bytes(data[at : at + 4])
+        return at
+    if len(data) < 6 or data[0] != 0x30:
+        return None
+    n = data[1] & 0x7F if data[1] & 0x80 else 0
+    return None if n > 4 else 2 + n + (int.from_bytes(data[2 : 2 + n]) if n else data[1])
+
+
+def _wrapped_key(text: str, start: int, end: int) -> int | None:
+    """End of the key whose base64 goes on over lines after the line from start to end."""
+    lines = [text[start:end]]
+    chars, need = end - start, 0
+    while need * 4 <= (len(text) - start) * 3 + 4:  # the rest of the text has room for it
+        while chars * 3 < need * 4:
+            if (m := _NEXT_LINE.match(text, end)) is None:
+                return None
+            lines.append(m[1])
+            end, chars = m.end(), chars + len(m[1].rstrip("="))
+        joined = "".join(lines).rstrip("=")
+        data = _decoded(joined[: len(joined) // 4 * 4] if not need else joined)
+        if data is None or (more := _needed(data)) is None:
+            return None
+        if len(data) >= more > 0:
+            return end if is_private_key(data) else None
+        need = more
+    return None
+
+
 def _object(text: str) -> dict | None:
     try:
         found = json.loads(_decoded(text, url=True) or b"")
@@ -126,11 +167,15 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     keys: list[tuple[int, int]] = []
     if "-----BEGIN " in text:
         for m in _ARMOUR.finditer(text):
-            body = m[2].rpartition("\n\n")[2] if ":" in m[2] else m[2]  # headers end at an empty line
+            body = _ESCAPED_END.sub("\n", m[2])
+            body = body.rpartition("\n\n")[2] if ":" in body else body  # headers end at an empty line
             if (data := _decoded(body)) and is_private_key(data):
                 keys.append((m.start(), m.end()))
+    inside = lambda m: any(a <= m.start() < b for a, b in keys)
+    for m in _FIRST_LINE.finditer(text):
+        if not inside(m) and (end := _wrapped_key(text, *m.span())):
+            keys.append((m.start(), end))
     if any(len(w) >= 44 for w in text.split()):
-        inside = lambda m: any(a <= m.start() < b for a, b in keys)
         for m in _BASE64.finditer(text):
             if not inside(m) and (data := _decoded(m[0])) and is_private_key(data):
                 keys.append(m.span())
