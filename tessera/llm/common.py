@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,30 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of all texts in a row, and where each begins and the last ends; a null counts as empty."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    return data[ends[0] : ends[-1]], ends - ends[0]
+
+
+def parts_between(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct byte strings among the stretches between neighbouring ``ends``, and the place of each stretch among them."""
+    found = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy()
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches, in slices that end with the row at which their texts reach ``most`` bytes."""
+    for batch in batches:
+        ends, at = text_bytes(batch.column(column))[1], 0
+        while at < batch.num_rows:
+            to = min(batch.num_rows, int(np.searchsorted(ends, ends[at] + most)))
+            yield batch.slice(at, max(to - at, 1))
+            at = max(to, at + 1)
+
+
 def in_fold(key: Column, fold: int, folds: int = 5) -> Column:
     """True where crc32 of the key's text falls into ``fold``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -13,14 +13,19 @@ start of each document and the end (int64), then each level: number of chunks
 (int64), chunks (uint8), bitmap (bytes, padded), directory (uint32).
 
 Documents are dealt by ranges of doc_id, so file order is ascending doc_id. A
-task closes a file at ``FILE_TOKENS`` tokens and names it by its partition and
-number; it is written aside and then moved, so a task that runs again replaces
-what it wrote. Paths go through pyarrow's file systems.
+task closes a file at ``FILE_TOKENS`` tokens, or at ``SLICE`` bytes of text, and
+names it by its partition and number; it is written aside and then moved, so a
+task that runs again replaces what it wrote. Paths go through pyarrow's file
+systems.
+
+The library's plain call is followed: a special token's string in a text is that
+token. ``specials=False`` reads it as ordinary text instead.
 
 Defined results: a null text counts as empty and is its end id alone; documents
 of equal id keep together, in the order of their texts' hashes; null ids come
-first; an empty table gives an empty result; columns other than doc_id and text
-are ignored.
+first; repeated rows are written one by one; a text of any length is one
+document of one file; an empty table gives an empty result; columns other than
+doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -38,59 +43,97 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder
+from .common import by_bytes, new_folder, parts_between, text_bytes
 
 END = 2
 FILE_TOKENS = 2_000_000
-CACHED_WORDS = 1_000_000
+CACHED_UNITS = 1_000_000
 MAGIC = b"TDAC0001"
 BLOCK = 512  # bits of a bitmap for each entry of its directory
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"\s\s|\s \S|\S \s|\A | \Z")
+SLICE = 8_000_000  # bytes of text encoded together
+
+
+def _unit_starts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where texts may be cut so that what lies between encodes alone.
+
+    No pre-token goes on from a character that is no white space to one that
+    is, nor from a letter to a stop or comma. Before white space the cut is
+    left out if the character there may be Unicode white space.
+    """
+    before = data[:-1]
+    blank, after = (data == 32) | (data - np.uint8(9) < 5), before > 32
+    cut = np.zeros(len(data) + 1, bool)
+    wide = np.flatnonzero(blank[1:] & (before > 127))
+    if len(wide):  # U+0085 and U+00A0 begin with C2, all others with E1, E2 or E3
+        lead = data[np.maximum(wide - 2, 0)]
+        after[wide[(data[np.maximum(wide - 1, 0)] == 0xC2) | ((lead >= 0xE1) & (lead <= 0xE3))]] = False
+    cut[1:-1] = blank[1:] & after
+    cut[1:-1] |= _MARKS[data[1:]] & _LETTERS[before]
+    cut[ends] = True
+    return np.flatnonzero(cut)
+
+
+_MARKS, _LETTERS = (np.isin(np.arange(256), np.frombuffer(x, np.uint8)) for x in (b".,;:!?", bytes(c for c in range(128) if chr(c).isalpha())))
 
 
 class Encoder:
-    """Byte-level BPE of whole texts, with the ids of words kept between texts.
+    """Byte-level BPE of whole texts; the ids of each distinct unit are found once and kept.
 
-    A space between two characters that are no white space starts a new
-    pre-token, whatever stands around, so a text may be cut before it.
+    ``specials`` False reads the strings of special tokens in a text as
+    ordinary text, not as these tokens.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials: bool = True):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.later: dict[str, bytes] = {}
-        self.marks = dict(zip(".,;:!?", self._encode(list(".,;:!?"))))
+        self.tokenizer.encode_special_tokens = not specials
+        # texts that hold an added token are given to the library whole
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if specials or not t.special]
+        self.added = re.compile("|".join(re.escape(t.content) for t in added).encode()) if added else None
+        self.known: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [(_CUT.split(t) if _ODD.search(t) else t.split(" ")) for t in (x or "" for x in texts)]
-        fresh = self._learn({w for words in cut for w in words[1:] if w not in self.later})
-        if len(self.later) + len(fresh) <= CACHED_WORDS:
-            self.later.update(fresh)
-            fresh = {}
-        # the words met first stay; when there are enough, others are encoded each time
-        known, rest = self.later.get, fresh.get
-        heads = self._encode([words[0] for words in cut])
-        if fresh:
-            return [np.frombuffer(head + b"".join([known(w) or rest(w) for w in words[1:]]), "<u4") for head, words in zip(heads, cut)]
-        return [np.frombuffer(head + b"".join(map(self.later.__getitem__, words[1:])), "<u4") for head, words in zip(heads, cut)]
-
-    def _learn(self, words: set[str]) -> dict[str, bytes]:
-        """Ids of words after a space; one mark after letters is a pre-token of its own."""
-        stems = {w: w[:-1] if w[-1] in self.marks and w[:-1].isalpha() else w for w in words}
-        new = list({s for s in stems.values() if s not in self.later})
-        fresh = dict(zip(new, self._encode([" " + s for s in new])))
-        for w, stem in stems.items():
-            if w != stem:
-                fresh[w] = (self.later.get(stem) or fresh[stem]) + self.marks[w[-1]]
-        return fresh
+    def _units(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the distinct units in a row, and the number of each one's."""
+        units = distinct.to_pylist()
+        new = [u for u in units if u not in self.known]
+        fresh = dict(zip(new, self._encode([u.decode("utf-8", "surrogatepass") for u in new])))
+        if len(self.known) + len(fresh) <= CACHED_UNITS:
+            self.known.update(fresh)
+            ids = [self.known[u] for u in units]
+        else:  # the units met first stay; when there are enough, others are encoded each time
+            known = self.known.get
+            ids = [fresh[u] if (x := known(u)) is None else x for u in units]
+        return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+    def __call__(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each text's followed by ``end`` if given, and where each text's begin and the last end."""
+        data, ends = text_bytes(texts)
+        whole = data.tobytes()
+        held = sorted({int(np.searchsorted(ends, m.start(), "right")) - 1 for m in self.added.finditer(whole)}) if self.added and self.added.search(whole) else []
+        starts = _unit_starts(data, ends) if len(data) else ends[:1]
+        if held:  # one unit for such a text, so nothing is cut inside it
+            inside = np.zeros(len(data) + 1, bool)
+            for d in held:
+                inside[ends[d] + 1 : ends[d + 1]] = True
+            starts = starts[~inside[starts]]
+        distinct, place = parts_between(data, starts)
+        ids, size = self._units(distinct)
+        first = np.searchsorted(starts, ends)  # each text's first unit
+        length = size[place]
+        total = np.concatenate([[0], np.cumsum(length)])
+        begin = total[first]
+        from_ = np.repeat((np.cumsum(size) - size)[place] - total[:-1], length)
+        out = ids[from_ + np.arange(len(from_))]
+        if end is not None:
+            out = np.insert(out, begin[1:], np.uint32(end))
+            begin = begin + np.arange(len(begin))
+        return out, begin
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -149,9 +192,9 @@ class Codes:
         return value
 
 
-def to_file(doc_ids: list[int | None], documents: list[np.ndarray]) -> bytes:
-    ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
-    starts = np.concatenate([[0], np.cumsum([len(d) for d in documents], dtype=np.int64)]).astype("<i8")
+def to_file(doc_ids: list[int | None], ids: np.ndarray, starts: np.ndarray) -> bytes:
+    """A file of documents whose ids stand in a row; ``starts`` are where they begin and the last ends."""
+    starts = starts.astype("<i8")
     keys, null = np.array([i or 0 for i in doc_ids], "<i8"), np.array([i is None for i in doc_ids], np.uint8)
     return b"".join([MAGIC, np.array([len(doc_ids), len(ids)], "<i8").tobytes(), keys.tobytes(), null.tobytes(), starts.tobytes(), pack(ids)])
 
@@ -172,60 +215,60 @@ class TokenFile:
         return self.codes[int(self.starts[document]) + i]
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_tokens: int = FILE_TOKENS) -> list[tuple[str, int]]:
+def _closings(starts: np.ndarray, file_tokens: int) -> Iterator[tuple[int, int]]:
+    """Runs of documents that end with the one at which a file reaches ``file_tokens``."""
+    at = 0
+    while at < len(starts) - 1:
+        to = min(len(starts) - 1, max(at + 1, int(np.searchsorted(starts, starts[at] + file_tokens))))
+        yield at, to
+        at = to
+
+
+def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_tokens: int = FILE_TOKENS, specials: bool = True) -> list[tuple[str, int]]:
     """Write the ids of all texts below ``folder``; names and token counts of the files, in order.
 
     ``folder`` must be reachable from every executor. What returns to the
     driver is one row for each file.
     """
+    told = pa.schema([("name", pa.string()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        encoder = _encoder(tokenizer)
-        part, written, keys, held, size = TaskContext.get().partitionId(), [], [], [], 0
-
-        def close() -> None:
-            nonlocal size
-            name, aside = f"part-{part:07d}-{len(written):07d}.dac", f".{uuid.uuid4().hex}"
-            with store.open_output_stream(f"{root}/{aside}") as out:
-                out.write(to_file(keys, held))
-            store.move(f"{root}/{aside}", f"{root}/{name}")
-            written.append((name, size))
-            keys.clear()
-            held.clear()
-            size = 0
-
-        for batch in batches:
-            names, texts = (c.to_pylist() for c in batch.columns)
-            for at in range(0, len(texts), 256):
-                for key, ids in zip(names[at : at + 256], encoder(texts[at : at + 256])):
-                    keys.append(key)
-                    held.append(np.append(ids, np.uint32(end)))
-                    size += len(ids) + 1
-                    if size >= file_tokens:
-                        close()
-        if keys:
-            close()
-        yield pa.RecordBatch.from_pydict({"name": [w[0] for w in written], "tokens": pa.array([w[1] for w in written], pa.int64())}, schema=pa.schema([("name", pa.string()), ("tokens", pa.int64())]))
+        encoder, part, nth = _encoder(tokenizer, specials), TaskContext.get().partitionId(), 0
+        for batch in by_bytes(batches, "text", SLICE):
+            ids, starts = encoder(batch.column("text"), end)
+            keys, names, sizes = batch.column("doc_id").to_pylist(), [], []
+            for a, b in _closings(starts, file_tokens):
+                name, aside = f"part-{part:07d}-{nth:07d}.dac", f".{uuid.uuid4().hex}"
+                with store.open_output_stream(f"{root}/{aside}") as out:
+                    out.write(to_file(keys[a:b], ids[starts[a] : starts[b]], starts[a : b + 1] - starts[a]))
+                store.move(f"{root}/{aside}", f"{root}/{name}")
+                names.append(name)
+                sizes.append(int(starts[b] - starts[a]))
+                nth += 1
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], schema=told)
 
     from pyarrow import fs
 
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # a doc_id that many rows share is cut by the hash of the text, and equal rows by where they stand
+    keyed = docs.select("doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("nth"))
+    order = (F.col("doc_id").asc_nulls_first(), "h", "nth")
+    dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     return sorted((r.name, r.tokens) for r in dealt.mapInArrow(run, "name string, tokens bigint").collect())
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    """One encoder for a worker, so that later tasks find its words."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, specials: bool) -> Encoder:
+    """One encoder for a worker, so that later tasks find its units."""
+    if (path, specials) not in _encoders:
+        _encoders[path, specials] = Encoder(path, specials)
+    return _encoders[path, specials]
 
 
 def read(spark, folder: str, files: list[tuple[str, int]]) -> DataFrame:
