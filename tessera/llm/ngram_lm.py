@@ -6,51 +6,50 @@ by probing level after level until one is missing, and smoothed probabilities
 interpolate what is found for the pair with the add-half estimate of the word.
 
 The filter grows with the corpus, so it is split into parts by hash of the
-n-gram, each of about ``PART_TOKENS`` training tokens. No worker holds more than
-one part at once: a block of documents sends its distinct n-grams to the parts
-they belong to and gets back one level, a byte, for each.
-
-The base score uses exact counts of all training words. Documents are dealt
-into blocks of bounded size; each block asks for the counts of its distinct
-words in one join, and words are never counted for each document apart.
-
-Words are keyed by their 64-bit XXH64 hash.
+n-gram, each of about ``PART_TOKENS`` training tokens, and no worker holds more
+than one part at once: a block of documents sends its distinct n-grams to the
+parts they belong to and gets back one level, a byte, for each. The parts also
+hold the exact counts of their words, for the base score.
+
+Texts are read once. A block is a run of neighbouring documents of about
+``BLOCK_BYTES``; it becomes the keys of its distinct words and the place of each
+token among them, and all later passes start from that. Words are keyed by
+their 64-bit XXH64 hash. Pairs are keyed by ``SPARE_BITS`` bits more than the
+number of tokens has, so at any size an unseen pair takes another one's key in
+one of 2 ** SPARE_BITS cases at most.
 
 Defined results: a null text counts as empty and has one token, the end; a null
 doc_id counts as an empty text where folds are dealt; repeated rows are scored
-one by one; with no training document counts are zero; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+one by one; a text of any length is scored whole, in one block; with no training
+document counts are zero; an empty table gives an empty result; columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_fold
+from .common import by_bytes, cut, in_fold, parts_between, text_bytes
 
 BASE = math.sqrt(2)
 BITS = 14
 HASHES = 8
 PAIR_WEIGHT = 0.7
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 8_000_000
 PART_TOKENS = 2_000_000  # training tokens for each part of the filter
-HELD = 400_000  # distinct n-grams that a task counts before it hands them on
+SPARE_BITS = 14
 END = b""
 
 
-def tokens(text: str | None) -> list[bytes]:
-    """Words in lower case A-Z, then the end."""
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
-
-
 def word_key(word: bytes) -> int:
     x = xxhash.xxh64_intdigest(word)
     return x - (1 << 64) if x >> 63 else x
@@ -62,8 +61,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
-def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return _mix(_mix(before.view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15) * (word.view(np.uint64) | np.uint64(1))).view(np.int64)
+def pair_keys(before: np.ndarray, word: np.ndarray, bits: int = 64) -> np.ndarray:
+    """Key of ``bits`` bits for each pair of word keys."""
+    return _mix(_mix(before.view(np.uint64)) + np.uint64(0x9E3779B97F4A7C15) * (word.view(np.uint64) | np.uint64(1))) >> np.uint64(64 - bits)
 
 
 def levels(counts: np.ndarray, least: float) -> np.ndarray:
@@ -78,6 +78,13 @@ class Bloom:
         self.words = max(1, -(-entries * BITS // 64))
         self.bits = np.zeros(self.words, np.uint64)
 
+    @classmethod
+    def read(cls, bits: bytes) -> Bloom:
+        made = cls(0)
+        made.bits = np.frombuffer(bits, np.uint64)
+        made.words = len(made.bits)
+        return made
+
     @staticmethod
     def hashes(keys: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
         a = _mix(keys.view(np.uint64) + np.asarray(level, np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -111,287 +118,255 @@ class Bloom:
         return out
 
 
-class Found:
-    """Levels that the parts of the filter gave for a block's n-grams."""
+class Block:
+    """Neighbouring documents: the keys of their distinct words, each token's place among them and each document's tokens."""
+
+    def __init__(self, keys: np.ndarray, place: np.ndarray, size: np.ndarray):
+        self.keys, self.place, self.size = keys, place, size
+        self.start = np.cumsum(size) - size
+
+    @classmethod
+    def of(cls, texts: pa.Array) -> Block:
+        """Words are runs of what is no ASCII white space, in lower case A-Z; each document has an end after them."""
+        data, ends = text_bytes(texts)
+        data = np.frombuffer(data.tobytes().lower(), np.uint8)
+        inside = (data != 32) & (data - np.uint8(9) > 4)
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        first[ends[:-1][ends[:-1] < len(data)]] |= inside[ends[:-1][ends[:-1] < len(data)]]
+        begin = np.flatnonzero(first)
+        size = np.diff(np.searchsorted(begin, ends))
+        place_of = np.cumsum(inside) - inside  # where a byte stands once white space is left out
+        distinct, place = parts_between(data[inside], np.append(place_of[begin], inside.sum()))
+        keys = np.fromiter(map(word_key, [*distinct.to_pylist(), END]), np.int64, len(distinct) + 1)
+        place = np.insert(place, np.cumsum(size), len(distinct))
+        times = np.bincount(place, minlength=len(keys))
+        order = np.argsort(-times, kind="stable")  # frequent words get small numbers
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return cls(keys[order], rank[place].astype(np.int32), size + 1)
+
+    def before(self) -> np.ndarray:
+        """Place of the word before each token; the end's before the first of a document."""
+        end = int(np.flatnonzero(self.keys == word_key(END))[0])
+        out = np.concatenate([[end], self.place[:-1]]).astype(np.int64)
+        out[self.start] = end
+        return out
 
-    def __init__(self, keys: np.ndarray, levels: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.levels = keys[order], levels[order]
+    def pairs(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Key of each distinct pair of neighbours, and the place of each token's pair among them."""
+        _, first, at = np.unique(self.before() * len(self.keys) + self.place, return_index=True, return_inverse=True)
+        return pair_keys(self.keys[self.before()[first]], self.keys[self.place[first]], bits), at
 
-    def level(self, keys: np.ndarray) -> np.ndarray:
-        return self.levels[np.searchsorted(self.keys, keys)].astype(np.int64)
+    def some(self, held: np.ndarray) -> Block:
+        """The documents for which ``held`` is true."""
+        return Block(self.keys, self.place[np.repeat(held, self.size)], self.size[held])
 
 
 class Model:
-    """The filter, or what it gave for a block, with what turns levels into probabilities."""
+    """Levels of n-grams, turned into counts and probabilities."""
 
-    def __init__(self, total: int, distinct: int, bloom: Bloom | Found):
-        self.total, self.distinct, self.bloom = total, distinct, bloom
+    def __init__(self, total: int, distinct: int):
+        self.total, self.distinct = total, distinct
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def counts(found: np.ndarray) -> np.ndarray:
         """Estimated counts: the middle of the level found, 0 for what isn't in the filter."""
-        found = self.bloom.level(keys)
-        return np.where(found > 0, BASE ** (found - 1) * (1 + BASE) / 2, 0.0)
-
-    def log10(self, keys: np.ndarray, first: np.ndarray, end: int) -> np.ndarray:
-        """log10 probability of each token after the one before it; ``first`` marks the starts of texts."""
-        distinct, at = np.unique(keys, return_inverse=True)
-        single = self.counts(distinct)[at]
-        alone = (single + 0.5) / (self.total + 0.5 * (self.distinct + 1))
-        before = np.concatenate([keys[:1], keys[:-1]])
-        before[first] = end
-        seen = np.concatenate([single[:1], single[:-1]])
-        seen[first] = self.counts(np.array([end], np.int64))[0]
-        known = np.flatnonzero((seen > 0) & (single > 0))
-        pair = np.zeros(len(keys))
-        pair[known] = np.minimum(1.0, self.counts(pair_keys(before[known], keys[known])) / seen[known])
+        return np.where(found > 0, BASE ** (found - 1.0) * (1 + BASE) / 2, 0.0)
+
+    def log10(self, block: Block, words: np.ndarray, pairs: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of each token of the block after the one before it, from the levels of words and pairs."""
+        single = self.counts(words)
+        alone = ((single + 0.5) / (self.total + 0.5 * (self.distinct + 1)))[block.place]
+        seen = single[block.before()]
+        pair = np.divide(self.counts(pairs)[at], seen, out=np.zeros(len(at)), where=(seen > 0) & (single[block.place] > 0))
         weight = np.where(seen > 0, PAIR_WEIGHT, 0.0)
-        return np.log10(weight * pair + (1 - weight) * alone)
+        return np.log10(weight * np.minimum(1.0, pair) + (1 - weight) * alone)
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[list[list]]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield [c.to_pylist() for c in batch.slice(at, rows).columns]
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, so that their zero bytes stand together, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T).tobytes())
 
 
-_COUNTS = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+def _of_planes(x: bytes, kind=np.int64) -> np.ndarray:
+    wide = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(wide, -1).T).view(kind).reshape(-1)
 
 
-def _batch(h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(n, pa.int64())], schema=_COUNTS)
+def _packed(keys: np.ndarray) -> bytes:
+    """Keys in unsigned order as differences."""
+    return _planes(np.diff(keys.view(np.uint64), prepend=np.uint64(0)))
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(h, n) of every word and the end over all rows of the one column of ``texts``."""
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.cumsum(_of_planes(x, np.uint64), dtype=np.uint64).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def told() -> pa.RecordBatch:
-            keys = np.fromiter(map(word_key, held), np.int64, len(held))
-            return _batch(keys, np.fromiter(held.values(), np.int64, len(held)))
+def _bounds(keys: np.ndarray, parts: int, bits: int) -> np.ndarray:
+    """Where each part's keys begin and end; parts are ranges of unsigned keys of ``bits`` bits, in whose order ``keys`` are."""
+    high = keys.view(np.uint64) >> np.uint64(bits - 32) if bits > 32 else keys.view(np.uint64) << np.uint64(32 - bits)
+    return np.searchsorted(high * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
-        for (part,) in _slices(batches):
-            for text in part:
-                held.update(tokens(text))
-            if len(held) >= HELD:
-                yield told()
-                held.clear()
-        if held:
-            yield told()
 
-    return texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
 
-def _keyed(documents: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of the distinct words, each token's place among them, and the start and length of each document."""
-    joined = [w for d in documents for w in d]
-    place = {w: i for i, w in enumerate(set(joined))}
-    keys = np.fromiter(map(word_key, place), np.int64, len(place))
-    size = np.fromiter(map(len, documents), np.int64, len(documents))
-    return keys, np.fromiter(map(place.__getitem__, joined), np.int64, len(joined)), np.cumsum(size) - size, size
+def _by_part(block: Block, parts: int, bits: int) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray], list[tuple[int, slice, slice]]]:
+    """Order of words and their keys in it, the same of pairs, and the slices of both for each part that has any."""
+    pair = block.pairs(bits)[0]
+    word_order, pair_order = np.argsort(block.keys.view(np.uint64)), np.argsort(pair.view(np.uint64))
+    words, pairs = block.keys[word_order], pair[pair_order]
+    w, p = _bounds(words, parts, 64), _bounds(pairs, parts, bits)
+    some = np.flatnonzero(np.diff(w) + np.diff(p)).tolist()
+    return (word_order, words), (pair_order, pairs), [(i, slice(w[i], w[i + 1]), slice(p[i], p[i + 1])) for i in some]
 
 
-def _pairs(keys: np.ndarray, at: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Key of each token's pair with the one before it, from what ``_keyed`` gives."""
-    word = keys[at]
-    before = np.concatenate([word[:1], word[:-1]])
-    before[start] = word_key(END)
-    return pair_keys(before, word)
+_CODED = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.binary()), ("keys", pa.binary()), ("place", pa.binary())])
+CODED = "block bigint, n bigint, doc_ids array<bigint>, held array<boolean>, size binary, keys binary, place binary"
 
 
-def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, sorted, and the sums of their counts."""
-    keys, counts = np.concatenate(h), np.concatenate(n)
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
-
-
-def _count_pairs(batches: Iterator[pa.RecordBatch], known: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and counts of the pairs in the one column of texts; with ``known``, of pairs of those words alone."""
-    held, n = [], 0
-    for (part,) in _slices(batches):
-        keys, at, start, _ = _keyed([tokens(t) for t in part])
-        pairs = _pairs(keys, at, start)
-        if known is not None:
-            ok = np.isin(keys, known)[at]
-            pairs = pairs[ok & (np.concatenate([ok[:1], ok[:-1]]) | np.isin(np.arange(len(at)), start))]
-        held.append(np.unique(pairs, return_counts=True))
-        n += len(held[-1][0])
-        if n >= HELD:
-            held = [_summed(*zip(*held))]
-            n = len(held[0][0])
-            if n >= HELD // 2:
-                yield held[0]
-                held, n = [], 0
-    if held:
-        yield _summed(*zip(*held))
-
-
-def pair_counts(texts: DataFrame, frequent: np.ndarray | None = None) -> DataFrame:
-    """(h, n) of the pairs of words; if ``frequent`` is given, of pairs of words with these keys."""
+def coded(docs: DataFrame) -> DataFrame:
+    """A row for each block of ``docs`` (doc_id, text, held)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (_batch(*x) for x in _count_pairs(batches, frequent))
+        part, nth = TaskContext.get().partitionId(), 0
+        for batch in by_bytes(batches, "text", BLOCK_BYTES):
+            block = Block.of(batch.column("text"))
+            row = ((part << 32) + nth, len(block.place), batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), _planes(block.size), _planes(block.keys), _planes(block.place))
+            nth += 1
+            yield _table([row], _CODED)
 
-    return texts.mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "held").mapInArrow(run, CODED)
 
 
-def train(texts: DataFrame) -> Model:
-    """Model of the one column of ``texts`` with a filter in one piece, for texts that one process can hold."""
-    words = word_counts(texts).toPandas()
-    grams = [words, pair_counts(texts).toPandas()]
-    h, n = (np.concatenate([g[c].to_numpy(np.int64) for g in grams]) for c in ("h", "n"))
-    return Model(int(words["n"].sum()), len(words), _filter_of(h, n))
+def _read(row: dict) -> Block:
+    return Block(_of_planes(row["keys"]), _of_planes(row["place"], np.int32), _of_planes(row["size"]))
 
 
-def _filter_of(h: np.ndarray, n: np.ndarray) -> Bloom:
-    """The filter that holds the counts ``n`` of the keys ``h``."""
-    return Bloom(int(levels(n.astype(float), 1.0).sum())).add(h, n)
+_CELLS = pa.schema([("part", pa.int64()), ("words", pa.binary()), ("n_words", pa.binary()), ("pairs", pa.binary()), ("n_pairs", pa.binary())])
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers byte by byte, so that their zero bytes stand together."""
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+def _cells(row: dict, parts: int, bits: int) -> pa.RecordBatch:
+    """A row for each part with the keys and counts of a block's training n-grams that belong to it."""
+    block = _read(row).some(~np.array(row["held"], bool))
+    times = np.bincount(block.place, minlength=len(block.keys))
+    _, at = block.pairs(bits)
+    each = np.bincount(at)
+    # words of other documents alone are no training words
+    (w_order, words), (p_order, pairs), cells = _by_part(block, parts, bits)
+    times, each, rows = times[w_order], each[p_order], []
+    for part, w, p in cells:
+        on = times[w] > 0
+        rows.append((part, _packed(words[w][on]), _planes(times[w][on]), _packed(pairs[p]), _planes(each[p])))
+    return _table(rows, _CELLS)
 
 
-def _of_planes(x: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view(np.int64).reshape(-1)
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """Keys in unsigned order as differences."""
-    return _planes(np.diff(keys.view(np.uint64), prepend=np.uint64(0)))
-
-
-def _unpacked(x: bytes) -> np.ndarray:
-    return np.cumsum(_of_planes(x).view(np.uint64), dtype=np.uint64).view(np.int64)
-
+def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, in unsigned order, and the sums of their counts."""
+    keys, counts = np.concatenate(h).view(np.uint64), np.concatenate(n)
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))[: len(keys)]
+    return keys[first].view(np.int64), np.add.reduceat(counts, first) if len(first) else counts
 
-def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each part's keys begin and end; parts are ranges of unsigned keys, in whose order ``keys`` are."""
-    part = (keys.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
 
+def _apart(pairs: np.ndarray) -> np.ndarray:
+    """Pairs' keys moved away from words' keys, as both stand in one filter."""
+    return _mix(pairs.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
-_CELLS = pa.schema([("part", pa.int64()), ("h", pa.binary()), ("n", pa.binary())])
 
+_PART = pa.schema([("part", pa.int64()), ("distinct", pa.int64()), ("total", pa.int64()), ("words", pa.binary()), ("n_words", pa.binary()), ("bits", pa.binary())])
 
-def _cells(h: np.ndarray, n: np.ndarray, parts: int) -> pa.RecordBatch:
-    """A row for each part with the keys and counts that belong to it."""
-    order = np.argsort(h.view(np.uint64))
-    h, n = h[order], n[order]
-    at = _bounds(h, parts)
-    some = np.flatnonzero(np.diff(at)).tolist()
-    cut_up = lambda x, pack: pa.array([pack(x[at[p] : at[p + 1]]) for p in some], pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), cut_up(h, _packed), cut_up(n, _planes)], schema=_CELLS)
 
+def _built(cells: pa.Table) -> pa.Table:
+    """One part of the filter: its bits, and its words with exact counts."""
+    columns = {c: cells.column(c).to_pylist() for c in cells.column_names}
+    words, n = _summed([_unpacked(x) for x in columns["words"]], [_of_planes(x) for x in columns["n_words"]])
+    pairs, m = _summed([_unpacked(x) for x in columns["pairs"]], [_of_planes(x) for x in columns["n_pairs"]])
+    counts = np.concatenate([n, m])
+    bloom = Bloom(int(levels(counts.astype(float), 1.0).sum())).add(np.concatenate([words, _apart(pairs)]), counts)
+    return pa.Table.from_batches([_table([(columns["part"][0], len(words), int(n.sum()), _packed(words), _planes(n), bloom.bits.tobytes())], _PART)])
 
-def _counted(texts: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
-    """(part, h, n): counts of pairs as tasks find them and of words, in cells of packed keys and counts."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from (_cells(*x, parts) for x in _count_pairs(batches))
+def filter_parts(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
+    """The parts of the filter of the training documents in ``blocks``."""
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= HELD:
-                yield told(held)
-                held, n = [], 0
-        if n:
-            yield told(held)
-
-    def told(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
-        return _cells(table.column(0).to_numpy(), table.column(1).to_numpy(), parts)
+            for nth in range(batch.num_rows):
+                (row,) = batch.slice(nth, 1).to_pylist()
+                if not all(row["held"]):
+                    yield _cells(row, parts, bits)
 
-    schema = "part bigint, h binary, n binary"
-    return texts.mapInArrow(pairs, schema).unionByName(counts.select("h", "n").mapInArrow(words, schema))
+    cells = blocks.mapInArrow(count, "part bigint, words binary, n_words binary, pairs binary, n_pairs binary")
+    return cells.repartition(parts, "part").groupBy("part").applyInArrow(_built, "part bigint, distinct bigint, total bigint, words binary, n_words binary, bits binary")
 
 
 _ASKED = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())])
-_TOLD = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.binary()), ("levels", pa.binary())])
+_TOLD = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.binary()), ("word_levels", pa.binary()), ("pair_levels", pa.binary())])
 
 
-def _probe(cells: pa.Table, asked: pa.Table) -> pa.Table:
+def _probe(part: pa.Table, asked: pa.Table) -> pa.Table:
     """What one part knows of the n-grams that blocks ask for: exact counts of words, and levels (a byte each) of words and pairs."""
-    if not asked.num_rows:
-        return _TOLD.empty_table()
-    h, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if cells.num_rows:
-        h, n = _summed([_unpacked(x) for x in cells.column("h").to_pylist()], [_of_planes(x) for x in cells.column("n").to_pylist()])
-    bloom, rows = _filter_of(h, n), []
-    for block, part, words, pairs in zip(*(c.to_pylist() for c in asked.columns)):
-        words, count = _unpacked(words), np.int64(0)
-        if len(h):
-            place = np.minimum(np.searchsorted(h, words), len(h) - 1)
-            count = np.where(h[place] == words, n[place], 0)
-        level = bloom.level(np.concatenate([words, _unpacked(pairs)]))
-        rows.append((block, part, _planes(np.broadcast_to(count, len(words)).astype(np.int64)), level.astype(np.uint8).tobytes()))
-    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _TOLD)], schema=_TOLD)
-
-
-class _Block:
-    """Tokens of a block of documents and its distinct n-grams, in unsigned order of their keys."""
-
-    def __init__(self, documents: pa.Table):
-        self.slices = [_keyed([tokens(t) for t in part]) for (part,) in _slices(documents.select(["text"]).to_batches())]
-        distinct = lambda x: np.unique(np.concatenate(x).view(np.uint64)).view(np.int64)
-        self.words = distinct([keys for keys, _, _, _ in self.slices])
-        self.pairs = distinct([_pairs(keys, at, start) for keys, at, start, _ in self.slices])
-
-    def asked(self, block: int, parts: int) -> pa.Table:
-        w, p = _bounds(self.words, parts), _bounds(self.pairs, parts)
-        some = np.flatnonzero(np.diff(w) + np.diff(p)).tolist()
-        rows = [(block, i, _packed(self.words[w[i] : w[i + 1]]), _packed(self.pairs[p[i] : p[i + 1]])) for i in some]
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _ASKED)], schema=_ASKED)
-
-    def told(self, known: pa.Table) -> tuple[Found, np.ndarray]:
-        """Levels of all n-grams, and exact counts of the words."""
-        n, words, pairs = [], [], []
-        for count, level in zip(*(known.sort_by("part").column(c).to_pylist() for c in ("n", "levels"))):
-            n.append(_of_planes(count))
-            words.append(level[: len(n[-1])])
-            pairs.append(level[len(n[-1]) :])
-        return Found(np.concatenate([self.words, self.pairs]), np.frombuffer(b"".join(words + pairs), np.uint8)), np.concatenate(n)
+    rows = []
+    if part.num_rows:
+        (known,) = part.to_pylist()
+        bloom = Bloom.read(known["bits"])
+        keys, counts = _unpacked(known["words"]).view(np.uint64), _of_planes(known["n_words"])
+    for nth in range(asked.num_rows):
+        (row,) = asked.slice(nth, 1).to_pylist()
+        words, pairs = _unpacked(row["words"]), _unpacked(row["pairs"])
+        n, of_words, of_pairs = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(pairs))
+        if part.num_rows:
+            if len(keys):
+                place = np.minimum(np.searchsorted(keys, words.view(np.uint64)), len(keys) - 1)
+                n = np.where(keys[place] == words.view(np.uint64), counts[place], 0)
+            of_words, of_pairs = bloom.level(words), bloom.level(_apart(pairs))
+        rows.append((row["block"], row["part"], _planes(n), _planes(of_words.astype(np.uint8)), _planes(of_pairs.astype(np.uint8))))
+    return pa.Table.from_batches([_table(rows, _TOLD)])
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _rated(row: dict, told: pa.Table, total: int, distinct: int, parts: int, bits: int) -> pa.RecordBatch:
+    block = _read(row)
+    (word_order, _), (pair_order, _), _ = _by_part(block, parts, bits)
+    told = told.sort_by("part")
+    column = lambda c, kind: np.concatenate([_of_planes(x, kind) for x in told.column(c).to_pylist()])
+    count, words, pairs = (np.zeros(len(x), np.int64) for x in (word_order, word_order, pair_order))
+    count[word_order], words[word_order], pairs[pair_order] = column("n", np.int64), column("word_levels", np.uint8), column("pair_levels", np.uint8)
+    base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))[block.place]
+    score = Model(total, distinct).log10(block, words, pairs, block.pairs(bits)[1])
+    sums = [np.add.reduceat(x, block.start) for x in (base, score, (count > 0)[block.place].astype(np.int64))]
+    return _table(list(zip(row["doc_ids"], row["held"], block.size.tolist(), sums[2].tolist(), [total] * len(block.size), sums[0].tolist(), sums[1].tolist())), _SCORED)
 
 
 def score(docs: DataFrame, training: Column | None = None) -> DataFrame:
     """Scores of all rows by a model of those for which ``training`` (on doc_id) holds."""
     training = ~in_fold(F.col("doc_id"), 1) if training is None else training
-    texts = docs.filter(training).select("text")
-    counts = cut(word_counts(texts))
-    distinct, total = counts.agg(F.count("*"), F.sum("n")).first()
-    total = int(total or 0)
-    parts = max(1, -(-total // PART_TOKENS))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    dealt = docs.select("doc_id", "text", (~training).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-    dealt = dealt.repartition("block")
-
-    def ask(documents: pa.Table) -> pa.Table:
-        return _Block(documents).asked(documents.column("block")[0].as_py(), parts)
-
-    wanted = dealt.groupBy("block").applyInArrow(ask, "block bigint, part bigint, words binary, pairs binary")
-    told = _counted(texts, counts, parts).groupBy("part").cogroup(wanted.groupBy("part"))
-    told = told.applyInArrow(_probe, "block bigint, part bigint, n binary, levels binary")
-    out = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def rate(documents: pa.Table, known: pa.Table) -> pa.Table:
-        end, block, made = word_key(END), _Block(documents), []
-        found, n = block.told(known)
-        m, h = Model(total, distinct, found), block.words.view(np.uint64)
-        for (doc_ids, held), (keys, at, start, length) in zip(_slices(documents.select(["doc_id", "held_out"]).to_batches()), block.slices):
-            count = n[np.searchsorted(h, keys.view(np.uint64))]
-            base = np.log10((count + 0.5) / (total + 0.5 * (distinct + 1)))[at]
-            sums = [np.add.reduceat(x, start) for x in (base, m.log10(keys[at], start, end), (count > 0)[at].astype(np.int64))]
-            made.append(pa.table([pa.array(doc_ids, pa.int64()), pa.array(held), length, sums[2], np.full(len(length), total), sums[0], sums[1]], schema=out))
-        return pa.concat_tables(made)
-
-    return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(rate, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    # written once, so that all passes see the same blocks
+    blocks = cut(coded(docs.select("doc_id", "text", (~training).alias("held"))))
+    tokens, n = blocks.agg(F.sum("n"), F.count("*")).first()
+    tokens, n = int(tokens or 0), max(1, n)
+    bits = min(63, tokens.bit_length() + SPARE_BITS)
+    parts = max(1, -(-tokens // PART_TOKENS))
+    built = cut(filter_parts(blocks, parts, bits))
+    distinct, total = (int(x or 0) for x in built.agg(F.sum("distinct"), F.sum("total")).first())
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for nth in range(batch.num_rows):
+                (row,) = batch.slice(nth, 1).to_pylist()
+                (_, words), (_, pairs), cells = _by_part(_read(row), parts, bits)
+                yield _table([(row["block"], part, _packed(words[w]), _packed(pairs[p])) for part, w, p in cells], _ASKED)
+
+    asked = blocks.select("block", "held", "size", "keys", "place").mapInArrow(ask, "block bigint, part bigint, words binary, pairs binary")
+    told = built.repartition(parts, "part").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_probe, "block bigint, part bigint, n binary, word_levels binary, pair_levels binary")
+
+    def rate(mine: pa.Table, known: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_rated(row, known, total, distinct, parts, bits) for row in mine.to_pylist()])
+
+    return blocks.repartition(n, "block").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(rate, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")

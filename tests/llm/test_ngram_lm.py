@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import ngram_lm as M
@@ -25,22 +26,54 @@ def slow_scores(texts):
     return out
 
 
-@pytest.mark.parametrize("block,held", [(M.BLOCK_BYTES, M.HELD), (60_000, 500)])
-def test_documents_match_brute_force(spark, sf, monkeypatch, block, held):
+def slow_interpolated(texts, held):
+    """The same model with exact counts of words and pairs."""
+    words, pairs = Counter(), Counter()
+    for i, t in texts.items():
+        if not held[i]:
+            w = slow_tokens(t)
+            words.update(w)
+            pairs.update(zip(["", *w], w))
+    n, v, out = sum(words.values()), len(words), {}
+    for i, t in texts.items():
+        w, told = slow_tokens(t), []
+        for x, y in zip(["", *w], w):
+            alone, weight = (words[y] + 0.5) / (n + 0.5 * (v + 1)), M.PAIR_WEIGHT if words[x] else 0.0
+            told.append(math.log10(weight * min(1.0, pairs[x, y] / words[x] if words[x] else 0.0) + (1 - weight) * alone))
+        out[i] = sum(told)
+    return out
+
+
+@pytest.mark.parametrize("block,part", [(M.BLOCK_BYTES, M.PART_TOKENS), (60_000, 9000)])
+def test_documents_match_brute_force(spark, sf, monkeypatch, block, part):
     monkeypatch.setattr(M, "BLOCK_BYTES", block)
-    monkeypatch.setattr(M, "HELD", held)
+    monkeypatch.setattr(M, "PART_TOKENS", part)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    want = slow_scores(dict(docs.select("doc_id", "text").collect()))
+    texts = dict(docs.select("doc_id", "text").collect())
+    want = slow_scores(texts)
+    exact = slow_interpolated(texts, {i: x[0] for i, x in want.items()})
     got = {r.doc_id: r for r in M.score(docs).collect()}
     assert got.keys() == want.keys()
     for i, (held_out, n, known, total, base) in want.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held_out, n, known, total)
         assert abs(r.base_score - base) < 1e-6 * abs(base) and r.score < 0
+        # a level is off by a quarter of a power of two at most, for a pair and for the word before it
+        assert abs(r.score - exact[i]) < (0.16 * n if n < 50 else 0.06 * n), (i, n, r.score, exact[i])
     # pairs tell more than words alone
     assert np.mean([r.score - r.base_score for r in got.values() if r.held_out and r.n_tokens > 50]) > 0
 
 
+def test_words_of_a_block():
+    texts = [None, "", " ", "A  b\ta", "b", " \u00c9t\u00e9 ", "a\x1cb\x85c", "x" * 300, "  "]
+    block = M.Block.of(pa.array(texts))
+    names = {M.word_key(w.encode()): w for t in texts for w in slow_tokens(t)}
+    told = [names[k] for k in block.keys[block.place].tolist()]
+    assert [told[a : a + n] for a, n in zip(block.start, block.size)] == [slow_tokens(t) for t in texts]
+    read = M.Block(*(M._of_planes(M._planes(x), x.dtype) for x in (block.keys, block.place, block.size)))
+    assert (read.keys[read.before()] == np.array([M.word_key(w.encode()) for t in texts for w in ["", *slow_tokens(t)][:-1]])).all()
+
+
 def test_filter_gives_back_levels():
     rng = np.random.default_rng(0)
     keys, q = rng.integers(-(2**62), 2**62, 5000), rng.integers(1, 12, 5000)
@@ -58,26 +91,17 @@ def test_levels_are_logarithms_of_counts():
     assert M.levels(np.array([10.0, 14.1, 14.2, 20.0, 40.0]), 10).tolist() == [1, 1, 2, 3, 5]
 
 
-def test_counts_of_words_and_pairs(spark):
-    texts = ["a b a b", "b a", None, "A  c\tb"]
-    frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    words = {r.h: r.n for r in M.word_counts(frame).collect()}
-    assert words == {M.word_key(w): n for w, n in ((b"a", 4), (b"b", 4), (b"c", 1), (b"", 4))}
-    frequent = np.sort(np.array([M.word_key(w) for w in (b"a", b"b", b"")]))
-    pairs = {r.h: r.n for r in M.pair_counts(frame, frequent).collect()}
-    key = lambda x, y: int(M.pair_keys(np.array([M.word_key(x)]), np.array([M.word_key(y)]))[0])
-    assert pairs == {key(*p): n for p, n in (((b"", b"a"), 2), ((b"a", b"b"), 2), ((b"b", b"a"), 2), ((b"b", b""), 2), ((b"", b"b"), 1), ((b"a", b""), 1), ((b"", b""), 1))}
-
-
-def test_probabilities_sum_to_about_one(spark):
-    rows = [("the cat sat on the mat",), ("the dog sat on the cat",)] * 20
-    model = M.train(spark.createDataFrame(rows, "text string"))
-    vocabulary = [b"the", b"cat", b"sat", b"on", b"mat", b"dog", b""]
-    keys = np.array([M.word_key(w) for w in vocabulary])
-    for before in (b"the", b"sat", b""):
-        pairs = np.stack([np.full(7, M.word_key(before)), keys], axis=1).reshape(-1)
-        p = 10 ** model.log10(pairs, np.array([], np.int64), M.word_key(b""))[1::2]
-        assert 0.8 < p.sum() < 1.25
+def test_probabilities_sum_to_about_one():
+    texts = ["the cat sat on the mat", "the dog sat on the cat"] * 20
+    row = dict(zip(("held", "size", "keys", "place"), ([False] * 40, *(M._planes(x) for x in (lambda b: (b.size, b.keys, b.place))(M.Block.of(pa.array(texts)))))))
+    (part,) = M._built(pa.Table.from_batches([M._cells(row, 1, 40)])).to_pylist()
+    assert (part["distinct"], part["total"]) == (7, 280)
+    bloom, vocabulary = M.Bloom.read(part["bits"]), ["the", "cat", "sat", "on", "mat", "dog"]
+    for before in ("the", "sat"):
+        block = M.Block.of(pa.array([f"{before} {w}" for w in vocabulary] + [before]))
+        pairs, at = block.pairs(40)
+        p = 10 ** M.Model(280, 7).log10(block, bloom.level(block.keys), bloom.level(M._apart(pairs)), at)
+        assert 0.8 < p[block.start + 1].sum() < 1.25
 
 
 def test_nulls_repeats_and_empty(spark):
@@ -90,6 +114,7 @@ def test_nulls_repeats_and_empty(spark):
 def test_rare_pairs_count_whatever_the_size_of_the_corpus(spark, monkeypatch):
     monkeypatch.setattr(M, "PART_TOKENS", 20_000)  # several parts
     monkeypatch.setattr(M, "BLOCK_BYTES", 400_000)
+    monkeypatch.setattr(M, "SPARE_BITS", 24)
     common = " ".join(["so", "it", "goes", "on"] * 500)
     rows = [(2 * i, common) for i in range(150)] + [(1001, "rare pair"), (1003, "rare pair"), (2001, "rare pair"), (2003, "pair rare")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -100,12 +125,12 @@ def test_rare_pairs_count_whatever_the_size_of_the_corpus(spark, monkeypatch):
     assert abs(got[2001].base_score - got[2003].base_score) < 1e-9
 
 
-def test_keys_and_counts_come_back_from_cells():
+def test_keys_and_counts_come_back_from_parts():
     rng = np.random.default_rng(0)
-    keys, counts = np.unique(rng.integers(-(2**63), 2**63 - 1, 4000)), rng.integers(1, 900, 4000)
-    cells = M._cells(keys, counts, 5).to_pylist()
-    h, n = (np.concatenate([f(c[x]) for c in cells]) for x, f in (("h", M._unpacked), ("n", M._of_planes)))
-    assert [c["part"] for c in cells] == list(range(5)) and dict(zip(h.tolist(), n.tolist())) == dict(zip(keys.tolist(), counts.tolist()))
-    found = M._filter_of(keys, counts).level(keys)
-    want = M.levels(counts.astype(float), 1.0)
-    assert (found >= want).all() and (found == want).mean() > 0.98
+    keys, counts = np.unique(rng.integers(-(2**63), 2**63 - 1, 4000).view(np.uint64)).view(np.int64), rng.integers(1, 900, 4000)
+    assert (M._unpacked(M._packed(keys)) == keys).all() and (M._of_planes(M._planes(counts)) == counts).all()
+    at = M._bounds(keys, 5, 64)
+    assert at[0] == 0 and at[-1] == 4000 and (np.diff(at) > 700).all()
+    small = np.sort(rng.integers(0, 2**20, 4000)).view(np.int64)
+    assert (np.diff(M._bounds(small, 5, 20)) > 700).all()
+    assert len(M._unpacked(M._packed(keys[:0]))) == 0
