@@ -44,7 +44,7 @@ BASE = math.sqrt(2)
 BITS = 14
 HASHES = 8
 PAIR_WEIGHT = 0.7
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 12_000_000
 PART_TOKENS = 2_000_000  # training tokens for each part of the filter
 SPARE_BITS = 14
 END = b""
@@ -78,13 +78,6 @@ class Bloom:
         self.words = max(1, -(-entries * BITS // 64))
         self.bits = np.zeros(self.words, np.uint64)
 
-    @classmethod
-    def read(cls, bits: bytes) -> Bloom:
-        made = cls(0)
-        made.bits = np.frombuffer(bits, np.uint64)
-        made.words = len(made.bits)
-        return made
-
     @staticmethod
     def hashes(keys: np.ndarray, level) -> tuple[np.ndarray, np.ndarray]:
         a = _mix(keys.view(np.uint64) + np.asarray(level, np.uint64) * np.uint64(0xD1342543DE82EF95))
@@ -223,8 +216,8 @@ def _by_part(block: Block, parts: int, bits: int) -> tuple[tuple[np.ndarray, np.
     return (word_order, words), (pair_order, pairs), [(i, slice(w[i], w[i + 1]), slice(p[i], p[i + 1])) for i in some]
 
 
-_CODED = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.binary()), ("keys", pa.binary()), ("place", pa.binary())])
-CODED = "block bigint, n bigint, doc_ids array<bigint>, held array<boolean>, size binary, keys binary, place binary"
+_CODED = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("n_train", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("size", pa.binary()), ("keys", pa.binary()), ("place", pa.binary())])
+CODED = "block bigint, n bigint, n_train bigint, doc_ids array<bigint>, held array<boolean>, size binary, keys binary, place binary"
 
 
 def coded(docs: DataFrame) -> DataFrame:
@@ -234,7 +227,8 @@ def coded(docs: DataFrame) -> DataFrame:
         part, nth = TaskContext.get().partitionId(), 0
         for batch in by_bytes(batches, "text", BLOCK_BYTES):
             block = Block.of(batch.column("text"))
-            row = ((part << 32) + nth, len(block.place), batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), _planes(block.size), _planes(block.keys), _planes(block.place))
+            n_train = int(block.size[~batch.column("held").to_numpy(zero_copy_only=False)].sum())
+            row = ((part << 32) + nth, len(block.place), n_train, batch.column("doc_id").to_pylist(), batch.column("held").to_pylist(), _planes(block.size), _planes(block.keys), _planes(block.place))
             nth += 1
             yield _table([row], _CODED)
 
@@ -245,24 +239,57 @@ def _read(row: dict) -> Block:
     return Block(_of_planes(row["keys"]), _of_planes(row["place"], np.int32), _of_planes(row["size"]))
 
 
-_CELLS = pa.schema([("part", pa.int64()), ("words", pa.binary()), ("n_words", pa.binary()), ("pairs", pa.binary()), ("n_pairs", pa.binary())])
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for nth in range(batch.num_rows):
+            yield from batch.slice(nth, 1).to_pylist()
+
+
+def distinct_words(blocks: DataFrame, parts: int) -> int:
+    """Number of distinct words of the training documents; each part of the keys is counted in its own task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block = _read(row).some(~np.array(row["held"], bool))
+            words = np.sort(block.keys[np.bincount(block.place, minlength=len(block.keys)) > 0].view(np.uint64))
+            at = _bounds(words, parts, 64)
+            yield _table([(i, _packed(words[at[i] : at[i + 1]])) for i in np.flatnonzero(np.diff(at)).tolist()], pa.schema([("part", pa.int64()), ("words", pa.binary())]))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for row in _rows(batches):
+            held.append(_unpacked(row["words"]))
+            if sum(map(len, held)) > PART_TOKENS:
+                held = [np.unique(np.concatenate(held))]
+        yield pa.RecordBatch.from_pydict({"n": [len(np.unique(np.concatenate(held))) if held else 0]})
+
+    cells = blocks.filter("n_train > 0").select("held", "size", "keys", "place").mapInArrow(run, "part bigint, words binary")
+    return cells.repartitionById(parts, F.col("part").cast("int")).select("words").mapInArrow(count, "n bigint").agg(F.sum("n")).first()[0] or 0
+
 
+# a cell: n-grams of a block that belong to a part; with counts those of its training documents, without those it asks for
+_CELLS = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary()), ("n_words", pa.binary()), ("n_pairs", pa.binary())])
+CELLS = "part bigint, block bigint, words binary, pairs binary, n_words binary, n_pairs binary"
 
-def _cells(row: dict, parts: int, bits: int) -> pa.RecordBatch:
-    """A row for each part with the keys and counts of a block's training n-grams that belong to it."""
+
+def _counted(row: dict, parts: int, bits: int) -> pa.RecordBatch:
+    """A cell for each part with the keys and counts of a block's training n-grams that belong to it."""
     block = _read(row).some(~np.array(row["held"], bool))
-    times = np.bincount(block.place, minlength=len(block.keys))
-    _, at = block.pairs(bits)
-    each = np.bincount(at)
-    # words of other documents alone are no training words
+    times, each = np.bincount(block.place, minlength=len(block.keys)), np.bincount(block.pairs(bits)[1])
     (w_order, words), (p_order, pairs), cells = _by_part(block, parts, bits)
     times, each, rows = times[w_order], each[p_order], []
     for part, w, p in cells:
-        on = times[w] > 0
-        rows.append((part, _packed(words[w][on]), _planes(times[w][on]), _packed(pairs[p]), _planes(each[p])))
+        on = times[w] > 0  # words of other documents alone are no training words
+        rows.append((part, None, _packed(words[w][on]), _packed(pairs[p]), _planes(times[w][on]), _planes(each[p])))
     return _table(rows, _CELLS)
 
 
+def _asked(row: dict, parts: int, bits: int) -> pa.RecordBatch:
+    """A cell for each part with the keys of a block's n-grams that belong to it."""
+    (_, words), (_, pairs), cells = _by_part(_read(row), parts, bits)
+    return _table([(part, row["block"], _packed(words[w]), _packed(pairs[p]), None, None) for part, w, p in cells], _CELLS)
+
+
 def _summed(h: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, in unsigned order, and the sums of their counts."""
     keys, counts = np.concatenate(h).view(np.uint64), np.concatenate(n)
@@ -277,55 +304,66 @@ def _apart(pairs: np.ndarray) -> np.ndarray:
     return _mix(pairs.view(np.uint64) ^ np.uint64(0xA0761D6478BD642F)).view(np.int64)
 
 
-_PART = pa.schema([("part", pa.int64()), ("distinct", pa.int64()), ("total", pa.int64()), ("words", pa.binary()), ("n_words", pa.binary()), ("bits", pa.binary())])
-
+class Part:
+    """One part of the filter, and its words with exact counts, from cells with counts."""
 
-def _built(cells: pa.Table) -> pa.Table:
-    """One part of the filter: its bits, and its words with exact counts."""
-    columns = {c: cells.column(c).to_pylist() for c in cells.column_names}
-    words, n = _summed([_unpacked(x) for x in columns["words"]], [_of_planes(x) for x in columns["n_words"]])
-    pairs, m = _summed([_unpacked(x) for x in columns["pairs"]], [_of_planes(x) for x in columns["n_pairs"]])
-    counts = np.concatenate([n, m])
-    bloom = Bloom(int(levels(counts.astype(float), 1.0).sum())).add(np.concatenate([words, _apart(pairs)]), counts)
-    return pa.Table.from_batches([_table([(columns["part"][0], len(words), int(n.sum()), _packed(words), _planes(n), bloom.bits.tobytes())], _PART)])
+    def __init__(self) -> None:
+        self.cells: list[list[np.ndarray]] = [[], [], [], []]
+        self.held = 0
 
+    def add(self, row: dict) -> None:
+        for into, x in zip(self.cells, (_unpacked(row["words"]), _of_planes(row["n_words"]), _unpacked(row["pairs"]), _of_planes(row["n_pairs"]))):
+            into.append(x)
+            self.held += len(x)
+        if self.held > 4 * PART_TOKENS:  # what repeats is summed before more is held
+            self._sum()
 
-def filter_parts(blocks: DataFrame, parts: int, bits: int) -> DataFrame:
-    """The parts of the filter of the training documents in ``blocks``."""
+    def _sum(self) -> None:
+        if self.cells[0]:
+            words, pairs = _summed(*self.cells[:2]), _summed(*self.cells[2:])
+            self.cells, self.held = [[x] for x in (*words, *pairs)], 0
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for nth in range(batch.num_rows):
-                (row,) = batch.slice(nth, 1).to_pylist()
-                if not all(row["held"]):
-                    yield _cells(row, parts, bits)
+    def close(self) -> Part:
+        self._sum()
+        self.words, self.n, pairs, m = (x[0] if x else np.zeros(0, np.int64) for x in self.cells)
+        counts = np.concatenate([self.n, m])
+        self.bloom = Bloom(int(levels(counts.astype(float), 1.0).sum())).add(np.concatenate([self.words, _apart(pairs)]), counts)
+        self.cells = []
+        return self
 
-    cells = blocks.mapInArrow(count, "part bigint, words binary, n_words binary, pairs binary, n_pairs binary")
-    return cells.repartition(parts, "part").groupBy("part").applyInArrow(_built, "part bigint, distinct bigint, total bigint, words binary, n_words binary, bits binary")
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        if not len(self.words):
+            return np.zeros(len(words), np.int64)
+        known, words = self.words.view(np.uint64), words.view(np.uint64)
+        place = np.minimum(np.searchsorted(known, words), len(known) - 1)
+        return np.where(known[place] == words, self.n[place], 0)
 
 
-_ASKED = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("words", pa.binary()), ("pairs", pa.binary())])
 _TOLD = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("n", pa.binary()), ("word_levels", pa.binary()), ("pair_levels", pa.binary())])
 
 
-def _probe(part: pa.Table, asked: pa.Table) -> pa.Table:
-    """What one part knows of the n-grams that blocks ask for: exact counts of words, and levels (a byte each) of words and pairs."""
-    rows = []
-    if part.num_rows:
-        (known,) = part.to_pylist()
-        bloom = Bloom.read(known["bits"])
-        keys, counts = _unpacked(known["words"]).view(np.uint64), _of_planes(known["n_words"])
-    for nth in range(asked.num_rows):
-        (row,) = asked.slice(nth, 1).to_pylist()
+def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What the parts know of the n-grams that blocks ask for: exact counts of words, and levels (a byte each) of words and pairs.
+
+    Rows come by part, those with counts first, so one part is held at a time.
+    """
+    at, part, rows = None, Part(), []
+    for row in _rows(batches):
+        if row["part"] != at:
+            at, part = row["part"], Part()
+        if row["block"] is None:
+            part.add(row)
+            continue
+        if not hasattr(part, "bloom"):
+            part.close()
         words, pairs = _unpacked(row["words"]), _unpacked(row["pairs"])
-        n, of_words, of_pairs = np.zeros(len(words), np.int64), np.zeros(len(words)), np.zeros(len(pairs))
-        if part.num_rows:
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, words.view(np.uint64)), len(keys) - 1)
-                n = np.where(keys[place] == words.view(np.uint64), counts[place], 0)
-            of_words, of_pairs = bloom.level(words), bloom.level(_apart(pairs))
-        rows.append((row["block"], row["part"], _planes(n), _planes(of_words.astype(np.uint8)), _planes(of_pairs.astype(np.uint8))))
-    return pa.Table.from_batches([_table(rows, _TOLD)])
+        found = (part.counts(words), part.bloom.level(words).astype(np.uint8), part.bloom.level(_apart(pairs)).astype(np.uint8))
+        rows.append((row["block"], at, *map(_planes, found)))
+        if len(rows) == 64:
+            yield _table(rows, _TOLD)
+            rows = []
+    if rows:
+        yield _table(rows, _TOLD)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -349,22 +387,16 @@ def score(docs: DataFrame, training: Column | None = None) -> DataFrame:
     training = ~in_fold(F.col("doc_id"), 1) if training is None else training
     # written once, so that all passes see the same blocks
     blocks = cut(coded(docs.select("doc_id", "text", (~training).alias("held"))))
-    tokens, n = blocks.agg(F.sum("n"), F.count("*")).first()
-    tokens, n = int(tokens or 0), max(1, n)
+    tokens, total, n = blocks.agg(F.sum("n"), F.sum("n_train"), F.count("*")).first()
+    tokens, total, n = int(tokens or 0), int(total or 0), max(1, n)
     bits = min(63, tokens.bit_length() + SPARE_BITS)
-    parts = max(1, -(-tokens // PART_TOKENS))
-    built = cut(filter_parts(blocks, parts, bits))
-    distinct, total = (int(x or 0) for x in built.agg(F.sum("distinct"), F.sum("total")).first())
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for nth in range(batch.num_rows):
-                (row,) = batch.slice(nth, 1).to_pylist()
-                (_, words), (_, pairs), cells = _by_part(_read(row), parts, bits)
-                yield _table([(row["block"], part, _packed(words[w]), _packed(pairs[p])) for part, w, p in cells], _ASKED)
-
-    asked = blocks.select("block", "held", "size", "keys", "place").mapInArrow(ask, "block bigint, part bigint, words binary, pairs binary")
-    told = built.repartition(parts, "part").groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(_probe, "block bigint, part bigint, n binary, word_levels binary, pair_levels binary")
+    parts = max(1, -(-total // PART_TOKENS))
+    distinct = distinct_words(blocks, parts)
+    each = lambda make: lambda batches: (make(row, parts, bits) for row in _rows(batches))
+    needed = blocks.select("block", "held", "size", "keys", "place", "n_train")
+    cells = needed.filter("n_train > 0").mapInArrow(each(_counted), CELLS).unionByName(needed.mapInArrow(each(_asked), CELLS))
+    dealt = cells.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.col("block").asc_nulls_first())
+    told = dealt.mapInArrow(_probe, "block bigint, part bigint, n binary, word_levels binary, pair_levels binary")
 
     def rate(mine: pa.Table, known: pa.Table) -> pa.Table:
         return pa.Table.from_batches([_rated(row, known, total, distinct, parts, bits) for row in mine.to_pylist()])

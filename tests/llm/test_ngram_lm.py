@@ -93,10 +93,13 @@ def test_levels_are_logarithms_of_counts():
 
 def test_probabilities_sum_to_about_one():
     texts = ["the cat sat on the mat", "the dog sat on the cat"] * 20
-    row = dict(zip(("held", "size", "keys", "place"), ([False] * 40, *(M._planes(x) for x in (lambda b: (b.size, b.keys, b.place))(M.Block.of(pa.array(texts)))))))
-    (part,) = M._built(pa.Table.from_batches([M._cells(row, 1, 40)])).to_pylist()
-    assert (part["distinct"], part["total"]) == (7, 280)
-    bloom, vocabulary = M.Bloom.read(part["bits"]), ["the", "cat", "sat", "on", "mat", "dog"]
+    block = M.Block.of(pa.array(texts))
+    row = {"held": [False] * 40} | {c: M._planes(x) for c, x in (("size", block.size), ("keys", block.keys), ("place", block.place))}
+    part = M.Part()
+    for cell in M._counted(row, 1, 40).to_pylist():
+        part.add(cell)
+    assert len(part.close().words) == 7 and part.n.sum() == 280
+    bloom, vocabulary = part.bloom, ["the", "cat", "sat", "on", "mat", "dog"]
     for before in ("the", "sat"):
         block = M.Block.of(pa.array([f"{before} {w}" for w in vocabulary] + [before]))
         pairs, at = block.pairs(40)
