@@ -41,6 +41,14 @@ def map_rows(
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, kind: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while kind.lower() in taken:
+        kind += "_"
+    return kind
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts in a row, and where each begins and the last ends; a null counts as empty."""
     column = column.cast(pa.large_binary()).fill_null(b"")
