@@ -1,18 +1,28 @@
 """Main text of web pages by composite text density.
 
 For each node of the page's tree the density is its characters per tag, scaled
-down by the share of its text that stands in links. Inline markup is no node:
-its characters and its links count for the element around it. The density sum
-of a node adds the densities of its children. The subtree of largest sum is content; the
-smallest density on the path from it up to the body is the threshold from which
-other nodes may add theirs. Elements that are page furniture by their meaning
-(menus, forms, scripts, adverts, notices, comments and the like) are left out
-of the tree before.
+down by the share of its text that stands in links. Inline markup is no node of
+its own: its characters and its links count for the element around it. The
+density sum of a node adds the densities of its children. The subtree of largest
+sum is content; the smallest density on the path from it up to the body is the
+threshold from which other nodes may add theirs.
+
+Elements that are furniture by their tag (menus, scripts, footers and the like)
+are left out of the tree before. Names in class, id and role only hint, in two
+ways. A name that says nothing but furniture (``sidebar``, ``cookie-notice``), or
+a form, is left out unless it holds the article: an article or main element, or
+more than ``WRAPS`` of the page's text outside links, where names of comments and
+notices never wrap. A name that has such a word as a part (``has-sidebar``,
+``post-header``) is left to density: it goes if it doesn't hold the densest
+subtree, and within that if it is mostly links or below the threshold and has no
+headline.
 
 Defined results: a null or empty page, or one without main text, has the empty
-text; unclosed and truncated markup is read as browsers read it; repeated rows
-are read one by one; null ids and urls are passed through; an empty table gives
-an empty result; columns other than page_id, url and html are ignored.
+text; of two subtrees with equal sums the first counts; unclosed and truncated
+markup is read as browsers read it; pages of any length and depth are read whole,
+in time that grows with their length; repeated rows are read one by one; null
+ids and urls are passed through; an empty table gives an empty result; columns
+other than page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +30,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,7 +49,7 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 FURNITURE = frozenset(
-    "head script style noscript template nav footer aside form button select option textarea input iframe object embed svg canvas "
+    "head script style noscript template nav footer aside button select option textarea input iframe object embed svg canvas "
     "audio video dialog menu fieldset title meta link".split()
 )
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -50,7 +61,10 @@ HINTS = (
     "footer header masthead topbar comment comments disqus reply replies respond share sharing social related recommended widget toolbar search"
 ).split()
 
-_HINT = re.compile(r"(?:^|[\s_-])(?:" + "|".join(HINTS) + r")(?:$|[\s_-])", re.IGNORECASE)
+NEVER = frozenset("ad ads advert advertisement adverts advertising cookie cookies consent gdpr comment comments disqus reply replies respond newsletter".split())
+WRAPS = 0.6  # of a page's characters outside links
+
+_HINT = re.compile("(?:" + "|".join(HINTS) + ")")
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z",
     re.DOTALL,
@@ -58,25 +72,38 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.IGNORECASE)
 
 
-def _is_furniture(tag: str, attributes: str, inside_article: bool) -> bool:
+NONE, PART, WHOLE, NEVER_WRAPS, ALWAYS = range(5)
+
+
+def _hint(tag: str, attributes: str, inside_article: bool) -> int:
+    """What tag and attributes say: ALWAYS furniture, furniture by a WHOLE name, by PART of one, or NONE."""
     if tag in FURNITURE or tag == "header" and not inside_article:
-        return True
+        return ALWAYS
+    found = WHOLE if tag == "form" else NONE
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES:
-            return True
-        if name in ("class", "id") and _HINT.search(value):
-            return True
-    return False
+        name, value = name.lower(), value.strip("\"'").lower()
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return ALWAYS
+        if name == "role" and value in ROLES:
+            found = max(found, WHOLE)
+        elif name in ("class", "id"):
+            for token in value.split():
+                words = [w for w in re.split("[_-]+", token) if w]
+                hints = [bool(_HINT.fullmatch(w)) for w in words]
+                if hints and all(hints):
+                    found = max(found, WHOLE if NEVER.isdisjoint(words) else NEVER_WRAPS)
+                elif any(hints):
+                    found = max(found, PART)
+    return found
 
 
 class _Tree:
     """Nodes in page order with what is counted in each, and the text events."""
 
     def __init__(self) -> None:
-        self.tags, self.parents, self.last = ["#root"], [-1], [0]
+        self.tags, self.parents, self.last, self.hints = ["#root"], [-1], [0], [NONE]
         self.chars, self.link_chars, self.link_tags = [0], [0], [0]
         self.events: list[tuple[int, str | None]] = []  # (node, text), or (node, None) at a block's edge
 
@@ -85,10 +112,12 @@ def _parse(page: str) -> _Tree:
     tree, at = _Tree(), 0
     stack: list[tuple[str, int]] = [("#root", 0)]  # node -1: furniture
     articles = links = hidden = 0
+    open_tags: Counter = Counter()
 
     def close() -> None:
         nonlocal articles, links, hidden
         tag, node = stack.pop()
+        open_tags[tag] -= 1
         articles -= tag in ("article", "main")
         links -= tag == "a"
         hidden -= node < 0
@@ -115,12 +144,12 @@ def _parse(page: str) -> _Tree:
             continue
         tag = tag.lower()
         if shut:
-            if any(t == tag for t, _ in stack):
+            if open_tags[tag]:
                 while stack[-1][0] != tag:
                     close()
                 close()
             continue
-        if tag in BLOCK and tag not in ("html", "body"):  # a block ends an open paragraph
+        if open_tags["p"] and tag in BLOCK and tag not in ("html", "body"):  # a block ends an open paragraph
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] == "p":
                     while len(stack) > depth:
@@ -128,7 +157,7 @@ def _parse(page: str) -> _Tree:
                     break
                 if stack[depth][0] in SCOPES:
                     break
-        if tag in CLOSED_BY_SAME:
+        if any(open_tags[t] for t in CLOSED_BY_SAME.get(tag, ())):
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth][0] in CLOSED_BY_SAME[tag]:
                     while len(stack) > depth:
@@ -136,9 +165,11 @@ def _parse(page: str) -> _Tree:
                     break
                 if stack[depth][0] in SCOPES - CLOSED_BY_SAME[tag]:
                     break
-        if tag in ("html", "body") and any(t == tag for t, _ in stack):
+        if tag in ("html", "body") and open_tags[tag]:
             continue
-        out = hidden or _is_furniture(tag, attributes, articles > 0)
+        hint = ALWAYS if hidden else _hint(tag, attributes, articles > 0)
+        # an inline element that is furniture by its name is left out, as it is no node
+        out = hint == ALWAYS or tag in INLINE and hint >= WHOLE
         node = stack[-1][1]
         if not out and tag in INLINE:
             tree.link_tags[node] += tag == "a"
@@ -148,6 +179,7 @@ def _parse(page: str) -> _Tree:
             tree.tags.append(tag)
             tree.parents.append(node)
             tree.last.append(0)
+            tree.hints.append(hint)
             for counted in (tree.chars, tree.link_chars, tree.link_tags):
                 counted.append(0)
             node = len(tree.tags) - 1
@@ -162,44 +194,82 @@ def _parse(page: str) -> _Tree:
         articles += tag in ("article", "main")
         links += tag == "a"
         hidden += bool(out)
+        open_tags[tag] += 1
         stack.append((tag, -1 if out else node))
     while len(stack) > 1:
         close()
     return tree
 
 
-def _densities(tree: _Tree) -> tuple[list[float], list[float], int]:
-    """Density and density sum of each node, and the node of the body."""
-    n = len(tree.tags)
-    chars, link_chars, link_tags, tags = list(tree.chars), list(tree.link_chars), list(tree.link_tags), list(tree.link_tags)
-    last = list(range(n))
+class _Sums:
+    """Counts, densities and density sums of the nodes that aren't ``gone``."""
+
+    def __init__(self, tree: _Tree, gone: list[bool]):
+        n, parents = len(tree.tags), tree.parents
+        self.gone = list(gone)
+        for i in range(1, n):
+            self.gone[i] |= self.gone[parents[i]]
+        here = lambda counted: [0 if g else c for c, g in zip(counted, self.gone)]
+        self.chars, self.link_chars, self.link_tags = here(tree.chars), here(tree.link_chars), here(tree.link_tags)
+        self.tags, self.heads = list(self.link_tags), [int(t == "h1" and not g) for t, g in zip(tree.tags, self.gone)]
+        self.articles = [int(t in ("article", "main") and not g) for t, g in zip(tree.tags, self.gone)]
+        for i in range(n - 1, 0, -1):
+            p = parents[i]
+            self.tags[p] += 0 if self.gone[i] else self.tags[i] + 1
+            for counted in (self.chars, self.link_chars, self.link_tags, self.heads, self.articles):
+                counted[p] += counted[i]
+        self.body = next((i for i, t in enumerate(tree.tags) if t == "body"), 0)
+        share = self.link_chars[self.body] / self.chars[self.body] if self.chars[self.body] else 0.0
+        self.density, below = [0.0] * n, [0.0] * n
+        leaf = [True] * n
+        for i in range(n - 1, -1, -1):
+            c, t = self.chars[i], max(1, self.tags[i])
+            if c:
+                self.density[i] = c / t
+                if share:
+                    base = math.log(c / max(1, c - self.link_chars[i]) * self.link_chars[i] + share * c + math.e)
+                    ratio = math.log(c / max(1, self.link_chars[i]) * t / max(1, self.link_tags[i]))
+                    self.density[i] *= max(0.0, ratio) / math.log(base)
+            if i and not self.gone[i]:
+                below[parents[i]] += self.density[i]
+                leaf[parents[i]] = False
+        self.sums = [self.density[i] if leaf[i] else below[i] for i in range(n)]
+        self.top = list(range(n))  # node of the largest sum in each subtree, the first of equals
+        for i in range(n - 1, 0, -1):
+            p, mine = parents[i], self.top[i]
+            if not self.gone[i] and (self.sums[mine], -mine) > (self.sums[self.top[p]], -self.top[p]):
+                self.top[p] = mine
+
+    def threshold(self, tree: _Tree) -> float:
+        """The smallest density from the densest subtree up to the body."""
+        i = self.top[self.body]
+        least = self.density[i]
+        while i >= 0:
+            least = min(least, self.density[i])
+            i = -1 if i == self.body else tree.parents[i]
+        return least
+
+
+def _without_furniture(tree: _Tree) -> _Sums:
+    n, last, parents = len(tree.tags), list(range(len(tree.tags))), tree.parents
     for i in range(n - 1, 0, -1):
-        p = tree.parents[i]
-        chars[p] += chars[i]
-        link_chars[p] += link_chars[i]
-        tags[p] += tags[i] + 1
-        link_tags[p] += link_tags[i]
-        last[p] = max(last[p], last[i])
+        last[parents[i]] = max(last[parents[i]], last[i])
     tree.last = last
-    body = next((i for i, t in enumerate(tree.tags) if t == "body"), 0)
-    share = link_chars[body] / chars[body] if chars[body] else 0.0
-    density, sums = [0.0] * n, [0.0] * n
-    for i in range(n):
-        c, t = chars[i], max(1, tags[i])
-        if not c:
+    all_of = _Sums(tree, [False] * n)
+    if not any(tree.hints):
+        return all_of
+    prose = all_of.chars[all_of.body] - all_of.link_chars[all_of.body]
+    wraps = lambda i: all_of.articles[i] > 0 or tree.hints[i] == WHOLE and all_of.chars[i] - all_of.link_chars[i] > WRAPS * prose
+    gone = [h >= WHOLE and not wraps(i) for i, h in enumerate(tree.hints)]
+    some = _Sums(tree, gone)
+    best, threshold = some.top[some.body], some.threshold(tree)
+    for i, h in enumerate(tree.hints):
+        if h != PART or some.gone[i] or i <= best <= last[i]:
             continue
-        density[i] = c / t
-        if share:
-            base = math.log(c / max(1, c - link_chars[i]) * link_chars[i] + share * c + math.e)
-            ratio = math.log(c / max(1, link_chars[i]) * t / max(1, link_tags[i]))
-            density[i] *= max(0.0, ratio) / math.log(base)
-    for i in range(n - 1, 0, -1):
-        if tree.parents[i] >= 0:
-            sums[tree.parents[i]] += density[i]
-    leaf = [True] * n
-    for p in tree.parents[1:]:
-        leaf[p] = False
-    return density, [density[i] if leaf[i] else sums[i] for i in range(n)], body
+        mostly_links = 2 * some.link_chars[i] > some.chars[i]
+        inside = best < i <= last[best]
+        gone[i] = mostly_links or not inside or some.density[i] < threshold and not some.heads[i]
+    return _Sums(tree, gone)
 
 
 def main_text(page: str | None) -> str:
@@ -207,16 +277,11 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     tree = _parse(page)
-    density, sums, body = _densities(tree)
-    best = max(range(body, tree.last[body] + 1), key=lambda i: sums[i])
-    threshold, i = density[best], best
-    while i >= 0:
-        threshold = min(threshold, density[i])
-        i = -1 if i == body else tree.parents[i]
-    content, i = [False] * len(tree.tags), body
-    while i <= tree.last[body]:
-        if not content[i] and density[i] > 0 and density[i] >= threshold:
-            top = max(range(i, tree.last[i] + 1), key=lambda j: sums[j])
+    of = _without_furniture(tree)
+    threshold, content, i = of.threshold(tree), [False] * len(tree.tags), of.body
+    while i <= tree.last[of.body]:
+        if not content[i] and not of.gone[i] and of.density[i] > 0 and of.density[i] >= threshold:
+            top = of.top[i]
             content[top : tree.last[top] + 1] = [True] * (tree.last[top] + 1 - top)
         i = tree.last[i] + 1 if content[i] else i + 1
     blocks, words = [], []
@@ -225,7 +290,7 @@ def main_text(page: str | None) -> str:
             if block := " ".join("".join(words).split()):
                 blocks.append(block)
             words = []
-        elif content[node]:
+        elif content[node] and not of.gone[node]:
             words.append(text)
     return "\n\n".join(blocks)
 

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -35,6 +36,40 @@ def test_pages(markup, want):
     assert H.main_text(markup) == want
 
 
+@pytest.mark.parametrize("name", ["content no-sidebar", "page has-sidebar", "layout-sidebar-right", "search-result", "social-policy", "post-header", "related-work", "page search", "post share-enabled"])
+@pytest.mark.parametrize("element", ["div", "form", "article"])
+def test_wrappers_with_furniture_in_their_names_stay(name, element):
+    inside = f"<h1>T</h1><p>{TEXT}</p><p>{TEXT}</p><p>{TEXT}</p>"
+    aside = f"<div class=sidebar><a href=x>one</a> <a href=y>two</a></div><div class='cookie-notice'>We use cookies</div>"
+    want = f"T\n\n{TEXT}\n\n{TEXT}\n\n{TEXT}"
+    assert H.main_text(page(f"<div class='{name}'><{element}>{inside}</{element}>{aside}</div>")) == want
+    assert H.main_text(page(f"<{element} class='{name}'>{inside}{aside}</{element}>")) == want
+
+
+def test_names_inside_an_article_are_left_to_density():
+    section = f"<section class='related-work'><h2>Before</h2><p>{TEXT} {TEXT}</p></section>"
+    links = "<div class='share-buttons'><a href=x>Send to a friend</a> <a href=y>Print it</a></div>"
+    got = H.main_text(page(f"<div class=post><div class='post-header'><h1>T</h1></div><p>{TEXT}</p>{section}{links}<p>{TEXT}</p></div>"))
+    assert got == f"T\n\n{TEXT}\n\nBefore\n\n{TEXT} {TEXT}\n\n{TEXT}"
+
+
+def test_comments_longer_than_the_article_are_no_content():
+    got = H.main_text(page(f"<div class=post><h1>T</h1><p>{TEXT}</p><p>{TEXT}</p></div><div class=comments>{f'<p>{TEXT}</p>' * 20}</div>"))
+    assert got == f"T\n\n{TEXT}\n\n{TEXT}"
+
+
+def test_time_grows_with_length():
+    def seconds(n):
+        began = time.process_time()
+        H.main_text(page("".join(f"<div class='a-nav-{i % 3}'><p>{TEXT[:20]}" for i in range(n))))
+        H.main_text(page("<span>" * n + f"<div><li>{TEXT}" * (n // 4)))
+        return time.process_time() - began
+
+    seconds(2000)
+    assert seconds(40_000) < 60 * max(seconds(2000), 0.02)
+    assert H.main_text(page("<div>" * 50_000 + f"<p>{TEXT}</p>")) == TEXT
+
+
 def test_hostile_pages_end():
     assert H.main_text("<div>" * 20_000 + "x") == "x"
     H.main_text('<a href="' * 3000)
