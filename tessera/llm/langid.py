@@ -43,8 +43,8 @@ from .common import free_name, in_fold, map_rows
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
-PER_LANG = 400
-SAMPLE = 6400
+PER_LANG = 250
+SAMPLE = 4000
 SPARE = 4
 LANGS = 256
 ENOUGH = 80  # bytes of text that are held against the whole threshold
@@ -77,11 +77,11 @@ def buckets(text: str):
         yield ((three | b[3:] << 24) * np.uint32(2246822519)) >> 16
 
 
-def features(text: str) -> tuple[list[int], list[float]]:
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a text and their shares."""
     counts = sum(np.bincount(h, minlength=BUCKETS) for h in buckets(text))
     at = np.flatnonzero(counts)
-    return at.tolist(), (counts[at] / counts.sum()).tolist()
+    return at, counts[at] / counts.sum()
 
 
 def made_text(text: str, rng: np.random.Generator, kind: int) -> str:
@@ -107,7 +107,7 @@ def made_text(text: str, rng: np.random.Generator, kind: int) -> str:
     return "".join(out)
 
 
-def examples(lang: str, text: str) -> Iterator[tuple[str, list[int], list[float]]]:
+def examples(lang: str, text: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
     """(language, buckets, shares) of what is learned from a row: it, a short stretch of it, and a made text."""
     rng = np.random.default_rng(np.frombuffer(text.encode("utf-8", "surrogatepass")[:64].ljust(64), np.uint32))
     yield lang, *features(text)
@@ -209,10 +209,10 @@ def fit(docs: DataFrame, fold: int | None = 0) -> Model:
     near = hashed.join(F.broadcast(bounds), "lang").filter((F.col("h") / 2.0**64 + 0.5) * F.col("several") < SPARE * room)
     nth = F.row_number().over(W.partitionBy("lang").orderBy("h"))
     drawn = near.select("lang", "text", "h", nth.alias("nth")).filter(F.col("nth") <= room).select("lang", "text", "h")
-    schema = "h bigint, lang string, at array<int>, share array<float>"
-    made = map_rows(drawn, schema, lambda: lambda rows: [(h, *x) for lang, t, h in rows if has_letter(t) for x in ([(UNKNOWN, *features(t))] if lang == UNKNOWN else examples(lang, t))], rows=16)
-    rows = made.toPandas().sort_values(["lang", "h"], kind="stable")
-    return train([(lang, np.asarray(a), np.asarray(x, float)) for lang, a, x in zip(rows["lang"], rows["at"], rows["share"])])
+    packed = lambda at, share: (at.astype(np.uint16).tobytes(), share.astype(np.float32).tobytes())
+    made = map_rows(drawn, "h bigint, lang string, at binary, share binary", lambda: lambda rows: [(h, x[0], *packed(*x[1:])) for lang, t, h in rows if has_letter(t) for x in ([(UNKNOWN, *features(t))] if lang == UNKNOWN else examples(lang, t))], rows=16)
+    rows = made.toArrow().sort_by([("lang", "ascending"), ("h", "ascending"), ("at", "ascending")])
+    return train([(x["lang"], np.frombuffer(x["at"], np.uint16), np.frombuffer(x["share"], np.float32)) for x in rows.to_pylist()])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
