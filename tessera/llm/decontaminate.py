@@ -1,56 +1,84 @@
 """Benchmark items found in documents by edit distance over words.
 
-A document is contaminated by an item of L words if a window of L words of it
-is within ``floor((1 - SIMILARITY) * L)`` word edits of the item. Words are
+A document is contaminated by an item of L words if some stretch of its words is
+within ``k = floor((1 - SIMILARITY) * L)`` word edits of the item. Words are
 lower-cased runs of ASCII letters, digits and other non-ASCII characters.
 
-Windows are embedded by CGK random walks: a walk copies the word it stands on
-and moves on by a random bit of word and step, so that a small edit distance
-becomes a small Hamming distance between the copied words. Each repetition has
-its own walk and samples ``SAMPLED`` positions of the embedding as the key under
-which windows and items of equal length meet. How many repetitions reach the
-target recall is computed from the share of items that still meet copies with
-the most edits allowed. What meets is verified by exact edit distance.
-
-Before windows are embedded, those are put aside that no item can match: k
-edits spoil at most 2k of an item's L - 1 word pairs, so a window must hold
-L - 1 - 2k pairs that occur in items of its length.
-
-The index of the items is sent to every task. Its size is checked: items are
-taken in blocks of at most ``BLOCK_CHARS`` characters, one pass each.
-
-Defined results: items and documents that are null or empty, and items of fewer
-than ``MIN_WORDS`` words, match nothing; repeated items count once, under their
-smallest item_id; items without an id are ignored; repeated documents and those
-without a doc_id are matched one by one; an empty table on either side gives an
-empty result; other columns are ignored.
+Windows of L words are embedded by CGK random walks: a walk copies the word it
+stands on and moves on by a random bit of word and step, so that a small edit
+distance becomes a small Hamming distance between the copied words. Each
+repetition has its own walk and samples ``SAMPLED`` positions of the embedding
+as the key under which windows and items of equal length meet. What meets is
+verified by the smallest edit distance of the item to any stretch around the
+window, so words that are missing or added don't push the end of an item out.
+
+How many repetitions reach the target recall is measured for each length, on
+items with k edits of mixed kinds and on items without k of their words whose
+windows are filled with foreign words; the trials that meet least count. Where
+more than ``MOST_REPETITIONS`` would be needed, the length is searched without
+keys: each item is held against all places that pass the test of word pairs.
+
+That test puts aside what no item can match: k edits spoil at most 2k of an
+item's L - 1 word pairs, so a stretch of at most L + k words must hold
+L - 1 - 2k pairs that occur in items of its length. Windows that reach over the
+end of a document are filled up, so shorter documents are matched too.
+
+The index is built by tasks, in blocks of at most ``BLOCK_CHARS`` characters,
+and written to the shared folder. A worker holds one block at a time; documents
+are read once, whatever the number of blocks.
+
+Defined results: items and documents that are null, empty or without a word
+match nothing; items of fewer than ``1 / (1 - SIMILARITY)`` words match verbatim
+alone; items of equal words count once, under their smallest item_id; items
+without an id are ignored; of equally near stretches the first is told; repeated
+documents and those without a doc_id are matched one by one; documents and items
+of any length are read whole; an empty table on either side gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import by_bytes, new_folder, parts_between, text_bytes
 
 SIMILARITY = 0.8
-MIN_WORDS = 5
 SAMPLED = 2
 RECALL = 0.99
 MOST_REPETITIONS = 64
+TRIALS = 32
 BLOCK_CHARS = 4_000_000
-BATCH = 1024  # documents matched together
-_WORDY = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+SLICE = 4_000_000  # bytes of documents matched together
+_WORDY = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
+
+
+def coded(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Distinct words of all texts, each word's place among them, and where each text's words begin and the last end."""
+    data, ends = text_bytes(pc.utf8_lower(texts.cast(pa.large_string())))
+    inside = _WORDY[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    edge = ends[:-1][ends[:-1] < len(data)]
+    first[edge] |= inside[edge]
+    begin = np.flatnonzero(first)
+    distinct, place = parts_between(data[inside], np.append((np.cumsum(inside) - inside)[begin], inside.sum()))
+    return distinct.to_pylist(), place, np.searchsorted(begin, ends)
 
 
 def words(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "surrogatepass").translate(_WORDY).split()
+    distinct, place, _ = coded(pa.array([text], pa.string()))
+    return [distinct[i] for i in place]
 
 
 def allowed(n: int, similarity: float) -> int:
@@ -58,23 +86,35 @@ def allowed(n: int, similarity: float) -> int:
     return math.floor((1 - similarity) * n + 1e-9)
 
 
-def edit_distance(a, b) -> int:
-    """Levenshtein distance of two sequences, a row of the table held in two bit vectors."""
+def _distances(item, stretch, anywhere: bool) -> list[int]:
+    """Levenshtein distance of the item to each prefix of the stretch, or to its nearest suffix if it may begin anywhere.
+
+    A row of the table is held in two bit vectors.
+    """
     at: dict = defaultdict(int)
-    for i, x in enumerate(a):
+    for i, x in enumerate(item):
         at[x] |= 1 << i
-    n, full = len(a), (1 << len(a)) - 1
-    plus, minus, score = full, 0, n
-    if not n:
-        return len(b)
-    for x in b:
+    n, full = len(item), (1 << len(item)) - 1
+    plus, minus, score, out = full, 0, n, [n]
+    edge = 0 if anywhere else 1
+    for x in stretch:
         same = at.get(x, 0)
         down = (((same & plus) + plus) ^ plus) | same | minus
         rise, fall = minus | ~(down | plus) & full, plus & down
         score += (rise >> (n - 1) & 1) - (fall >> (n - 1) & 1)
-        rise, fall = (rise << 1 | 1) & full, fall << 1 & full
+        rise, fall = (rise << 1 | edge) & full, fall << 1 & full
         plus, minus = fall | ~(down | rise) & full, rise & down
-    return score
+        out.append(score)
+    return out
+
+
+def nearest(item, stretch) -> tuple[int, int]:
+    """The smallest distance of the item to any part of the stretch, and where the first such part begins."""
+    told = _distances(item, stretch, True)
+    least = min(told)
+    end = told.index(least)
+    back = _distances(item[::-1], stretch[:end][::-1], False)
+    return least, end - back.index(least)
 
 
 def _mixed(x: np.ndarray, salt: int) -> np.ndarray:
@@ -117,11 +157,11 @@ def _keys(x: np.ndarray, repetition: int, sampled: int) -> np.ndarray:
 class Index:
     """Items by length, the word pairs of each length and the keys of each repetition."""
 
-    def __init__(self, items: list[tuple[int, str]], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 0):
+    def __init__(self, items: list[tuple[int, str | None]], similarity: float = SIMILARITY, recall: float = RECALL, seed: int = 0):
         self.vocabulary: dict[bytes, int] = {}
         first: dict[tuple, int] = {}
         for item_id, text in sorted(items, key=lambda x: x[0]):
-            if len(found := words(text)) >= MIN_WORDS:
+            if found := words(text):
                 first.setdefault(tuple(self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in found), item_id)
         self.lengths: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for n in sorted({len(x) for x in first}):
@@ -134,55 +174,58 @@ class Index:
                 pairs[pair] |= 1 << nth % 64  # lengths that share a bit pass each other's windows, none is lost
         self.pairs = np.array(sorted(pairs), np.int64)
         self.in_lengths = np.array([pairs[p] for p in self.pairs.tolist()], np.uint64)
-        self.repetitions = self._repetitions(recall, seed)
-        self.keys = {n: [_keys(x, r, SAMPLED) for r in range(self.repetitions)] for n, (x, _) in self.lengths.items()}
-
-    def _repetitions(self, recall: float, seed: int) -> int:
-        """Repetitions for the recall, from items edited as much as is allowed."""
-        rng, met, tried = np.random.default_rng(seed), 0, 0
+        self.keys: dict[int, list[np.ndarray] | None] = {}
         for n, (x, _) in self.lengths.items():
-            k = allowed(n, self.similarity)
-            some = x[rng.permutation(len(x))[:8]]
-            edited = []
-            for row in some:
-                copy = row.tolist()
-                for _ in range(k):
-                    kind, at = rng.integers(3), int(rng.integers(len(copy)))
-                    copy[at : at + (kind != 0)] = [] if kind == 1 else [0]
-                edited.append((copy + [0] * n)[:n])
-            for r in range(16):
-                met += int((_keys(some, r, SAMPLED) == _keys(np.array(edited, np.int32), r, SAMPLED)).sum())
-                tried += len(some)
-        share = met / tried if tried else 1.0
+            often = self._repetitions(n, recall, seed) if allowed(n, similarity) else 0
+            self.keys[n] = [_keys(x, r, SAMPLED) for r in range(often)] if often <= MOST_REPETITIONS else None
+
+    def _repetitions(self, n: int, recall: float, seed: int) -> int:
+        """Repetitions for the recall on items of ``n`` words edited as much as is allowed."""
+        rng, k = np.random.default_rng([seed, n]), allowed(n, self.similarity)
+        some = np.repeat(self.lengths[n][0][rng.permutation(len(self.lengths[n][0]))[:6]], 4, axis=0)
+        edited = []
+        for i, row in enumerate(some):
+            copy = row.tolist()
+            for _ in range(k):
+                kind, at = 1 if i % 2 else rng.integers(3), int(rng.integers(max(1, len(copy))))
+                copy[at : at + (kind != 0)] = [] if kind == 1 else [0]
+            edited.append((copy + [0] * n)[:n])
+        met = np.mean([_keys(some, r, SAMPLED) == _keys(np.array(edited, np.int32), r, SAMPLED) for r in range(TRIALS)], axis=0)
+        share = float(np.sort(met)[: max(1, len(met) // 4)].mean())
         if share >= 1:
             return 1
-        return min(MOST_REPETITIONS, max(1, math.ceil(math.log(1 - recall) / math.log(1 - share)))) if share > 0 else MOST_REPETITIONS
+        return math.ceil(math.log(1 - recall) / math.log(1 - share)) if share > 0 else MOST_REPETITIONS + 1
 
     def windows(self, ids: np.ndarray) -> list[tuple[int, np.ndarray]]:
-        """(length, starts) of the windows that an item of that length could match; id -1 parts documents."""
+        """(length, starts) of the windows around which an item of that length could match; id -1 parts documents."""
         out: list[tuple[int, np.ndarray]] = []
-        if len(ids) < MIN_WORDS or not len(self.pairs):
+        if not len(ids):
             return out
-        both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
-        pair = ids[both].astype(np.int64) * self.size + ids[both + 1]
-        place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
-        hit = self.pairs[place] == pair
-        spots, held = both[hit], self.in_lengths[place[hit]]
+        spots = held = np.zeros(0, np.int64)
+        if len(self.pairs):
+            both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
+            pair = ids[both].astype(np.int64) * self.size + ids[both + 1]
+            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            hit = self.pairs[place] == pair
+            spots, held = both[hit], self.in_lengths[place[hit]]
         for nth, n in enumerate(self.lengths):
-            need = n - 1 - 2 * allowed(n, self.similarity)
+            k = allowed(n, self.similarity)
+            need, reach = n - 1 - 2 * k, n + k - 2
+            if need <= 0:  # nothing can be put aside
+                out.append((n, np.flatnonzero(ids >= 0)))
+                continue
             mine = spots[(held >> np.uint64(nth % 64) & np.uint64(1)).astype(bool)]
             if len(mine) < need:
                 continue
-            # a run of pairs that is dense enough somewhere, before every window is counted
-            near = np.flatnonzero(mine[need - 1 :] - mine[: len(mine) - need + 1] <= n - 2)
+            near = np.flatnonzero(mine[need - 1 :] - mine[: len(mine) - need + 1] <= reach)
             if not len(near):
                 continue
-            low, high = np.maximum(mine[near + need - 1] - (n - 2), 0), mine[near]
-            starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(low.tolist(), high.tolist())]))
-            starts = starts[starts + n <= len(ids)]
-            if len(starts):
-                parted = np.concatenate([[0], np.cumsum(ids < 0)])
-                starts = starts[parted[starts + n] == parted[starts]]
+            # the starts of a stretch that holds such a run of pairs, as where runs of starts begin and end
+            change = np.zeros(len(ids) + 1, np.int32)
+            np.add.at(change, np.maximum(mine[near + need - 1] - reach, 0), 1)
+            np.add.at(change, mine[near] + 1, -1)
+            starts = np.flatnonzero(np.cumsum(change[:-1]) > 0)
+            starts = starts[ids[starts] >= 0]
             if len(starts):
                 out.append((n, starts))
         return out
@@ -196,79 +239,133 @@ class Index:
         within = np.arange(len(rows)) - np.repeat(np.cumsum(high - low) - (high - low), high - low)
         return rows * len(order) + order[np.repeat(low, high - low) + within]
 
-    def match(self, documents: list[list[bytes]]) -> list[dict[int, tuple[int, int, int]]]:
-        """For each document: item_id -> (words, least distance found, start of a window that has it)."""
-        get = self.vocabulary.get
-        joined: list[int] = []
-        begins = []
-        for document in documents:
-            begins.append(len(joined))
-            joined += [get(w, 0) for w in document]
-            joined.append(-1)
-        ids, begins = np.array(joined, np.int32), np.array(begins)
-        out: list[dict[int, tuple[int, int, int]]] = [{} for _ in documents]
+    def _candidates(self, n: int, starts: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, start) of what has to be verified."""
+        items = self.lengths[n][0]
+        if self.keys[n] is None:
+            yield from ((i, s) for i in range(len(items)) for s in starts.tolist())
+            return
+        for at in range(0, len(starts), 1 << 14):
+            part = starts[at : at + (1 << 14)]
+            place = part[:, None] + np.arange(n)[None, :]
+            x = np.where(place < ends[part][:, None], ids[np.minimum(place, len(ids) - 1)], 0)
+            if self.keys[n]:
+                met = np.unique(np.concatenate([self._meet(n, r, x) for r in range(len(self.keys[n]))]))
+            else:  # no edit is allowed, so equal windows alone match
+                known = {row.tobytes(): i for i, row in enumerate(items)}
+                found = [(r, known.get(row.tobytes())) for r, row in enumerate(x.astype(np.int32))]
+                met = np.array([r * len(items) + i for r, i in found if i is not None], np.int64)
+            yield from ((pair % len(items), int(part[pair // len(items)])) for pair in met.tolist())
+
+    def match(self, texts: pa.Array) -> list[dict[int, tuple[int, int, int]]]:
+        """For each document: item_id -> (words, least distance found, start of the first stretch that has it)."""
+        distinct, place, begin = coded(texts)
+        number = np.fromiter((self.vocabulary.get(w, 0) for w in distinct), np.int32, len(distinct))
+        ids = np.insert(number[place], begin[1:], -1)
+        begins = begin + np.arange(len(begin))  # a mark stands after each document
+        size = np.diff(begins)
+        document, ends = np.repeat(np.arange(len(size)), size), np.repeat(begins[1:] - 1, size)
+        out: list[dict[int, tuple[int, int, int]]] = [{} for _ in size]
         for n, starts in self.windows(ids):
             items, names = self.lengths[n]
             k = allowed(n, self.similarity)
-            for at in range(0, len(starts), 1 << 14):
-                part = starts[at : at + (1 << 14)]
-                x = ids[part[:, None] + np.arange(n)[None, :]]
-                met = np.concatenate([self._meet(n, r, x) for r in range(self.repetitions)])
-                pairs, times = np.unique(met, return_counts=True)
-                for pair in pairs[np.argsort(-times, kind="stable")].tolist():
-                    row, item = divmod(pair, len(items))
-                    doc, name = int(np.searchsorted(begins, part[row], "right")) - 1, int(names[item])
-                    best = out[doc].get(name)
-                    if best is None or best[1]:  # no window is nearer than an equal one
-                        d = edit_distance(items[item].tolist(), x[row].tolist())
-                        if d <= k and (best is None or d < best[1]):
-                            out[doc][name] = (n, d, int(part[row] - begins[doc]))
+            places = defaultdict(list)
+            for item, start in self._candidates(n, starts, ids, ends):
+                places[int(document[start]), item].append(start)
+            for (doc, item), some in places.items():
+                for low, high in _merged(sorted(some), n + 2 * k):
+                    low, high = max(low - k, int(begins[doc])), min(high + n + k, int(begins[doc + 1]) - 1)
+                    d, at = nearest(items[item].tolist(), ids[low:high].tolist())
+                    best = out[doc].get(int(names[item]))
+                    if d <= k and (best is None or d < best[1]):
+                        out[doc][int(names[item])] = (n, d, int(low + at - begins[doc]))
         return out
 
 
-def _indexes(benchmark: DataFrame, similarity: float, recall: float) -> list[Index]:
-    """An index for each block of items; a block's characters are bounded."""
+def _merged(starts: list[int], gap: int) -> Iterator[tuple[int, int]]:
+    """First and last of runs of starts that are at most ``gap`` apart."""
+    low = last = starts[0]
+    for s in starts[1:]:
+        if s - last > gap:
+            yield low, last
+            low = s
+        last = s
+    yield low, last
+
+
+def build(benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> list[str]:
+    """Write an index for each block of items to the shared folder; the files' paths."""
+    spark, folder = benchmark.sparkSession, new_folder(benchmark.sparkSession, "benchmark")
+
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = [b" ".join(words(t)).decode("utf-8", "replace") for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(text, pa.string())], names=["item_id", "text"])
+
+    # items of equal words are one before they are dealt to blocks
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    items = items.mapInArrow(spelled, "item_id bigint, text string").filter("text <> ''").groupBy("text").agg(F.min("item_id").alias("item_id"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-2 * chars // BLOCK_CHARS)) if chars > BLOCK_CHARS else 1
-    return [Index([tuple(r) for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()], similarity, recall) for b in range(blocks)]
+
+    def write(part: pa.Table) -> pa.Table:
+        from pyarrow import fs
+
+        block = part.column("block")[0].as_py()
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        with store.open_output_stream(f"{root}/.{block}") as out:
+            out.write(pickle.dumps(Index(list(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist())), similarity, recall)))
+        store.move(f"{root}/.{block}", f"{root}/{block}")
+        return pa.table({"path": [f"{folder}/{block}"]})
+
+    dealt = items.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)))
+    return sorted(r.path for r in dealt.groupBy("block").applyInArrow(write, "path string").collect())
+
+
+_held: dict[str, Index] = {}
+
+
+def _index(path: str) -> Index:
+    """The block at ``path``; a worker keeps the one it used last."""
+    from pyarrow import fs
+
+    if path not in _held:
+        _held.clear()
+        store, root = fs.FileSystem.from_uri(path)
+        with store.open_input_stream(root) as data:
+            _held[path] = pickle.loads(data.read())
+    return _held[path]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """doc_id, item_id, n_words, distance and start (in words) of each item found in a document."""
-    schema = "doc_id bigint, item_id bigint, n_words int, distance int, start bigint"
-    found = None
-    for index in _indexes(benchmark, similarity, recall):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    paths, out = build(benchmark, similarity, recall), "doc_id bigint, item_id bigint, n_words int, distance int, start bigint"
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("n_words", pa.int32()), ("distance", pa.int32()), ("start", pa.int64())])
 
-        def make(sent=sent):
-            def step(rows):
-                matched = sent.value.match([words(t) for _, t in rows])
-                return [(doc_id, item, *m) for (doc_id, _), found in zip(rows, matched) for item, m in sorted(found.items())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", SLICE):
+            keys = batch.column("doc_id").to_pylist()
+            for path in paths:
+                rows = [(key, item, *m) for key, found in zip(keys, _index(path).match(batch.column("text"))) for item, m in sorted(found.items())]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-            return step
-
-        part = map_rows(docs.select("doc_id", "text"), schema, make, rows=BATCH)
-        found = part if found is None else found.unionByName(part)
-    return found
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, out)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The rows of ``docs`` in which no item is found."""
-    for index in _indexes(benchmark, similarity, recall):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.filter(_clean(sent)("text"))
-    return docs
-
-
-def _clean(sent):
-    """Function that tells the texts in which no item of the index is found."""
+    paths = build(benchmark, similarity, recall)
 
     @F.pandas_udf(T.BooleanType())
     def clean(texts: pd.Series) -> pd.Series:
         out: list[bool] = []
-        for at in range(0, len(texts), BATCH):
-            out += [not m for m in sent.value.match([words(t) for t in texts.iloc[at : at + BATCH]])]
+        for part in by_bytes(iter([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])]), "text", SLICE):
+            kept = np.ones(part.num_rows, bool)
+            for path in paths:
+                kept &= [not m for m in _index(path).match(part.column("text"))]
+            out += kept.tolist()
         return pd.Series(out, dtype=bool)
 
-    return clean
+    return docs.filter(clean("text"))
