@@ -10,34 +10,39 @@ For a unigram model the state of a prefix is its best score and last piece
 (Viterbi). For a model of ranked merges the best segmentation isn't the one of
 largest sum: the encoding of a prefix is that of a shorter one and one more
 piece, where the last two pieces stay apart when they are merged alone, and
-exactly one piece fits. So the state is the last piece. Both give the ids of
-the sentencepiece library.
+exactly one piece fits. So the state is the last piece, and no score is summed.
+Both give the ids of the sentencepiece library for models that take texts as
+they are; a model that normalises texts first, or has other rules for white
+space, is refused when it is loaded.
 
 Words already seen by a worker are kept, up to a bound. Nothing is shuffled.
 
 Defined results: a null text counts as empty and has no ids; characters without
 a piece become their bytes (or the unknown id); decoding drops one leading space
 and turns marks into spaces, so a mark that stood in the text comes back as a
-space; invalid bytes decode to U+FFFD; repeated rows are encoded one by one; an
-empty table gives an empty result; columns other than doc_id and text are
+space; invalid bytes decode to U+FFFD; repeated rows are encoded one by one; texts of
+any length are encoded whole; an empty table gives an empty result; columns other than doc_id and text are
 ignored.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .common import by_bytes, parts_between, text_bytes
+
 MARK = "▁"
-CACHED_WORDS = 800_000
-CACHED_PAIRS = 2_000_000
-_WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+SLICE = 4_000_000  # bytes of text encoded together
+CACHED_WORDS = 500_000
+CACHED_PAIRS = 500_000
+PROBES = ("a", " a  b ", "\tx\ny", "\ufb01 \u00bd \u2460 \uff21 e\u0301 \u3000 \u00a0 \u200b", "<s> </s> <unk> <0x0A>", "Zz\U0001f600\u4e2d")
 
 
 class Model:
@@ -46,7 +51,7 @@ class Model:
     def __init__(self, path: str):
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         self.text = [sp.id_to_piece(i) for i in ids]
         plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
@@ -70,7 +75,10 @@ class Encoder:
     def __init__(self, path: str):
         self.model = Model(path)
         self.words: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: dict[str, bool] = {}
+        self.spelled = pa.array(self.model.spelled, pa.large_binary())
+        if [x.tolist() for x in self.lists(list(PROBES))] != self.model.library.encode(list(PROBES)):
+            raise ValueError("the model changes texts before it cuts them, which isn't built")
 
     def _merged(self, text: str) -> list[str]:
         """Pieces by merging the best pair, the leftmost of equals, until none is a piece."""
@@ -87,11 +95,11 @@ class Encoder:
 
     def _stays(self, before: str, piece: str) -> bool:
         """Whether the piece can follow: merged together, both stay as they are."""
-        known = self.apart.get((before, piece))
+        known = self.apart.get(key := f"{before} {piece}")  # no piece holds a space
         if known is None:
-            if len(self.apart) > CACHED_PAIRS:
-                self.apart.clear()
-            known = self.apart[before, piece] = self._merged(before + piece) == ([before, piece] if before else [piece])
+            known = self._merged(before + piece) == ([before, piece] if before else [piece])
+            if len(self.apart) < CACHED_PAIRS:  # those met first stay
+                self.apart[key] = known
         return known
 
     def _walk(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
@@ -140,26 +148,49 @@ class Encoder:
                 out.append(model.unknown)
         return out.tobytes()
 
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = []
-        for text in texts:
-            words = text.split(" ") if text else []
-            if words and ("" in words or MARK in text):
-                words = _WORD.findall(MARK + text.replace(" ", MARK))
-                words = [w[1:] if w[0] == MARK and len(w) > 1 and w[1] != MARK else w for w in words]
-            cut.append(words)
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        new = {w for words in cut for w in words if w not in self.words}
-        # a bare word stands for the word after one mark
-        marked = {w if w[0] == MARK else MARK + w: w for w in new}
-        for word, pieces in self._walk(sorted(marked)):
-            self.words[marked[word]] = self._ids(pieces)
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32) for words in cut]
+    def _distinct(self, units: list[bytes]) -> list[bytes]:
+        """Ids of the distinct marked words, in which spaces stand for marks."""
+        marked = {u.decode("utf-8", "surrogatepass").replace(" ", MARK): u for u in units if u not in self.words}
+        fresh = {marked[word]: self._ids(pieces) for word, pieces in self._walk(sorted(marked))}
+        if len(self.words) + len(fresh) <= CACHED_WORDS:  # the words met first stay; others are encoded each time
+            self.words.update(fresh)
+            return list(map(self.words.__getitem__, units))
+        known = self.words.get
+        return [fresh[u] if (x := known(u)) is None else x for u in units]
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin and the last end."""
+        texts = pc.replace_substring(texts.cast(pa.large_string()), MARK, " ")  # both are marks
+        data, ends = text_bytes(texts)
+        some = np.flatnonzero(np.diff(ends))
+        data = np.insert(data, ends[some], 32)  # a text begins with a mark, unless it is empty
+        ends = ends + np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
+        cut = np.zeros(len(data) + 1, bool)
+        cut[:-1] = data == 32
+        cut[1:-1] &= data[:-1] != 32
+        cut[ends] = True
+        units = np.flatnonzero(cut)
+        distinct, place = parts_between(data, units)
+        ids = self._distinct(distinct.to_pylist())
+        flat, size = np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        length = size[place]
+        total = np.concatenate([[0], np.cumsum(length)])
+        from_ = np.repeat((np.cumsum(size) - size)[place] - total[:-1], length)
+        return flat[from_ + np.arange(len(from_))], total[np.searchsorted(units, ends)]
+
+    def lists(self, texts: list[str | None]) -> list[np.ndarray]:
+        ids, starts = self(pa.array(texts, pa.string()))
+        return [ids[a:b] for a, b in zip(starts, starts[1:])]
+
+    def decode_all(self, ids: np.ndarray, starts: np.ndarray) -> list[str]:
+        """Text of each stretch of ids."""
+        data, ends = text_bytes(self.spelled.take(pa.array(ids)))
+        whole, at = data.tobytes(), ends[starts].tolist()
+        texts = (whole[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:]))
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
     def decode(self, ids) -> str:
-        text = b"".join(map(self.model.spelled.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(np.asarray(ids, np.int32), np.array([0, len(ids)]))[0]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -172,23 +203,15 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
-
-
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id and ids of each text."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for batch in batches:
-            for part in _slices(batch):
-                ids = encoder(part.column(1).to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                values = pa.array(np.concatenate(ids), pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.ListArray.from_arrays(offsets, values)], schema=schema)
+        for part in by_bytes(batches, "text", SLICE):
+            ids, starts = encoder(part.column("text"))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(starts.astype(np.int32), pa.array(ids))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -200,7 +223,8 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for batch in batches:
-            for part in _slices(batch):
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 texts = [None if ids is None else encoder.decode(ids) for ids in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(texts, pa.string())], schema=schema)
 
@@ -213,10 +237,11 @@ def round_trip(docs: DataFrame, model: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
-        for batch in batches:
-            for part in _slices(batch):
-                ids = encoder(part.column(1).to_pylist())
-                told = [(len(x), zlib.crc32(x.astype("<i4").tobytes()), zlib.crc32(encoder.decode(x.tolist()).encode())) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in zip(*told))], schema=schema)
+        for part in by_bytes(batches, "text", SLICE):
+            ids, starts = encoder(part.column("text"))
+            at, raw = starts.tolist(), ids.astype("<i4")
+            sums = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(at, at[1:])]
+            texts = [zlib.crc32(t.encode()) for t in encoder.decode_all(ids, starts)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(starts)), *(pa.array(c, pa.int64()) for c in (sums, texts))], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, text_crc32 bigint")

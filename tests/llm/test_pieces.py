@@ -23,7 +23,7 @@ def encoder():
 
 @pytest.mark.parametrize("text", [None, "", " ", "   ", "a", " a", "a ", "a  b", "  a\n\nb \t c", "a▁b ▁▁ c", "日本 語 😀 é é ﬁ", "\0 x", "aaaaaaaa aaa aa", "x" * 20_000, "ab" * 5000, "      six", "tabs\t\tand\r\n", "<s> </s> <0x0A> <unk>"])
 def test_ids_are_those_of_the_library(library, encoder, text):
-    ids = encoder([text])[0].tolist()
+    ids = encoder.lists([text])[0].tolist()
     assert ids == library.encode(text or "")
     if "▁" not in (text or ""):
         assert encoder.decode(ids) == (text or "")
@@ -33,9 +33,9 @@ def test_random_words(library, encoder):
     rng = random.Random(5)
     stems = [rng.choice(library.id_to_piece(rng.randrange(259, 32000)).replace("▁", "") or "x") + "".join(library.id_to_piece(rng.randrange(259, 32000)).replace("▁", "") for _ in range(rng.randrange(1, 4))) for _ in range(6000)]
     texts = [" ".join(stems[i : i + 50]) for i in range(0, 6000, 50)]
-    assert [x.tolist() for x in encoder(texts)] == library.encode(texts)
+    assert [x.tolist() for x in encoder.lists(texts)] == library.encode(texts)
     letters = ["".join(rng.choice("abeinst") for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
-    assert [x.tolist() for x in encoder(letters)] == library.encode(letters)
+    assert [x.tolist() for x in encoder.lists(letters)] == library.encode(letters)
 
 
 def test_unigram_path_is_the_best_path(monkeypatch):
@@ -73,3 +73,15 @@ def test_nulls_repeats_clashes_and_empty(spark):
     got = sorted((str(r.doc_id), len(r.ids)) for r in P.encode(docs, PATH).collect())
     assert got == [("1", 0), ("2", 0), ("2", 0), ("None", 2)]
     assert P.round_trip(docs.limit(0), PATH).count() == 0
+
+
+def test_a_model_that_changes_texts_is_refused(monkeypatch):
+    class Folding(P.Model):
+        def __init__(self, path):
+            super().__init__(path)
+            plain = self.library
+            self.library = type("", (), {"encode": lambda self, texts: plain.encode([" ".join(t.split()) for t in texts])})()
+
+    monkeypatch.setattr(P, "Model", Folding)
+    with pytest.raises(ValueError):
+        P.Encoder(PATH)
