@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -63,6 +64,13 @@ def parts_between(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndar
     return found.dictionary, found.indices.to_numpy()
 
 
+def give_back() -> None:
+    """Return what this worker has freed to the system, as several workers share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
     """The rows of the batches, in slices that end with the row at which their texts reach ``most`` bytes."""
     for batch in batches:
@@ -71,6 +79,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
             to = min(batch.num_rows, int(np.searchsorted(ends, ends[at] + most)))
             yield batch.slice(at, max(to - at, 1))
             at = max(to, at + 1)
+            give_back()
 
 
 def in_fold(key: Column, fold: int, folds: int = 5) -> Column:

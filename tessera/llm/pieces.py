@@ -39,9 +39,9 @@ from pyspark.sql import DataFrame
 from .common import by_bytes, parts_between, text_bytes
 
 MARK = "▁"
-SLICE = 4_000_000  # bytes of text encoded together
-CACHED_WORDS = 500_000
-CACHED_PAIRS = 500_000
+SLICE = 3_000_000  # bytes of text encoded together
+CACHED_WORDS = 400_000
+CACHED_PAIRS = 400_000
 PROBES = ("a", " a  b ", "\tx\ny", "\ufb01 \u00bd \u2460 \uff21 e\u0301 \u3000 \u00a0 \u200b", "<s> </s> <unk> <0x0A>", "Zz\U0001f600\u4e2d")
 
 

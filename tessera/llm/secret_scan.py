@@ -9,7 +9,8 @@ JSON and whose header names an algorithm.
 
 Defined results: a null text counts as empty and has no spans; spans are in
 code points, end exclusive, ordered by start, then kind as in KINDS; spans of
-different kinds may overlap; repeated rows are scanned one by one; a null
+different kinds may overlap; texts of any length are scanned whole; repeated
+rows are scanned one by one; a null
 doc_id is passed through; an empty table gives an empty result; columns other
 than doc_id and text are ignored.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_rows
+from .common import free_name, map_rows
 
 KINDS = ("assign", "access", "hex", "key", "signed")
 BASE_KINDS = KINDS[:3]
@@ -228,7 +229,8 @@ def _masked(texts: pd.Series) -> pd.Series:
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret masked and n_chars, if there, set anew where a text changed."""
-    out = docs.withColumn("_clean", _masked("text"))
+    clean = free_name(docs, "clean")
+    out = docs.withColumn(clean, _masked("text"))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_clean") == F.col("text"), F.col("n_chars")).otherwise(F.length("_clean").cast(docs.schema["n_chars"].dataType)))
-    return out.withColumn("text", F.col("_clean")).select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(clean) == F.col("text"), F.col("n_chars")).otherwise(F.length(clean).cast(docs.schema["n_chars"].dataType)))
+    return out.withColumn("text", F.col(clean)).select(*docs.columns)

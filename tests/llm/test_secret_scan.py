@@ -127,3 +127,8 @@ def test_keys_wrapped_over_lines_without_armour(data, width, line_end):
 def test_many_first_lines_end():
     S.find_spans("MIIEwordswordswordswords\n" * 20_000)
     S.find_spans("b3BlbnNzaC1rZXktdjEA\n" * 20_000)
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("password = abcdefgh x", "mine"), (None, "yours")], "text string, clean string")
+    assert sorted(map(tuple, secret_scan.mask_secrets(docs).collect()), key=str) == [("[SECRET] x", "mine"), (None, "yours")]
