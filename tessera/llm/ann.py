@@ -6,9 +6,13 @@ vector's neighbours. Every row is indexed under its most probable part; a query
 goes to several most probable parts, whose rows are ranked by exact distance.
 How many parts it needs is measured on sample vectors kept from training.
 
-The sample (``SAMPLE`` rows by hash of vec_id) bounds what reaches the driver
-and what is broadcast. Parts are divided into blocks of rows and of queries by
+The number of parts grows with the table, to about ``PART_ROWS`` rows a part, up
+to ``MOST_PARTS``. The sample (``SAMPLE`` rows by hash of vec_id, or
+``SAMPLE_ROWS`` for each part if that is more) bounds what reaches the driver and
+what is broadcast. Parts are divided into blocks of rows and of queries by
 counts, so a part that holds most rows is many tasks and no group is unbounded.
+A table so large that its parts exceed ``PART_ROWS`` rows at ``MOST_PARTS`` costs
+distances in proportion to its rows for each query.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do those whose length isn't the most frequent one
@@ -28,6 +32,9 @@ from pyspark.sql import functions as F
 
 SAMPLE = 4096
 PARTS = 16
+MOST_PARTS = 512
+PART_ROWS = 8192
+SAMPLE_ROWS = 32
 NEIGHBOURS = 10
 RECALL = 0.96
 ROW_BLOCK = 8192
@@ -133,7 +140,7 @@ class Router:
 
 def learn(x: np.ndarray, parts: int = PARTS, recall: float = RECALL, seed: int = 0) -> tuple[Router | None, int, int]:
     """Router, number of parts and parts to search for the recall, from a sample; one part if it is small."""
-    while parts > 1 and len(x) < 32 * parts:
+    while parts > 1 and len(x) < SAMPLE_ROWS * parts:
         parts //= 2
     if parts == 1:
         return None, 1, 1
@@ -160,22 +167,33 @@ def _nearest(queries: pd.DataFrame, rows: pd.DataFrame, k: int) -> pd.DataFrame:
         q, x, ids = np.stack(queries["embedding"].to_list()), np.stack(rows["embedding"].to_list()), rows["vec_id"].to_numpy()
         for at in range(0, len(q), 256):
             block, names = q[at : at + 256], queries["vec_id"].to_numpy()[at : at + 256]
-            rough = _squares(block, x)
+            with np.errstate(over="ignore", invalid="ignore"):
+                rough = _squares(block, x)
+            rough[np.isnan(rough)] = 0  # squares beyond doubles are told apart below
             slack = 1e-9 * ((block * block).sum(1).max() + (x * x).sum(1).max())
             for i, name in enumerate(names):
                 rough[i, ids == name] = np.inf
                 edge = np.partition(rough[i], min(k, len(x)) - 1)[min(k, len(x)) - 1]
-                near = np.flatnonzero((rough[i] <= edge + slack) & np.isfinite(rough[i]))
-                exact = np.sqrt(((block[i] - x[near]) ** 2).sum(1))
+                near = np.flatnonzero((rough[i] <= edge + slack) & (ids != name))
+                apart = np.abs(block[i] - x[near])
+                largest = np.maximum(apart.max(1), 1e-300)
+                exact = np.sqrt((apart**2).sum(1)) if largest.max(initial=0) < 1e150 else largest * np.sqrt(((apart / largest[:, None]) ** 2).sum(1))
                 best = np.lexsort((ids[near], exact))[:k]
                 out += zip([int(name)] * len(best), ids[near][best].tolist(), exact[best].tolist())
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
-def search(vectors: DataFrame, asked: Column, k: int = 10, sample: int = SAMPLE, parts: int = PARTS, recall: float = RECALL) -> DataFrame:
+def parts_for(rows: int) -> int:
+    """A power of two of parts for so many rows."""
+    return min(MOST_PARTS, max(PARTS, 1 << (max(1, -(-rows // PART_ROWS)) - 1).bit_length()))
+
+
+def search(vectors: DataFrame, asked: Column, k: int = 10, sample: int = SAMPLE, parts: int | None = None, recall: float = RECALL) -> DataFrame:
     """The k nearest rows found for each row for which ``asked`` (on vec_id) holds: query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     rows = usable(vectors)
+    parts = parts_for(rows.count()) if parts is None else parts
+    sample = max(sample, SAMPLE_ROWS * parts) if parts > PARTS else sample
     drawn = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     if not len(drawn):
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")

@@ -50,6 +50,24 @@ def test_parts_are_balanced(n, parts):
     assert len(sizes) == parts and sizes.max() - sizes.min() <= 4
 
 
+def test_parts_grow_with_the_table(monkeypatch):
+    assert [ann.parts_for(n) for n in (0, 10, 16 * 8192, 16 * 8192 + 1, 10**6, 10**9)] == [16, 16, 16, 32, 128, 512]
+    rng = np.random.default_rng(4)
+    monkeypatch.setattr(ann, "PART_ROWS", 256)
+    shares = []
+    for n in (2000, 32_000):  # the more rows, the smaller a share of them is searched
+        x = (rng.standard_normal((60, 16)) * 4)[rng.integers(0, 60, n)] + rng.standard_normal((n, 16))
+        _, parts, probes = ann.learn(x[: max(1024, 32 * ann.parts_for(n))], ann.parts_for(n))
+        shares.append(probes / parts)
+    assert shares[1] < shares[0] < 0.5
+
+
+def test_very_large_components(spark):
+    rows = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 3e199]), (2, [-1e200, 0.0])], "vec_id bigint, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in sorted(ann.search(rows, BY(100)).collect(), key=lambda r: r.rank)]
+    assert [i for i, _ in got] == [1, 2] and abs(got[0][1] / 3e199 - 1) < 1e-9 and abs(got[1][1] / 2e200 - 1) < 1e-9
+
+
 def test_blocks_do_not_change_results(spark, monkeypatch):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.standard_normal((150, 4)), np.ones((150, 4))])
