@@ -23,7 +23,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_hypergeometric_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = shards.shuffle(_table(spark, sf_dir, "documents"))
+    placed = shards.summary(shards.shuffle(_table(spark, sf_dir, "documents")))
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 

@@ -6,14 +6,15 @@ uniform shuffle is hypergeometric. It is drawn top down over a binary tree of
 partitions with a seed for each tree node, so that every task draws its own row
 alone from the row counts; no task holds the matrix. Each partition permutes
 its rows over the bins as its matrix row says, rows are exchanged, and each bin
-is permuted again. A shard is made of as many bins as keep a bin below
-``bin_rows`` rows, and as all bin sizes are known, slots need no counting.
+is permuted again. Whole rows move, with all their columns. A shard is made of as
+many bins as keep a bin below ``bin_rows`` rows and about ``bin_bytes`` of text,
+and as all bin sizes are known, slots need no counting.
 
 Law: ``rows``. The counts of two shards differ by one at most.
 
 Defined results: a null text has no bytes, so its size is 8 and its crc32 0;
-repeated rows and rows with a null doc_id get a slot each; an empty table gives
-an empty result; columns other than doc_id and text are ignored.
+repeated rows and rows with a null doc_id get a slot each; texts of any length
+move whole; an empty table gives an empty result; all columns are kept.
 """
 
 from __future__ import annotations
@@ -27,8 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut
+from .common import cut, free_name
 
 SHARDS = 24
 LARGEST = 10**9  # what numpy's own draws allow
@@ -83,20 +85,24 @@ def bin_sizes(total: int, shards: int, bins: int) -> np.ndarray:
     return (shard[:, None] // bins + (np.arange(bins) < shard[:, None] % bins)).reshape(-1)
 
 
-def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bin_rows: int = 1 << 20) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot for each row of ``docs``."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bin_rows: int = 1 << 20, bin_bytes: int = 1 << 30) -> DataFrame:
+    """All rows and columns of ``docs``, each with its ``shard`` and ``slot``; columns of these names are replaced."""
+    docs = docs.drop("shard", "slot")
+    named = [free_name(docs, x) for x in ("bin", "draw")]
     # written once, so that counts and draws see the same partitions in the same order
-    items = cut(docs.select("doc_id", (F.octet_length(text).cast("bigint") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")))
-    counted = items.groupBy(F.spark_partition_id().alias("p")).count().collect()  # one row for each partition
-    counts = np.zeros(items.rdd.getNumPartitions(), np.int64)
-    for p, n in counted:
+    rows = cut(docs)
+    long = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in docs.dtypes if kind in ("string", "binary")), F.lit(0))
+    counted = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*"), F.sum(long)).collect()  # one row for each partition
+    counts = np.zeros(max([p for p, _, _ in counted], default=-1) + 1, np.int64)
+    for p, n, _ in counted:
         counts[p] = n
-    total = int(counts.sum())
-    bins = max(1, -(-total // (shards * bin_rows)))
+    total, size = int(counts.sum()), sum(int(b or 0) for _, _, b in counted)
+    bins = max(1, -(-total // (shards * bin_rows)), -(-size // (shards * bin_bytes)))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         me, done = TaskContext.get().partitionId(), 0
+        if me >= len(counts):
+            return
         to = np.repeat(np.arange(shards * bins, dtype=np.int32), matrix_row(counts, bin_sizes(total, shards, bins), me, seed))
         rng = np.random.default_rng([seed, me])
         rng.shuffle(to)
@@ -104,11 +110,25 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bin_rows: int
             n = batch.num_rows
             extra = [pa.array(to[done : done + n]), pa.array(rng.integers(-(1 << 63), 1 << 63, n, np.int64, endpoint=False))]
             done += n
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "bin", "draw"])
-
-    sent = items.mapInArrow(send, "doc_id bigint, size bigint, text_crc32 bigint, bin int, draw bigint")
-    place = F.row_number().over(W.partitionBy("bin").orderBy("draw", "doc_id", "text_crc32", "size")) - 1
-    shard, part = F.floor(F.col("bin") / bins).cast("int"), (F.col("bin") % bins).cast("bigint")
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *named])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(named[0], T.IntegerType()), T.StructField(named[1], T.LongType())])
+    sent = rows.mapInArrow(send, schema)
+    to, draw = map(F.col, named)
+    # the hash of the row settles equal draws; equal rows are alike in any order
+    place = F.row_number().over(W.partitionBy(to).orderBy(draw, F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)))) - 1
+    shard, part = F.floor(to / bins).cast("int"), (to % bins).cast("bigint")
     room = F.lit(total // shards).cast("bigint") + (shard < total % shards).cast("bigint")
     before = part * F.floor(room / bins) + F.least(part, room % bins)
-    return sent.select("doc_id", "size", "text_crc32", shard.alias("shard"), (before + place).cast("bigint").alias("slot"))
+    return sent.withColumns({"shard": shard, "slot": (before + place).cast("bigint")}).drop(*named)
+
+
+def write(docs: DataFrame, folder: str, **parameters) -> None:
+    """Write the rows as Parquet, a folder for each shard, in slot order within each file."""
+    shuffle(docs, **parameters).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+
+
+def summary(placed: DataFrame) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of the rows as they arrived in their shards."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return placed.select("doc_id", (F.octet_length(text).cast("bigint") + 8).alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), "shard", "slot")

@@ -131,4 +131,4 @@ def test_many_first_lines_end():
 
 def test_masking_keeps_columns_of_any_name(spark):
     docs = spark.createDataFrame([("password = abcdefgh x", "mine"), (None, "yours")], "text string, clean string")
-    assert sorted(map(tuple, secret_scan.mask_secrets(docs).collect()), key=str) == [("[SECRET] x", "mine"), (None, "yours")]
+    assert sorted(map(tuple, S.mask_secrets(docs).collect()), key=str) == [("[SECRET] x", "mine"), (None, "yours")]

@@ -30,10 +30,13 @@ def test_draw_beyond_the_limit_of_numpy():
     assert split.sum() == 10**9 and split[2] == 0 and abs(split[0] / 10**9 - 2 / 3) < 1e-3
 
 
-@pytest.mark.parametrize("bin_rows", [1 << 20, 3])
-def test_exact_sizes_and_gapless_slots(spark, sf, bin_rows):
+@pytest.mark.parametrize("bins", [{}, {"bin_rows": 3}, {"bin_bytes": 5000}])
+def test_exact_sizes_and_gapless_slots(spark, sf, bins):
     docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(5)
-    rows = S.shuffle(docs, bin_rows=bin_rows).collect()
+    placed = S.shuffle(docs, **bins)
+    assert placed.columns == [*docs.columns, "shard", "slot"]
+    assert sorted(map(tuple, placed.drop("shard", "slot").collect())) == sorted(map(tuple, docs.collect()))
+    rows = S.summary(placed).collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert sorted(r.doc_id for r in rows) == sorted(texts)
     by = [[r.slot for r in rows if r.shard == s] for s in range(24)]
@@ -43,7 +46,7 @@ def test_exact_sizes_and_gapless_slots(spark, sf, bin_rows):
 
 def test_shuffle_is_repeatable_and_uniform(spark):
     docs = spark.range(4800).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
-    one, two, other = (sorted(map(tuple, S.shuffle(docs, seed=s).collect())) for s in (1, 1, 2))
+    one, two, other = (sorted(map(tuple, S.summary(S.shuffle(docs, seed=s)).collect())) for s in (1, 1, 2))
     assert one == two != other
     halves = np.zeros(24)
     for doc_id, _, _, shard, _ in one:
@@ -55,7 +58,14 @@ def test_shuffle_is_repeatable_and_uniform(spark):
 
 def test_nulls_repeats_clashes_and_empty(spark):
     docs = spark.createDataFrame([(1, None, 9), (None, "é", 9), (2, "", 9), (2, "", 9)], "doc_id bigint, text string, shard int")
-    got = S.shuffle(docs, shards=2).collect()
+    got = S.summary(S.shuffle(docs, shards=2)).collect()
     assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == [("1", 8, 0), ("2", 8, 0), ("2", 8, 0), ("None", 10, zlib.crc32("é".encode()))]
     assert sorted((r.shard, r.slot) for r in got) == [(0, 0), (0, 1), (1, 0), (1, 1)]
     assert S.shuffle(docs.limit(0)).count() == 0
+
+
+def test_shards_are_written_in_slot_order(spark, sf, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    S.write(docs, f"{tmp_path}/out", shards=4)
+    back = spark.read.parquet(f"{tmp_path}/out").orderBy("shard", "slot").collect()
+    assert sorted(r.text for r in back) == sorted(r.text for r in docs.collect()) and {r.shard for r in back} == {0, 1, 2, 3}
