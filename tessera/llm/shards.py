@@ -85,7 +85,7 @@ def bin_sizes(total: int, shards: int, bins: int) -> np.ndarray:
     return (shard[:, None] // bins + (np.arange(bins) < shard[:, None] % bins)).reshape(-1)
 
 
-def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bin_rows: int = 1 << 20, bin_bytes: int = 1 << 30) -> DataFrame:
+def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bin_rows: int = 1 << 20, bin_bytes: int = 1 << 26) -> DataFrame:
     """All rows and columns of ``docs``, each with its ``shard`` and ``slot``; columns of these names are replaced."""
     docs = docs.drop("shard", "slot")
     named = [free_name(docs, x) for x in ("bin", "draw")]
@@ -113,7 +113,7 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bin_rows: int
             yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *named])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(named[0], T.IntegerType()), T.StructField(named[1], T.LongType())])
-    sent = rows.mapInArrow(send, schema)
+    sent = rows.mapInArrow(send, schema).repartition(shards * bins, named[0])
     to, draw = map(F.col, named)
     # the hash of the row settles equal draws; equal rows are alike in any order
     place = F.row_number().over(W.partitionBy(to).orderBy(draw, F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind)))) - 1
