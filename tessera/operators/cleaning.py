@@ -50,8 +50,9 @@ def of_parents(children: DataFrame, parents: DataFrame, child_key: str, parent_k
 
 
 def fill_coordinates(listings: DataFrame, places: DataFrame) -> DataFrame:
-    """Both coordinates from the table of addresses where either is missing."""
-    known = places.select("address", F.col("latitude").alias("_lat"), F.col("longitude").alias("_lon"))
+    """Both coordinates from the table of addresses where either is missing; of a repeated address the smallest pair."""
+    whole = places.filter("latitude is not null and longitude is not null").select("address", F.struct("latitude", "longitude").alias("at"))
+    known = whole.groupBy("address").agg(F.min("at").alias("at")).select("address", F.col("at.latitude").alias("_lat"), F.col("at.longitude").alias("_lon"))
     missing = F.col("latitude").isNull() | F.col("longitude").isNull()
     joined = listings.join(known, "address", "left")
     filled = joined.withColumns({"latitude": F.when(missing, F.col("_lat")).otherwise(F.col("latitude")), "longitude": F.when(missing, F.col("_lon")).otherwise(F.col("longitude"))})

@@ -21,8 +21,13 @@ def overlay(rows: DataFrame, labels: DataFrame, key: str, columns: list[str], or
     return joined.withColumns({c: F.coalesce(F.col(f"_{c}"), base[c], F.lit("")) for c in columns}).drop(*(f"_{c}" for c in columns))
 
 
-def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Table with changed rows in place of those of equal key; columns missing on either side are empty."""
+def upsert(table: DataFrame, changes: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """Table with changed rows in place of those of equal key; columns missing on either side are empty.
+
+    Of changes with equal keys the first in ``order`` counts; without an order
+    all their columns settle it, so the result doesn't depend on partitions.
+    """
+    changes = ingest.last_wins(changes, [key], order or [F.col(c).desc_nulls_last() for c, kind in changes.dtypes if "map<" not in kind])
     return table.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 

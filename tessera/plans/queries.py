@@ -347,10 +347,12 @@ def q23_train_test_split(spark, sf_dir):
     return features.split_by_hash(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey")
 
 
-@query("SELECT o_orderkey, round_even(exp(ln(1 + o_totalprice)) - 1, 0) AS price FROM orders WHERE abs(o_totalprice - floor(o_totalprice) - 0.5) > 1e-6")
+# halves of the way back hang on the last bit of exp, so the rule for them is shown on the prices themselves
+@query("""SELECT o_orderkey, CASE WHEN abs(o_totalprice - floor(o_totalprice) - 0.5) > 1e-6 THEN round_even(exp(ln(1 + o_totalprice)) - 1, 0) END AS price, round_even(o_totalprice, 0) AS whole FROM orders""")
 def q24_log_price_roundtrip(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("abs(o_totalprice - floor(o_totalprice) - 0.5) > 1e-6")
-    return orders.select("o_orderkey", numeric.log_to_price(numeric.price_to_log(F.col("o_totalprice"))).alias("price"))
+    price = F.col("o_totalprice")
+    back = F.when(F.abs(price - F.floor(price) - 0.5) > 1e-6, numeric.log_to_price(numeric.price_to_log(price)))
+    return table(spark, sf_dir, "orders").select("o_orderkey", back.alias("price"), F.bround(price, 0).alias("whole"))
 
 
 _MATRIX = f"""SELECT o.o_orderkey, round((o.o_totalprice - m) / coalesce(nullif(b - a, 0), 1), 6) AS num__price,
@@ -551,9 +553,9 @@ def q40_image_name(spark, sf_dir):
 
 
 @query("""SELECT page_id, regexp_matches(lower(url || '/photo/a.jpg'), '\\.(jpg|png)(?:$|[?&])') AND NOT regexp_matches(lower(url || '/photo/a.jpg'), 'logo|icon|sprite|banner|button|qr|map|avatar|/common/|/parts/|resizeimage') AS photo,
-    false AS logo FROM pages WHERE NOT contains(url, '#')""")
+    false AS logo FROM pages""")
 def q40_photo_heuristics(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").filter("not contains(url, '#')")
+    rows = table(spark, sf_dir, "pages")
     return rows.select("page_id", text.looks_like_photo(F.concat("url", F.lit("/photo/a.jpg"))).alias("photo"), text.looks_like_photo(F.concat("url", F.lit("/photo/logo.jpg"))).alias("logo"))
 
 

@@ -21,11 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and every executor can reach.
 
     It is ``spark.checkpoint.dir`` of the session; a folder of this machine is
-    set only where that is unset, as in tests.
+    set only where that is unset and the session runs on this machine alone, as
+    in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='tessera-')}")
     return named or context.getCheckpointDir().rsplit("/", 1)[0]
 

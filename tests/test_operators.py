@@ -147,3 +147,14 @@ def test_models(spark):
     assert model.evaluate(ridge, df, "y").first().r2 > 0.99
     near = {r.id: r.prediction for r in model.knn_predict(df, df, ["a", "b"], "y", "id", k=3).collect()}
     assert all(near[i] == pytest.approx(y) for i, _, _, y, _ in rows)
+
+
+def test_repeated_changes_and_places_count_once(spark):
+    from tessera.operators import cleaning, labels
+
+    table = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    changes = spark.createDataFrame([(2, "x"), (2, "y"), (3, "z")], "k int, v string")
+    assert sorted(map(tuple, labels.upsert(table, changes, "k").collect())) == [(1, "a"), (2, "y"), (3, "z")]
+    places = spark.createDataFrame([("p", 2.0, 3.0), ("p", 1.0, 4.0), ("p", None, 0.0)], "address string, latitude double, longitude double")
+    listings = spark.createDataFrame([("p", None, None), ("q", None, 1.0)], "address string, latitude double, longitude double")
+    assert sorted(map(tuple, cleaning.fill_coordinates(listings, places).collect())) == [("p", 1.0, 4.0), ("q", None, None)]  # both come from the table where either is missing

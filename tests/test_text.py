@@ -28,10 +28,10 @@ CASES = [
     (lambda c: text.safe_int(c, 7), {"3": 3, "３": 3, "3.0": 7, "": 7, None: 7}),
     (text.source_id, {"https://h/ms/chuko/nc_123/?a": "123", "https://h/x": "3a5dfa0a2de5"[:0] or None}),
     (text.canon_url, {"https://h/ms/chuko/t/nc_1/?a=1#b": "https://h/ms/chuko/t/nc_1/", "https://h/ms/chuko/nc_1": "https://h/ms/chuko/nc_1/", "https://h/x?a=1#b": "https://h/x?a=1", "https://h/x?u=/ms/chuko/nc_1/": "https://h/x?u=/ms/chuko/nc_1/"}),
-    (text.image_extension, {"https://h/a.PNG?x": ".png", "https://h/a.gif": ".jpg", "https://h/a.jpeg&b": ".jpeg"}),
+    (text.image_extension, {"https://h/a.PNG?x": ".png", "https://h/a.gif": ".jpg", "https://h/a.jpeg": ".jpeg", "https://h/a.jpeg&b": ".jpg", "https://h/a.png#x": ".png", "https://h/p?src=/a.png&w=1": ".jpg"}),
     (text.looks_like_photo, {"https://h/a.jpg": True, "https://h/logo.jpg": False, "https://h/gallery/1": True, "https://h/a.css": False, "": False, None: False, "https://h/a%2Ejpg": True, "https://h/%zz.jpg": True}),
     (lambda c: text.looks_like_photo(c, ("h.example",)), {"https://h.example/photo/1": True, "https://h.example/x?photo": False, "https://o.example/x?photo": True}),
-    (text.decode_escapes, {"a\\/b &amp; \\u0041": "a/b & A", None: ""}),
+    (text.decode_escapes, {"a\\/b &amp; \\u0041": "a/b & A", "\\ud83d\\ude00\\u0041": "\U0001f600A", "x\\ud83d\\u0041\\ude00": "x\ufffdA\ufffd", None: ""}),
     (lambda c: text.normalize_image_url(c, F.lit("https://h/p/q")), {"//x/a.jpg": "https://x/a.jpg", "../b.png#f": "https://h/b.png", "data:x": None, "": None, None: None, "mailto:a": None, "ftp://h/a": None}),
     (lambda c: text.rewrite_prefix(c, "/a/", "/b/"), {"/a/x": "/b/x", "/c/x": "/c/x", None: None}),
     (lambda c: text.drop_literal(c, " [ ■ x ]"), {"y [ ■ x ]": "y", "y": "y"}),
