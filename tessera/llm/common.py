@@ -82,6 +82,18 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int) -> Itera
             give_back()
 
 
+_held: dict = {}
+
+
+def held(key, make: Callable):
+    """What ``make`` gives for ``key``, made once; a worker keeps only what it used last, as several share an executor's memory."""
+    if key not in _held:
+        _held.clear()
+        give_back()
+        _held[key] = make()
+    return _held[key]
+
+
 def in_fold(key: Column, fold: int, folds: int = 5) -> Column:
     """True where crc32 of the key's text falls into ``fold``; a null key counts as empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % folds == fold

@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import by_bytes, new_folder, parts_between, text_bytes
+from .common import by_bytes, held, new_folder, parts_between, text_bytes
 
 SIMILARITY = 0.8
 SAMPLED = 2
@@ -59,7 +59,7 @@ RECALL = 0.99
 MOST_REPETITIONS = 64
 TRIALS = 32
 BLOCK_CHARS = 4_000_000
-SLICE = 4_000_000  # bytes of documents matched together
+SLICE = 2_000_000  # bytes of documents matched together
 _WORDY = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
 
 
@@ -201,20 +201,20 @@ class Index:
         out: list[tuple[int, np.ndarray]] = []
         if not len(ids):
             return out
-        spots = held = np.zeros(0, np.int64)
+        spots = bits = np.zeros(0, np.int64)
         if len(self.pairs):
             both = np.flatnonzero((ids[:-1] > 0) & (ids[1:] > 0))
             pair = ids[both].astype(np.int64) * self.size + ids[both + 1]
             place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             hit = self.pairs[place] == pair
-            spots, held = both[hit], self.in_lengths[place[hit]]
+            spots, bits = both[hit], self.in_lengths[place[hit]]
         for nth, n in enumerate(self.lengths):
             k = allowed(n, self.similarity)
             need, reach = n - 1 - 2 * k, n + k - 2
             if need <= 0:  # nothing can be put aside
                 out.append((n, np.flatnonzero(ids >= 0)))
                 continue
-            mine = spots[(held >> np.uint64(nth % 64) & np.uint64(1)).astype(bool)]
+            mine = spots[(bits >> np.uint64(nth % 64) & np.uint64(1)).astype(bool)]
             if len(mine) < need:
                 continue
             near = np.flatnonzero(mine[need - 1 :] - mine[: len(mine) - need + 1] <= reach)
@@ -323,19 +323,16 @@ def build(benchmark: DataFrame, similarity: float = SIMILARITY, recall: float =
     return sorted(r.path for r in dealt.groupBy("block").applyInArrow(write, "path string").collect())
 
 
-_held: dict[str, Index] = {}
-
-
 def _index(path: str) -> Index:
     """The block at ``path``; a worker keeps the one it used last."""
     from pyarrow import fs
 
-    if path not in _held:
-        _held.clear()
+    def read() -> Index:
         store, root = fs.FileSystem.from_uri(path)
         with store.open_input_stream(root) as data:
-            _held[path] = pickle.loads(data.read())
-    return _held[path]
+            return pickle.loads(data.read())
+
+    return held(path, read)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:

@@ -237,7 +237,8 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
         m = sent.value
         return texts.map(m.kept).astype(object)
 
-    name = free_name(docs, "told")
+    # told once: as a deterministic function the filter would call it again
+    name, told = free_name(docs, "told"), told.asNondeterministic()
     kept = docs.withColumn(name, told("text")).filter(F.col(name).isNotNull())
     if "lang" in docs.columns:
         kept = kept.withColumn("lang", F.coalesce("lang", name))

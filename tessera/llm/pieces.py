@@ -36,12 +36,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import by_bytes, parts_between, text_bytes
+from .common import by_bytes, held, parts_between, text_bytes
 
 MARK = "▁"
 SLICE = 3_000_000  # bytes of text encoded together
-CACHED_WORDS = 400_000
-CACHED_PAIRS = 400_000
+CACHED_WORDS = 200_000
+CACHED_PAIRS = 200_000
 PROBES = ("a", " a  b ", "\tx\ny", "\ufb01 \u00bd \u2460 \uff21 e\u0301 \u3000 \u00a0 \u200b", "<s> </s> <unk> <0x0A>", "Zz\U0001f600\u4e2d")
 
 
@@ -193,14 +193,9 @@ class Encoder:
         return self.decode_all(np.asarray(ids, np.int32), np.array([0, len(ids)]))[0]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def _encoder(path: str) -> Encoder:
     """One encoder for a worker, so that later tasks find its words."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return held(("pieces", path), lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:

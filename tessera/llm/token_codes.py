@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, new_folder, parts_between, text_bytes
+from .common import by_bytes, held, new_folder, parts_between, text_bytes
 
 END = 2
 FILE_TOKENS = 2_000_000
@@ -115,11 +115,11 @@ class Encoder:
         """Ids of all texts in a row, each text's followed by ``end`` if given, and where each text's begin and the last end."""
         data, ends = text_bytes(texts)
         whole = data.tobytes()
-        held = sorted({int(np.searchsorted(ends, m.start(), "right")) - 1 for m in self.added.finditer(whole)}) if self.added and self.added.search(whole) else []
+        special = sorted({int(np.searchsorted(ends, m.start(), "right")) - 1 for m in self.added.finditer(whole)}) if self.added and self.added.search(whole) else []
         starts = _unit_starts(data, ends) if len(data) else ends[:1]
-        if held:  # one unit for such a text, so nothing is cut inside it
+        if special:  # one unit for such a text, so nothing is cut inside it
             inside = np.zeros(len(data) + 1, bool)
-            for d in held:
+            for d in special:
                 inside[ends[d] + 1 : ends[d + 1]] = True
             starts = starts[~inside[starts]]
         distinct, place = parts_between(data, starts)
@@ -261,14 +261,9 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_tok
     return sorted((r.name, r.tokens) for r in dealt.mapInArrow(run, "name string, tokens bigint").collect())
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
-
-
 def _encoder(path: str, specials: bool) -> Encoder:
     """One encoder for a worker, so that later tasks find its units."""
-    if (path, specials) not in _encoders:
-        _encoders[path, specials] = Encoder(path, specials)
-    return _encoders[path, specials]
+    return held(("units", path, specials), lambda: Encoder(path, specials))
 
 
 def read(spark, folder: str, files: list[tuple[str, int]]) -> DataFrame:
