@@ -38,6 +38,11 @@ def not_equal(column: Column, value) -> Column:
     return ~column.eqNullSafe(F.lit(value))
 
 
+def drop_keys(df: DataFrame, key: str, keys: list) -> DataFrame:
+    """Rows whose key isn't in the list; NULL keys stay."""
+    return df.filter(F.coalesce(~F.col(key).isin(keys), F.lit(True)))
+
+
 def with_children(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, least: int = 1) -> DataFrame:
     """Parents that have at least so many children."""
     keys = children.groupBy(F.col(child_key).alias(parent_key)).count().filter(F.col("count") >= least) if least > 1 else children.select(F.col(child_key).alias(parent_key))

@@ -45,7 +45,8 @@ def target_encode(df: DataFrame, encoding: DataFrame, category: str, default: Co
 
 def impute_mode(df: DataFrame, column: str) -> DataFrame:
     """NULL as the most frequent value, the smallest of equals."""
-    mode = df.agg(F.mode(F.col(column), deterministic=True).alias("_mode"))
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    mode = counts.agg(F.min_by("value", F.struct(-F.col("n"), "value")).alias("_mode"))
     return df.crossJoin(F.broadcast(mode)).withColumn(column, F.coalesce(F.col(column), F.col("_mode"))).drop("_mode")
 
 

@@ -27,6 +27,11 @@ def failures(log: DataFrame, key: str, failed: Column, succeeded: Column, order:
     return state.filter((F.col("attempts") > 0) & (F.col("_done").isNull() | (F.col("_done") < F.col("last_at")))).drop("_done")
 
 
+def stored_attempts(value: Column) -> Column:
+    """Attempts as they stand in a file: a whole number, 1 where there is none or less."""
+    return F.greatest(F.coalesce(F.trim(value).try_cast("int"), F.lit(1)), F.lit(1))
+
+
 def retry_pick(state: DataFrame, key: str, most_attempts: int, remaining: int, batch: int = 20) -> DataFrame:
     """Failures to try again: fewest attempts first."""
     return state.filter(F.col("attempts") < most_attempts).orderBy("attempts", key).limit(min(batch, remaining))

@@ -7,7 +7,7 @@ from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -81,6 +81,18 @@ def knn_predict(train_rows: DataFrame, asked: DataFrame, features: list[str], la
     return near.groupBy(key).agg(F.avg("y").alias("prediction"))
 
 
+def save(model: PipelineModel, path: str, state: dict[str, DataFrame] | None = None) -> None:
+    """Write a fitted model and the small tables that its features were fitted with."""
+    model.write().overwrite().save(f"{path}/model")
+    for name, fitted in (state or {}).items():
+        fitted.write.mode("overwrite").parquet(f"{path}/state/{name}")
+
+
+def load(spark: SparkSession, path: str, names: tuple[str, ...] = ()) -> tuple[PipelineModel, dict[str, DataFrame]]:
+    """A saved model and the named tables of its features."""
+    return PipelineModel.load(f"{path}/model"), {name: spark.read.parquet(f"{path}/state/{name}") for name in names}
+
+
 def mean_baseline(train_rows: DataFrame, asked: DataFrame, price: str, out: str = "predicted") -> DataFrame:
     """expm1 of the mean log price of training for every row."""
     mean = train_rows.agg(F.expm1(F.avg(F.log1p(price))).alias(out))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import maps
+from ..sources import files
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 ATTRIBUTES = ("luxury", "brightness", "condition")
@@ -35,6 +37,40 @@ def stub_scorer(column: str, attributes: tuple[str, ...] = ATTRIBUTES) -> Scorer
     return score
 
 
+def tolerant(score: Callable[[pd.DataFrame], pd.Series], out: str = "scores", attempts: int = 3, wait: float = 2.5) -> Scorer:
+    """A scorer that tries a batch again and then its rows alone; rows that still fail get NULL."""
+
+    def tried(rows: pd.DataFrame, times: int) -> pd.Series | None:
+        for nth in range(times):
+            try:
+                return pd.Series(list(score(rows)), index=rows.index, dtype=object)
+            except Exception:  # whatever a model or its service raises
+                if nth + 1 < times:
+                    time.sleep(wait * 2**nth)
+        return None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            told = tried(batch, attempts)
+            if told is None:
+                alone = (tried(batch.iloc[[i]], 1) for i in range(len(batch)))
+                told = pd.Series([None if x is None else x.iloc[0] for x in alone], dtype=object)
+            yield batch.assign(**{out: told})
+
+    return run
+
+
+def score_in_parts(images: DataFrame, path: str, key: str, score: Callable[[DataFrame], DataFrame], parts: int = 16) -> DataFrame:
+    """Scores written part by part, so that a later run goes on behind the last whole part."""
+    spark = images.sparkSession
+    for part in range(parts):
+        target = f"{path}/part={part}"
+        if not files.exists(spark, f"{target}/_SUCCESS"):
+            score(images.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)).write.mode("overwrite").parquet(target)
+    return spark.read.parquet(path).drop("part")
+
+
 def score_images(images: DataFrame, scorer: Scorer, schema: str, exists: str = "true", valid: str = "true", keys: tuple[str, ...] = maps.KEYS) -> DataFrame:
     """``scores`` (a JSON map) of each image.
 

@@ -64,9 +64,8 @@ def label_stream(spark: SparkSession, source: str, schema: str, table: str, key:
 
     def merge(batch: DataFrame, number: int) -> None:
         last = f"{table}/v{number - 1}"
-        changes = batch.dropDuplicates([key])
-        base = spark.read.parquet(last) if number and files.exists(spark, last) else changes.limit(0)
-        labels.upsert(base, changes, key).write.mode("overwrite").parquet(f"{table}/v{number}")
+        base = spark.read.parquet(last) if number and files.exists(spark, last) else batch.limit(0)
+        labels.upsert(base, batch, key).write.mode("overwrite").parquet(f"{table}/v{number}")
 
     changes = spark.readStream.schema(schema).json(source)
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

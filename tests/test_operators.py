@@ -158,3 +158,48 @@ def test_repeated_changes_and_places_count_once(spark):
     places = spark.createDataFrame([("p", 2.0, 3.0), ("p", 1.0, 4.0), ("p", None, 0.0)], "address string, latitude double, longitude double")
     listings = spark.createDataFrame([("p", None, None), ("q", None, 1.0)], "address string, latitude double, longitude double")
     assert sorted(map(tuple, cleaning.fill_coordinates(listings, places).collect())) == [("p", 1.0, 4.0), ("q", None, None)]  # both come from the table where either is missing
+
+
+def test_mode_fills_and_needs_no_value(spark):
+    rows = [(1, "b"), (2, "a"), (3, None), (4, "a"), (5, "b")]
+    df = frame(spark, rows, "id int, v string")
+    assert {r.id: r.v for r in features.impute_mode(df, "v").collect()}[3] == "a"
+    assert features.impute_mode(df.filter("v is null"), "v").collect()[0].v is None
+
+
+def test_keys_are_dropped_and_nulls_stay(spark):
+    df = frame(spark, [("a",), ("b",), (None,)], "k string")
+    assert {r.k for r in cleaning.drop_keys(df, "k", ["a"]).collect()} == {"b", None}
+    assert cleaning.drop_keys(df, "k", []).count() == 3
+
+
+def test_failing_rows_are_null_and_parts_resume(spark, tmp_path):
+    def score(rows):
+        if (rows["path"] == "bad").any():
+            raise ValueError("not an image")
+        return rows["path"] + "!"
+
+    df = frame(spark, [(p,) for p in ("a", "bad", "c", "d")], "path string")
+    scorer = scoring.tolerant(score, attempts=2, wait=0.0)
+    run = lambda part: scoring.infer(part, scorer, "path string, scores string")
+    want = {"a": "a!", "bad": None, "c": "c!", "d": "d!"}
+    assert {r.path: r.scores for r in scoring.score_in_parts(df, str(tmp_path / "s"), "path", run, 3).collect()} == want
+
+    def never(part):
+        raise AssertionError("a whole part is scored again")
+
+    assert {r.path: r.scores for r in scoring.score_in_parts(df, str(tmp_path / "s"), "path", never, 3).collect()} == want
+
+
+def test_saved_models_predict_alike(spark, tmp_path):
+    df = frame(spark, [(float(i), math.log1p(10.0 + i)) for i in range(40)], "a double, y double")
+    fitted = model.train(df, ["a"], "y", model.forest("y", numTrees=3, maxDepth=3))
+    model.save(fitted, str(tmp_path / "m"), {"quartiles": features.fit_robust(df, ["a"])})
+    again, state = model.load(spark, str(tmp_path / "m"), ("quartiles",))
+    assert [r.predicted_price for r in model.predict(again, df).collect()] == [r.predicted_price for r in model.predict(fitted, df).collect()]
+    assert state["quartiles"].first().a[1] == 19.5
+
+
+def test_stored_attempts_are_one_at_least(spark):
+    df = frame(spark, [("3",), (" 2 ",), ("0",), ("-4",), ("x",), ("",), (None,)], "n string")
+    assert [r[0] for r in df.select(ingest.stored_attempts(F.col("n"))).collect()] == [3, 2, 1, 1, 1, 1, 1]
