@@ -8,13 +8,19 @@ from pyspark.sql import functions as F
 from . import ingest
 
 
+def _settled(rows: DataFrame) -> list[Column]:
+    """An order by all columns, so that what comes first doesn't depend on partitions."""
+    return [F.col(c).desc_nulls_last() for c, kind in rows.dtypes if "map<" not in kind]
+
+
 def overlay(rows: DataFrame, labels: DataFrame, key: str, columns: list[str], order: list[Column] | None = None) -> DataFrame:
     """Rows with the labels of their key, empty where there are none; an empty key has none.
 
-    With ``order``, the first row of each key in it is the label that counts.
+    The first row of each key in ``order`` is the label that counts; without an
+    order all columns settle it.
     """
     known = labels.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != ""))
-    known = ingest.last_wins(known, [key], order) if order else known.dropDuplicates([key])
+    known = ingest.last_wins(known, [key], order or _settled(labels))
     known = known.select(key, *(F.col(c).cast("string").alias(f"_{c}") for c in columns))
     base = {c: F.col(c).cast("string") if c in rows.columns else F.lit("") for c in columns}
     joined = rows.join(known, key, "left")
@@ -27,7 +33,7 @@ def upsert(table: DataFrame, changes: DataFrame, key: str, order: list[Column] |
     Of changes with equal keys the first in ``order`` counts; without an order
     all their columns settle it, so the result doesn't depend on partitions.
     """
-    changes = ingest.last_wins(changes, [key], order or [F.col(c).desc_nulls_last() for c, kind in changes.dtypes if "map<" not in kind])
+    changes = ingest.last_wins(changes, [key], order or _settled(changes))
     return table.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
