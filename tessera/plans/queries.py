@@ -546,10 +546,18 @@ def q39_source_id(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.source_id(F.col("url")).alias("hashed"), text.source_id(detail).alias("numbered"))
 
 
-@query("SELECT page_id, CAST(page_id AS VARCHAR) || '_' || substr(sha1(url), 1, 10) || '.jpg' AS name, CAST(page_id AS VARCHAR) || '_' || substr(sha1(url || '/a.PNG?x'), 1, 10) || '.png' AS png FROM pages")
+_PATH = "regexp_extract({}, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1)"
+_NAMED = "CAST(page_id AS VARCHAR) || '_' || substr(sha1({0}), 1, 10) || coalesce(nullif(lower(regexp_extract({1}, '(?i)\\.(?:jpg|jpeg|png|webp|avif)$')), ''), '.jpg')"
+
+
+@query(f"""SELECT page_id, {_NAMED.format('url', _PATH.format('url'))} AS name, {_NAMED.format("url || '/a.PNG?x'", _PATH.format("url || '/a.PNG?x'"))} AS png,
+    {_NAMED.format("base || '/b.Webp?a.gif#c'", _PATH.format("base || '/b.Webp?a.gif#c'"))} AS webp, {_NAMED.format("base || '/c.gif.txt'", _PATH.format("base || '/c.gif.txt'"))} AS other
+    FROM (SELECT page_id, url, regexp_extract(url, '^[^?#]*') AS base FROM pages)""")
 def q40_image_name(spark, sf_dir):
-    sid = F.col("page_id").cast("string")
-    return table(spark, sf_dir, "pages").select("page_id", text.image_name(sid, F.col("url")).alias("name"), text.image_name(sid, F.concat("url", F.lit("/a.PNG?x"))).alias("png"))
+    sid, url = F.col("page_id").cast("string"), F.col("url")
+    base = F.regexp_extract(url, "^[^?#]*", 0)
+    named = {"name": url, "png": F.concat(url, F.lit("/a.PNG?x")), "webp": F.concat(base, F.lit("/b.Webp?a.gif#c")), "other": F.concat(base, F.lit("/c.gif.txt"))}
+    return table(spark, sf_dir, "pages").select("page_id", *(text.image_name(sid, u).alias(n) for n, u in named.items()))
 
 
 @query("""SELECT page_id, regexp_matches(lower(url || '/photo/a.jpg'), '\\.(jpg|png)(?:$|[?&])') AND NOT regexp_matches(lower(url || '/photo/a.jpg'), 'logo|icon|sprite|banner|button|qr|map|avatar|/common/|/parts/|resizeimage') AS photo,
