@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from ..session import cut
+from ..session import cut, free_name
 
 PERIODS = ("pre 1981", "1981 to 2000", "post 2000")
 LAYOUTS = ("R", "K", "DK", "LDK")
@@ -96,19 +96,22 @@ def fold_ids(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
-    """1-based rank over all rows: a range partitioning, a window in each part and an offset from their counts."""
-    parts = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism, *order).sortWithinPartitions(*order)
-    # written once: another run may draw other ranges
-    marked = cut(parts.withColumn("_p", F.spark_partition_id())).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
-    counts = sorted(marked.groupBy("_p").count().collect())  # one row for each part
+    """1-based rank over all rows: ranges of the order, places in each range, and offsets from the ranges' counts.
+
+    The rows are written once, as other ranges may be drawn when they are made
+    again; give keys alone where rows are wide. One row for each range reaches
+    the driver and is joined back.
+    """
+    spark = df.sparkSession
+    part, place, first = (free_name(df, n) for n in ("part", "place", "first"))
+    parts = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    marked = cut(parts.withColumn(part, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id() - F.shiftleft(F.col(part).cast("bigint"), 33)))
     before, starts = 0, []
-    for p, n in counts:
+    for p, n in sorted(marked.groupBy(part).count().collect()):
         starts.append((p, before))
         before += n
-    offset = F.lit(0).cast("bigint")
-    for p, n in reversed(starts):
-        offset = F.when(F.col("_p") == p, F.lit(n).cast("bigint")).otherwise(offset)
-    return marked.withColumn(out, F.col("_i") + 1 + offset).drop("_p", "_i")
+    offsets = spark.createDataFrame(starts, f"`{part}` int, `{first}` bigint")
+    return marked.join(F.broadcast(offsets), part).withColumn(out, F.col(place) + F.col(first) + 1).drop(part, place, first)
 
 
 def batch_numbers(df: DataFrame, order: list[Column], first: int, size: int) -> DataFrame:

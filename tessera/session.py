@@ -42,3 +42,11 @@ def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and read back from the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def free_name(df: DataFrame, kind: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while kind.lower() in taken:
+        kind += "_"
+    return kind
