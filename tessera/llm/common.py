@@ -64,6 +64,30 @@ def parts_between(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndar
     return found.dictionary, found.indices.to_numpy()
 
 
+_LOWERED = np.arange(256, dtype=np.uint8)
+_LOWERED[ord("A") : ord("Z") + 1] += 32
+_OF_WORDS = np.isin(np.arange(256), [*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)])
+
+
+def lower_words(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, the place of each word among them, and where each text's words begin and the last ends.
+
+    A to Z are lower-cased; words are runs of digits, a to z and characters
+    beyond ASCII.
+    """
+    data, ends = text_bytes(column)
+    data = _LOWERED[data]
+    inside = _OF_WORDS[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    begins = ends[:-1][ends[:-1] < len(data)]
+    first[begins] = inside[begins]  # no word goes on into the next text
+    starts = np.flatnonzero(first)
+    cuts = np.append(np.cumsum(inside)[starts] - 1, inside.sum())
+    distinct, place = parts_between(data[inside], cuts)
+    return distinct, place, np.searchsorted(starts, ends)
+
+
 def give_back() -> None:
     """Return what this worker has freed to the system, as several workers share an executor's memory."""
     pa.default_memory_pool().release_unused()
