@@ -28,9 +28,11 @@ ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,11 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, held, new_folder, parts_between, text_bytes
 
-SLICE = 8_000_000  # bytes of text in a block
-CACHED_UNITS = 150_000
+SLICE = 4_000_000  # bytes of text in a block
+TOGETHER = 50_000  # bytes of units encoded as one text
 MARK = "▁"
+# Fixed value: how a byte-level tokenizer cuts text into words.
+BYTE_LEVEL_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 UP_TO_BOTH = re.compile(b"[nab]*x")
 
 
@@ -57,69 +61,179 @@ def spelled_byte_level(vocabulary: dict[str, int]) -> list[bytes]:
     return out
 
 
-def links(a_ids: list[int], b_ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def byte_level(path: str) -> tuple[Callable[[list[str]], list[list[int]]], list[bytes]]:
+    """What encodes texts by a tokenizer file, special tokens' strings as plain text, and the bytes of its entries.
+
+    A plain byte-level BPE whose merges are numbered as its entries is encoded
+    by ranks, which is the same and several times as fast; others by the
+    tokenizers library.
+    """
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    whole = Tokenizer.from_file(path)
+    whole.encode_special_tokens = True
+    spelled = spelled_byte_level(whole.get_vocab())
+    by_library = lambda texts: [e.ids for e in whole.encode_batch_fast(texts, add_special_tokens=False)]
+    told = json.loads(Path(path).read_text())
+    vocabulary, merges, before = told["model"].get("vocab"), told["model"].get("merges"), told["pre_tokenizer"] or {}
+    plain = told["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
+    plain = plain and told["model"]["type"] == "BPE" and not any(told["model"].get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+    plain = plain and all(t["special"] for t in told["added_tokens"])
+    joined = lambda m: "".join(m if isinstance(m, list) else m.split(" "))
+    if not plain or len(vocabulary) != 256 + len(merges) or any(vocabulary[joined(m)] != 256 + i for i, m in enumerate(merges)):
+        return by_library, spelled
+    import tiktoken
+
+    ranks = {spelled[i]: i for i in vocabulary.values()}
+    by_rank = tiktoken.Encoding(path, pat_str=BYTE_LEVEL_WORDS, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: list(map(by_rank.encode_ordinary, texts)), spelled
+
+
+def links(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct id pairs of a group as a * 2**32 + b, and how often each is linked."""
-    a, a_times = np.unique(np.array(a_ids, np.int64), return_counts=True)
-    b, b_times = np.unique(np.array(b_ids, np.int64), return_counts=True)
+    a, a_times = np.unique(a, return_counts=True)
+    b, b_times = np.unique(b, return_counts=True)
     return (a[:, None] << 32 | b).ravel(), (a_times[:, None] * b_times).ravel()
 
 
+def _inside(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, as many as ``length`` says, in a row."""
+    return np.repeat(first - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+class Units:
+    """Aligned units: for each, tokens and groups, its groups as text, and its links as pairs with how often they stand in it."""
+
+    def __init__(self, aligner: Aligner, data: np.ndarray, ends: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]):
+        """``a`` and ``b``: ids in a row, and where each unit's begin and the last end; ``data`` and ``ends``: the units' bytes."""
+        n = len(ends) - 1
+        self.spelled = _spells(aligner.a_spelled, *a, data, ends) & _spells(aligner.b_spelled, *b, data, ends)
+        keep = self.spelled
+        width = np.where(keep, np.diff(ends), 0)
+        size = np.cumsum(width)
+        a_ids, self.n_a = _kept(*a, keep)
+        b_ids, self.n_b = _kept(*b, keep)
+        # n 0, a 1, b 2, x 3 as characters of the label string
+        label = np.zeros(int(size[-1]) if n else 0, np.uint8)
+        a_ends, b_ends = np.cumsum(aligner.a_width[a_ids]), np.cumsum(aligner.b_width[b_ids])
+        label[a_ends - 1] = 1
+        label[b_ends - 1] += 2
+        label = np.frombuffer(b"nabx", np.uint8)[label].tobytes()
+        cuts = np.cumsum(np.fromiter(map(len, UP_TO_BOTH.findall(label)), np.int64))
+        unit = np.searchsorted(size, cuts)  # the unit that each group is in
+        self.n_groups = np.bincount(unit, minlength=n)
+        # tokens up to each group's end: the labels a or x, and b or x, up to there
+        a_to, b_to = np.searchsorted(a_ends, cuts, "right"), np.searchsorted(b_ends, cuts, "right")
+        a_first, b_first = np.concatenate([[0], a_to[:-1]])[: len(cuts)], np.concatenate([[0], b_to[:-1]])[: len(cuts)]
+        a_size, b_size = a_to - a_first, b_to - b_first
+        self.texts = self._said(aligner, a_ids, b_ids, a_to, b_to, a_size, b_size, unit, n)
+        # links: groups of few pairs are spelled out, others are counted by distinct ids
+        small = a_size * b_size <= 64
+        count = np.where(small, a_size * b_size, 0)
+        at = _inside(np.zeros(len(cuts), np.int64), count)
+        wide = np.repeat(b_size, count)
+        keys = a_ids[np.repeat(a_first, count) + at // np.maximum(wide, 1)] << 32 | b_ids[np.repeat(b_first, count) + at % np.maximum(wide, 1)]
+        parts, times, of = [keys], [np.ones(len(keys), np.int64)], [np.repeat(unit, count)]
+        for g in np.flatnonzero(~small).tolist():
+            k, t = links(a_ids[a_first[g] : a_to[g]], b_ids[b_first[g] : b_to[g]])
+            parts.append(k)
+            times.append(t)
+            of.append(np.full(len(k), unit[g]))
+        of = np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        self.keys, self.times = np.concatenate(parts)[order], np.concatenate(times)[order]
+        self.size = np.bincount(of, minlength=n)
+
+    def _said(self, aligner: Aligner, a_ids, b_ids, a_to, b_to, a_size, b_size, unit, n) -> pa.Array:
+        """``a1,a2|b1;`` of all groups of each unit."""
+        # entries of the table of numbers: A with a comma, A with a bar, B with a comma, B with a semicolon
+        a_entry, b_entry = a_ids.copy(), b_ids + 2 * len(aligner.a_width)
+        a_entry[a_to - 1] += len(aligner.a_width)
+        b_entry[b_to - 1] += len(aligner.b_width)
+        both = np.empty(len(a_ids) + len(b_ids), np.int64)
+        start = np.cumsum(a_size + b_size) - (a_size + b_size)
+        both[_inside(start, a_size)] = a_entry
+        both[_inside(start + a_size, b_size)] = b_entry
+        data, ends = text_bytes(aligner.numbers.take(pa.array(both)))
+        groups = np.bincount(unit, weights=a_size + b_size, minlength=n).astype(np.int64)
+        offsets = ends[np.concatenate([[0], np.cumsum(groups)])]
+        return pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _kept(ids: np.ndarray, starts: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the kept units in a row, and the number of each unit's, 0 for the others."""
+    size = np.where(keep, np.diff(starts), 0)
+    return ids[np.repeat(keep, np.diff(starts))], size
+
+
+def _spells(spelled: pa.Array, ids: np.ndarray, starts: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the bytes of each unit's tokens are those of the unit."""
+    told, to = text_bytes(spelled.take(pa.array(ids)))
+    to = to[starts]
+    right = np.diff(to) == np.diff(ends)
+    if right.all():
+        wrong = np.flatnonzero(told != data)
+        right[np.unique(np.searchsorted(ends, wrong, "right") - 1)] = False
+    else:
+        for i in np.flatnonzero(right).tolist():
+            right[i] = np.array_equal(told[to[i] : to[i + 1]], data[ends[i] : ends[i + 1]])
+    return right
+
+
 class Aligner:
-    """Tokens, groups and links of units."""
+    """Both tokenizers over units, and what their entries spell."""
 
     def __init__(self, byte_bpe: str, piece_model: str):
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(byte_bpe)
-        self.a.encode_special_tokens = True
-        self.a_bytes = spelled_byte_level(self.a.get_vocab())
+        self.a, a_bytes = byte_level(byte_bpe)
         self.b = sp = sentencepiece.SentencePieceProcessor(model_file=piece_model)
         pieces = map(sp.id_to_piece, range(sp.get_piece_size()))
-        self.b_bytes = [bytes([int(t[3:5], 16)]) if sp.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(pieces)]
-        self.known: dict[bytes, tuple | None] = {}
-
-    def align(self, unit: bytes, a_ids: list[int], b_ids: list[int]) -> tuple | None:
-        """Number of groups, tokens of A and B, their groups as text, pairs and times (as bytes); None if the tokens don't spell the unit."""
-        a_bytes, b_bytes = [self.a_bytes[i] for i in a_ids], [self.b_bytes[i] for i in b_ids]
-        if b"".join(a_bytes) != unit or b"".join(b_bytes) != unit:
-            return None
-        label, at = bytearray(b"n" * len(unit)), -1
-        for token in a_bytes:
-            at += len(token)
-            label[at] = 97  # a
-        at = -1
-        for token in b_bytes:
-            at += len(token)
-            label[at] = 120 if label[at] == 97 else 98  # x, b
-        said, keys, times, i, j = [], [], [], 0, 0
-        for group in UP_TO_BOTH.findall(label):
-            to_i, to_j = i + group.count(b"a") + 1, j + group.count(b"b") + 1
-            a, b = a_ids[i:to_i], b_ids[j:to_j]
-            said.append(",".join(map(str, a)) + "|" + ",".join(map(str, b)))
-            if len(a) == 1 or len(b) == 1:
-                keys += [x << 32 | y for x in a for y in b]
-                times += [1] * (len(a) * len(b))
-            else:
-                k, t = links(a, b)
-                keys += k.tolist()
-                times += t.tolist()
-            i, j = to_i, to_j
-        return len(said), len(a_ids), len(b_ids), ";".join(said), np.array(keys, np.int64).tobytes(), np.array(times, np.int64).tobytes()
-
-    def units(self, distinct: list[bytes]) -> list[tuple | None]:
-        new = [u for u in distinct if u not in self.known]
-        texts = [u.decode("utf-8", "surrogatepass") for u in new]
-        a = (e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False))
-        # the library puts a mark before what isn't empty; a unit of one space is that mark alone
-        b = (x or [self.b.piece_to_id(MARK)] for x in self.b.encode([t[1:] for t in texts], num_threads=1)) if texts else []
-        fresh = {u: self.align(u, x, y) for u, x, y in zip(new, a, b)}
-        if len(self.known) + len(fresh) <= CACHED_UNITS:  # the units met first stay
-            self.known.update(fresh)
-            return [self.known[u] for u in distinct]
-        known = self.known
-        return [fresh[u] if u in fresh else known[u] for u in distinct]
+        b_bytes = [bytes([int(t[3:5], 16)]) if sp.is_byte(i) else t.replace(MARK, " ").encode() for i, t in enumerate(pieces)]
+        self.a_width, self.b_width = (np.fromiter(map(len, x), np.int64) for x in (a_bytes, b_bytes))
+        self.a_spelled, self.b_spelled = (pa.array(x, pa.large_binary()) for x in (a_bytes, b_bytes))
+        ends = ((a_bytes, b","), (a_bytes, b"|"), (b_bytes, b","), (b_bytes, b";"))
+        self.numbers = pa.array([b"%d" % i + end for entries, end in ends for i in range(len(entries))], pa.large_binary())
+
+    def _ids(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of A and of B of texts that begin with a space."""
+        mark = [self.b.piece_to_id(MARK)]  # the library puts a mark before what isn't empty; a text of one space is that mark alone
+        return [np.array(x, np.int64) for x in self.a(texts)], [np.array(x or mark, np.int64) for x in self.b.encode([t[1:] for t in texts], num_threads=1)]
+
+    def align(self, data: np.ndarray, ends: np.ndarray, together: int) -> Units:
+        """Units whose bytes stand in a row.
+
+        The first ``together`` units end in what is surely no white space, so
+        both models cut there and many are encoded as one text; the others alone.
+        """
+        whole, n = data.tobytes(), len(ends) - 1
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, int(ends[together]), TOGETHER)), together))
+        edges = [*cuts.tolist(), *range(together + 1, n + 1)]
+        spans = list(zip(edges, edges[1:]))
+        a, b = self._ids([whole[ends[i] : ends[j]].decode("utf-8", "surrogatepass") for i, j in spans]) if spans else ([], [])
+        sides: tuple[list, list] = ([], [])
+        for (i, j), *both in zip(spans, a, b):
+            found = [_counts(ids, width, ends[i : j + 1]) for ids, width in zip(both, (self.a_width, self.b_width))] if j > i + 1 else [[len(x)] for x in both]
+            if any(x is None for x in found):  # tokens that don't spell the text: each unit alone
+                alone = self._ids([whole[x:y].decode("utf-8", "surrogatepass") for x, y in zip(ends[i:j].tolist(), ends[i + 1 : j + 1].tolist())])
+                both, found = [np.concatenate(x) for x in alone], [list(map(len, x)) for x in alone]
+            for side, ids, counts in zip(sides, both, found):
+                side.append((ids, counts))
+        flat = []
+        for side in sides:
+            sizes = np.concatenate([np.zeros(1, np.int64), *(c for _, c in side)]).astype(np.int64)
+            flat.append((np.concatenate([np.zeros(0, np.int64), *(ids for ids, _ in side)]), np.cumsum(sizes)))
+        return Units(self, data, ends, *flat)
+
+
+def _counts(ids: np.ndarray, width: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
+    """Tokens of each of the units that end at ``ends[1:]``; None where tokens don't end with the units."""
+    to = np.cumsum(width[ids]) + ends[0]
+    at = np.searchsorted(to, ends[1:])
+    if not len(to) or to[-1] != ends[-1] or (to[at] != ends[1:]).any():
+        return None
+    return np.diff(at, prepend=-1)
 
 
 def _cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -134,51 +248,54 @@ def _cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def align_slice(aligner: Aligner, texts: pa.Array) -> tuple[dict[str, list], tuple[np.ndarray, ...]]:
-    """Columns of the slice's documents, and its distinct pairs: a, b and the documents that hold them linked."""
+def align_slice(aligner: Aligner, texts: pa.Array) -> tuple[dict, tuple[np.ndarray, ...]]:
+    """Columns of the slice's documents, and its distinct pairs: number, a, b and the documents that hold them linked."""
     data, ends = text_bytes(texts)
     some = np.diff(ends) > 0
     data = np.insert(data, ends[:-1][some], 32)
     ends = ends + np.concatenate([[0], np.cumsum(some)])
     starts = _cuts(data, ends) if len(data) else ends[:1]
     distinct, place = parts_between(data, starts)
-    found = aligner.units(distinct.to_pylist())
-    first, rows = np.searchsorted(starts, ends), len(ends) - 1  # each text's first unit
+    data, ends_of = text_bytes(distinct)
+    last = data[ends_of[1:] - 1] if len(distinct) else data[:0]
+    sure = (last > 32) & (last < 127)
+    order = np.argsort(~sure, kind="stable")
+    place = np.argsort(order)[place]
+    units = aligner.align(*text_bytes(distinct.take(pa.array(order))), int(sure.sum()))
+    first, rows, n = np.searchsorted(starts, ends), len(ends) - 1, max(len(distinct), 1)  # each text's first unit
     text = np.repeat(np.arange(rows), np.diff(first))
+    right = np.bincount(text[~units.spelled[place]], minlength=rows) == 0
+    text, place = text[right[text]], place[right[text]]
 
-    spelled = np.array([r is not None for r in found], bool)
-    right = np.bincount(text[~spelled[place]], minlength=rows) == 0
-    kept = right[text]
-    text, place = text[kept], place[kept]
-    blank = (0, 0, 0, "", b"", b"")
-    found = [r or blank for r in found]
-    count = lambda values: np.bincount(text, weights=np.array(values, np.float64)[place], minlength=rows).astype(np.int64)  # noqa: E731  whole numbers below 2**53
-    columns = {"n_groups": count([r[0] for r in found]), "n_a": count([r[1] for r in found]), "n_b": count([r[2] for r in found])}
-    said, edges = [r[3] for r in found], np.searchsorted(text, np.arange(rows + 1)).tolist()
-    of = place.tolist()
-    columns["groups_sha256"] = [hashlib.sha256(";".join([said[u] for u in of[a:b]]).encode()).hexdigest() if b > a else "" for a, b in zip(edges, edges[1:])]
+    along = lambda values, at: np.diff(np.concatenate([[0], np.cumsum(values)])[at])
+    edges = np.searchsorted(text, np.arange(rows + 1))
+    columns: dict = {name: along(values[place], edges) for name, values in (("n_a", units.n_a), ("n_b", units.n_b), ("n_groups", units.n_groups))}
+    said, at = text_bytes(units.texts.take(pa.array(place)))
+    said, at = said.tobytes(), at[edges].tolist()
+    columns["groups_sha256"] = [hashlib.sha256(said[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(at, at[1:])]
 
     # distinct units of each document, then distinct pairs of each document
-    uses, times = np.unique(text * max(len(found), 1) + place, return_counts=True)
-    doc, unit = np.divmod(uses, max(len(found), 1))
-    size = np.fromiter((len(r[4]) // 8 for r in found), np.int64, len(found))
-    keys, inside = np.unique(np.frombuffer(b"".join([r[4] for r in found]), np.int64), return_inverse=True)
-    often = np.frombuffer(b"".join([r[5] for r in found]), np.int64)
-    length = size[unit]
-    along = np.repeat((np.cumsum(size) - size)[unit] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-    code, back = np.unique(np.repeat(doc, length) * max(len(keys), 1) + inside[along], return_inverse=True)
-    linked = np.bincount(back, weights=(often[along] * np.repeat(times, length)).astype(np.float64), minlength=len(code)).astype(np.int64)
-    doc, pair = np.divmod(code, max(len(keys), 1))
-    cuts = np.searchsorted(doc, np.arange(rows + 1)).astype(np.int32)
-    columns["n_links"] = np.bincount(doc, weights=linked.astype(np.float64), minlength=rows).astype(np.int64)
-    columns["pairs"] = pa.ListArray.from_arrays(cuts, pa.array(pair.astype(np.int32)))
-    columns["times"] = pa.ListArray.from_arrays(cuts, pa.array(linked))
+    uses, often = np.unique(text * n + place, return_counts=True)
+    doc, unit = np.divmod(uses, n)
+    keys, inside = np.unique(units.keys, return_inverse=True)
+    length = units.size[unit]
+    which = _inside((np.cumsum(units.size) - units.size)[unit], length)
+    code = np.repeat(doc, length) * max(len(keys), 1) + inside[which]
+    order = np.argsort(code, kind="stable")
+    code, weight = code[order], (units.times[which] * np.repeat(often, length))[order]
+    begins = np.flatnonzero(np.diff(code, prepend=-1))
+    linked = np.add.reduceat(weight, begins) if len(begins) else weight
+    doc, pair = np.divmod(code[begins], max(len(keys), 1))
+    cuts = np.searchsorted(doc, np.arange(rows + 1))
+    columns["n_links"] = along(linked, cuts)
+    columns["pairs"] = pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(pair.astype(np.int32)))
+    columns["times"] = pa.ListArray.from_arrays(cuts.astype(np.int32), pa.array(linked.astype(np.int32)))
     docs = np.bincount(pair, minlength=len(keys))
     used = np.flatnonzero(docs)
     return columns, (used, keys[used] >> 32, keys[used] & 0xFFFFFFFF, docs[used])
 
 
-BLOCKS = "block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<int>, times array<bigint>, pair int, a int, b int, docs bigint"
+BLOCKS = "block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<int>, times array<int>, pair int, a int, b int, docs bigint"
 
 
 def blocks(docs: DataFrame, byte_bpe: str, piece_model: str) -> DataFrame:
@@ -216,13 +333,12 @@ def _meet(docs: pa.Table, pairs: pa.Table) -> pa.Table:
     size = int(number.max()) + 1 if len(number) else 0
     totals, bests = np.zeros(size, np.int64), np.zeros(size, np.int64)
     totals[number], bests[number] = total, best
-    sums = {"n_best": [], "count_sum": []}
-    for pair, times in zip(docs.column("pairs").to_pylist(), docs.column("times").to_pylist()):
-        at, n = np.array(pair, np.int64), np.array(times, np.int64)
-        sums["n_best"].append(int(n @ bests[at]))
-        sums["count_sum"].append(int(n @ totals[at]))
+    held_by, times = (docs.column(c).combine_chunks() for c in ("pairs", "times"))
+    at, n = held_by.flatten().to_numpy(), times.flatten().to_numpy().astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum(held_by.value_lengths().to_numpy())])
+    summed = lambda values: np.diff(np.concatenate([[0], np.cumsum(n * values[at])])[edges])
     plain = {c: docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")}
-    return pa.table(plain | {k: pa.array(v, pa.int64()) for k, v in sums.items()} | {"groups_sha256": docs.column("groups_sha256")})
+    return pa.table(plain | {"n_best": summed(bests), "count_sum": summed(totals), "groups_sha256": docs.column("groups_sha256")})
 
 
 def pair_counts(pairs: DataFrame) -> DataFrame:
