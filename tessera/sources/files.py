@@ -40,6 +40,13 @@ def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     df.dropDuplicates(keys).write.mode("append").parquet(path)
 
 
+def before_batch(spark: SparkSession, path: str, batch: int, schema: str) -> DataFrame:
+    """Rows that the batches before this one stored below ``path/batch=<number>``."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(f"{schema}, batch int").parquet(path).filter(F.col("batch") < batch).drop("batch")
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     location = jvm.org.apache.hadoop.fs.Path(path)

@@ -8,3 +8,5 @@ FAILED = "source_id string, listing_url string, attempts int, last_reason string
 LABELS = "source_id string, listing_url string, image_url string, RoomType string, Luxury string, Brightness string, Condition string, image_name string, image_path string, default_image int, room_type string, scoring_dict string"
 PLACES = "address string, latitude double, longitude double"
 EMBEDDINGS = "source_id string, image_url string, room_type string, embedding string"
+LOG = "source_id string, url string, status string, reason string, at timestamp"
+FAILING = "source_id string, url string, attempts int, last_reason string, last_at timestamp"

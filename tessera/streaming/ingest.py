@@ -7,46 +7,49 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ingest, labels
-from ..sources import files, pages
-from ..session import new_folder
+from ..sources import files, pages, schemas
+from ..sources.tables import VersionedTable
 
 
 def page_stream(spark: SparkSession, path: str, schema: str = "url string, html string", files_at_a_time: int = 16) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_a_time).parquet(path)
 
 
-def ingest_batch(batch: DataFrame, folder: str, least_images: int = 2) -> None:
-    """Listings, images and failures of one batch of pages, each row stored once.
+def ingest_batch(batch: DataFrame, number: int, folder: str, least_images: int = 2) -> None:
+    """Listings, images and log of one batch of pages, each row stored once.
 
     Images already stored are not counted, so a listing that is met again
-    without new photos is of low quality.
+    without new photos is of low quality. Rows are written below the batch's
+    number, over what an earlier run of it wrote, and only the batches before
+    it are read; so a batch that runs again counts what it counted.
     """
     spark = batch.sparkSession
-    batch = batch.filter("url is not null").dropDuplicates(["url"])
-    fields = pages.listing_fields(batch)
-    found = batch.select("url", F.explode(pages.page_photos("html", "url")).alias("image_url"))
-    images = fields.select("source_id", F.col("url").alias("listing_url")).join(found.withColumnRenamed("url", "listing_url"), "listing_url")
-    images = files.with_image_names(images.select("source_id", "listing_url", "image_url", F.lit(None).cast("string").alias("image_name")))
-    stored = f"{folder}/images"
-    if files.exists(spark, stored):
-        images = images.join(spark.read.parquet(stored).select("source_id", "image_url"), ["source_id", "image_url"], "left_anti")
-    counts = images.groupBy("source_id").agg(F.countDistinct("image_url").cast("int").alias("image_count"))
-    error = F.when(F.col("price_man_yen").isNull(), F.lit("no price"))
-    told = fields.join(counts, "source_id", "left").withColumn("image_count", F.coalesce("image_count", F.lit(0)))
-    told = told.withColumn("status", ingest.listing_status(F.col("image_count"), error, least_images)).withColumn("reason", error)
-    told = told.persist()
+    before = lambda table, schema: files.before_batch(spark, f"{folder}/{table}", number, schema)
+    read = pages.listing_fields(batch.filter("url is not null").dropDuplicates(["url"]), photos=True).persist()
     try:
-        files.append_new(told.filter("status = 'ok'").drop("status", "reason"), f"{folder}/listings", ["source_id"])
-        files.append_new(images.select("source_id", "listing_url", "image_url", "image_name"), stored, ["source_id", "image_url"])
-        told.select("source_id", "url", "status", F.substring(F.coalesce("reason", "status"), 1, 240).alias("reason"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{folder}/log")
+        images = read.select("source_id", F.col("url").alias("listing_url"), F.explode("photos").alias("image_url"), F.lit(None).cast("string").alias("image_name"))
+        images = files.with_image_names(images).join(before("images", schemas.IMAGES).select("source_id", "image_url"), ["source_id", "image_url"], "left_anti").dropDuplicates(["source_id", "image_url"])
+        counts = images.groupBy("source_id").agg(F.count("*").cast("int").alias("image_count"))
+        error = F.when(F.col("price_man_yen").isNull(), F.lit("no price"))
+        told = read.drop("photos").join(counts, "source_id", "left").withColumn("image_count", F.coalesce("image_count", F.lit(0)))
+        told = told.withColumn("status", ingest.listing_status(F.col("image_count"), error, least_images)).withColumn("reason", error)
+        fresh = ingest.new_rows(told.filter("status = 'ok'").drop("status", "reason"), before("listings", schemas.LISTINGS), ["source_id"])
+        write = lambda df, table: df.write.mode("overwrite").parquet(f"{folder}/{table}/batch={number}")
+        write(project(fresh, schemas.LISTINGS), "listings")
+        write(images.select("source_id", "listing_url", "image_url", "image_name"), "images")
+        write(told.select("source_id", "url", "status", F.substring(F.coalesce("reason", "status"), 1, 240).alias("reason"), F.current_timestamp().alias("at")), "log")
     finally:
-        told.unpersist()
+        read.unpersist()
+
+
+def project(df: DataFrame, schema: str) -> DataFrame:
+    return df.select(*(c.split()[0] for c in schema.split(", ")))
 
 
 def run(spark: SparkSession, source: str, folder: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Take in what is there and stop; a later run goes on where this one ended."""
-    stream = page_stream(spark, source).writeStream.foreachBatch(lambda df, _: ingest_batch(df, folder))
-    return stream.option("checkpointLocation", checkpoint or new_folder(spark, "ingest")).trigger(availableNow=True).start()
+    """Take in what is there and stop; a later run goes on where this one ended. The checkpoint numbers the batches, so it belongs to the folder."""
+    stream = page_stream(spark, source).writeStream.foreachBatch(lambda df, number: ingest_batch(df, number, folder))
+    return stream.option("checkpointLocation", checkpoint or f"{folder}/_checkpoint").trigger(availableNow=True).start()
 
 
 def failed_listings(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,16 +59,24 @@ def failed_listings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def label_stream(spark: SparkSession, source: str, schema: str, table: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Label changes that arrive as JSON files, merged into a table by key.
+    """Label changes that arrive as JSON files, merged into a versioned table by key.
 
-    A batch writes the next version of the table beside the last and then names
-    it, so a batch that runs again leaves the same table.
+    Of changes to one key the last counts: that of the file that was written
+    last, then the one that stands last in its file. A batch writes its own
+    version and puts it in force last, so one that runs again leaves the same
+    table.
     """
+    versions = VersionedTable(spark, table)
+    where = ("_written", "_file", "_block", "_place")
 
     def merge(batch: DataFrame, number: int) -> None:
-        last = f"{table}/v{number - 1}"
-        base = spark.read.parquet(last) if number and files.exists(spark, last) else batch.limit(0)
-        labels.upsert(base, batch, key).write.mode("overwrite").parquet(f"{table}/v{number}")
-
-    changes = spark.readStream.schema(schema).json(source)
+        if versions.version() == number:  # in force, but not marked as done
+            return
+        placed = batch.withColumn("_place", F.monotonically_increasing_id())
+        base = spark.read.parquet(versions.location(number - 1)) if number and versions.version() is not None else batch.drop(*where).limit(0)
+        last = ingest.last_wins(placed, [key], [F.col(c).desc_nulls_last() for c in where]).drop(*where)
+        versions.publish(labels.upsert(base, last, key), number)
+
+    met = (F.col(f"_metadata.{n}").alias(c) for n, c in zip(("file_modification_time", "file_path", "file_block_start"), where))
+    changes = spark.readStream.schema(schema).json(source).select("*", *met)
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

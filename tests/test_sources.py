@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import ingest
-from tessera.sources import files, pages, schemas
+from tessera.sources import files, pages, schemas, tables
 from tessera.streaming import ingest as stream
 
 LISTING = """<html><body><table><tr><th>価格</th><td>4980万円</td></tr><tr><th> 間取り </th><td>3LDK</td></tr><tr><td>x</td></tr></table>
@@ -94,9 +94,35 @@ def test_stream_takes_each_listing_once(spark, tmp_path):
 
 def test_label_stream(spark, tmp_path):
     import json
+    import os
 
     (tmp_path / "in").mkdir()
-    for n, rows in enumerate(([("a", "yes"), ("b", "no")], [("b", "yes"), ("c", "no")])):
-        (tmp_path / "in" / f"{n}.json").write_text("\n".join(json.dumps({"url": u, "label": v}) for u, v in rows))
+    # the last change of a key counts, in the later file and further down in a file, whatever its letters
+    batches = ([[("a", "yes"), ("b", "yes"), ("b", "no")]], [[("b", "z"), ("c", "no")], [("b", "x"), ("b", "a")]])
+    at = 0
+    for rows in batches:
+        for file in rows:
+            path = tmp_path / "in" / f"{9 - at}.json"
+            path.write_text("\n".join(json.dumps({"url": u, "label": v}) for u, v in file))
+            os.utime(path, (1_700_000_000 + at, 1_700_000_000 + at))
+            at += 1
         stream.label_stream(spark, f"{tmp_path}/in", "url string, label string", f"{tmp_path}/t", "url", f"{tmp_path}/state").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(f"{tmp_path}/t/v1").collect())) == [("a", "yes"), ("b", "yes"), ("c", "no")]
+    table = tables.VersionedTable(spark, f"{tmp_path}/t")
+    assert table.version() == 1 and sorted(map(tuple, table.read().collect())) == [("a", "yes"), ("b", "a"), ("c", "no")]
+    assert sorted(map(tuple, spark.read.parquet(table.location(0)).collect())) == [("a", "yes"), ("b", "no")]
+
+
+def test_a_batch_of_pages_that_runs_again_counts_what_it_counted(spark, tmp_path):
+    page = lambda n: (f"https://h.example/ms/chuko/nc_{n}/", LISTING)
+    first = spark.createDataFrame([page(1), page(2)], "url string, html string")
+    second = spark.createDataFrame([page(2), page(3)], "url string, html string")
+    folder = f"{tmp_path}/out"
+    stream.ingest_batch(first, 0, folder)
+    stream.ingest_batch(second, 1, folder)
+    state = lambda: {t: sorted(r.source_id for r in spark.read.parquet(f"{folder}/{t}").collect()) for t in ("listings", "images", "log")}
+    counts = lambda: sorted((r.source_id, r.image_count) for r in spark.read.parquet(f"{folder}/listings").collect())
+    before, had = state(), counts()
+    stream.ingest_batch(second, 1, folder)
+    assert state() == before and counts() == had and [x for x, _ in had] == ["1", "2", "3"]
+    failed = {r.source_id for r in stream.failed_listings(spark, folder).collect()}
+    assert failed == {"2"}
