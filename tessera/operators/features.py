@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import numeric
 from ..session import cut, free_name
+from .quantiles import quantiles
 
 PERIODS = ("pre 1981", "1981 to 2000", "post 2000")
 LAYOUTS = ("R", "K", "DK", "LDK")
@@ -18,8 +19,10 @@ def building_period(year: Column) -> Column:
 
 
 def fit_robust(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row: exact quartiles of each column."""
-    return df.agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns))
+    """One row: exact quartiles of each column, NULL for a column without values."""
+    found = quantiles(df, columns, [0.25, 0.5, 0.75])
+    row = [None if found[c][0] is None else found[c] for c in columns]
+    return df.sparkSession.createDataFrame([row], ", ".join(f"`{c}` array<double>" for c in columns))
 
 
 def robust_scale(df: DataFrame, quartiles: DataFrame, columns: list[str], prefix: str = "") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import ratio
+from .quantiles import quantiles
 
 
 def regression_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -37,8 +38,9 @@ def log_loss(df: DataFrame, truth: Column, probability: Column, eps: float = 2.2
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """count, mean, sample deviation, extremes and exact quartiles."""
-    quartile = lambda q: F.percentile(column, F.lit(q))
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).alias("least"), quartile(0.25).alias("q1"), quartile(0.5).alias("median"), quartile(0.75).alias("q3"), F.max(column).alias("most"))
+    q1, median, q3 = (F.lit(q).cast("double") for q in quantiles(df, [column], [0.25, 0.5, 0.75])[column])
+    told = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("sd"), F.min(column).alias("least"), F.max(column).alias("most"))
+    return told.select("n", "mean", "sd", "least", q1.alias("q1"), median.alias("median"), q3.alias("q3"), "most")
 
 
 def null_profile(df: DataFrame) -> DataFrame:
