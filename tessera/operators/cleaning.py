@@ -38,9 +38,12 @@ def not_equal(column: Column, value) -> Column:
     return ~column.eqNullSafe(F.lit(value))
 
 
-def drop_keys(df: DataFrame, key: str, keys: list) -> DataFrame:
-    """Rows whose key isn't in the list; NULL keys stay."""
-    return df.filter(F.coalesce(~F.col(key).isin(keys), F.lit(True)))
+def drop_keys(df: DataFrame, key: str, keys: DataFrame | list) -> DataFrame:
+    """Rows whose key isn't listed; a NULL key stays. ``keys`` is a frame that has the key, or a list for a few."""
+    if not isinstance(keys, DataFrame):
+        kind = df.schema[key].dataType.simpleString()
+        keys = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in keys], f"`{key}` {kind}"))
+    return df.join(keys.select(key), key, "left_anti").select(*df.columns)
 
 
 def with_children(parents: DataFrame, children: DataFrame, parent_key: str, child_key: str, least: int = 1) -> DataFrame:

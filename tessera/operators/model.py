@@ -8,11 +8,10 @@ from pyspark.ml.feature import PolynomialExpansion, VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import numeric
-from . import metrics
+from . import metrics, neighbours
 
 FOREST = {"numTrees": 200, "maxDepth": 20, "featureSubsetStrategy": "sqrt", "bootstrap": False, "seed": 42}
 
@@ -70,15 +69,41 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "predicted_price") -
     return model.transform(df).withColumn(out, numeric.log_to_price(F.col("prediction"))).select(*df.columns, out)
 
 
-def knn_predict(train_rows: DataFrame, asked: DataFrame, features: list[str], label: str, key: str, k: int = 5, blocks: int = 16) -> DataFrame:
-    """Mean label of the k nearest training rows: queries against all rows, in blocks that each keep k."""
-    distance = F.sqrt(sum(F.pow(F.col(f"a.{c}") - F.col(f"t.{c}"), 2) for c in features))
-    rows = train_rows.withColumn("_b", F.pmod(F.xxhash64(*features), F.lit(blocks))).alias("t")
-    queries = asked.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).alias("a")
-    pairs = queries.join(rows, F.col("a._b") == F.col("t._b")).select(F.col(f"a.{key}").alias(key), "a._b", distance.alias("d"), F.col(f"t.{label}").alias("y"))
-    best = lambda keys: F.row_number().over(W.partitionBy(*keys).orderBy("d", "y"))
-    near = pairs.withColumn("n", best([key, "_b"])).filter(F.col("n") <= k).withColumn("n", best([key])).filter(F.col("n") <= k)
-    return near.groupBy(key).agg(F.avg("y").alias("prediction"))
+def knn_predict(train_rows: DataFrame, asked: DataFrame, features: list[str], label: str, key: str, k: int = 5) -> DataFrame:
+    """Mean label of the k nearest training rows."""
+    return neighbours.knn_predict(train_rows, asked, features, label, key, k)
+
+
+def searched(label: str) -> dict[str, tuple]:
+    """The price model's grids. Spark's deepest tree, 30, stands for one without a bound; it has no least size of a split."""
+    linear, tree, trees = LinearRegression(labelCol=label), DecisionTreeRegressor(labelCol=label, seed=42), RandomForestRegressor(labelCol=label, seed=42)
+    return {
+        "linear": (linear, ParamGridBuilder().build()),
+        "tree": (tree, ParamGridBuilder().addGrid(tree.maxDepth, [2, 4, 6, 8, 10, 30]).addGrid(tree.minInstancesPerNode, [1, 3, 5]).build()),
+        "forest": (
+            trees,
+            ParamGridBuilder().addGrid(trees.numTrees, [100, 200, 500]).addGrid(trees.maxDepth, [10, 20, 30]).addGrid(trees.minInstancesPerNode, [1, 2, 4])
+            .addGrid(trees.featureSubsetStrategy, ["sqrt", "all"]).addGrid(trees.bootstrap, [True, False]).build(),
+        ),
+    }
+
+
+def search(df: DataFrame, features: list[str], label: str, key: str, fold: str, folds: int = 5, grids: dict[str, tuple] | None = None, most_neighbours: int = 30) -> list[dict]:
+    """Mean squared error over given folds of every setting of every model, best first; neighbours for all k from one search a fold."""
+    out = []
+    for name, (estimator, grid) in (searched(label) if grids is None else grids).items():
+        errors, _ = cross_validate(df, features, label, estimator, fold, folds, "mse", grid)
+        out += [{"model": name, "setting": {p.name: v for p, v in setting.items()}, "mse": e} for setting, e in zip(grid, errors)]
+    if most_neighbours:
+        _, errors = neighbours.best_k(df, features, label, key, fold, most_neighbours)
+        out += [{"model": "neighbours", "setting": {"k": k}, "mse": e} for k, e in enumerate(errors, 1)]
+    return sorted(out, key=lambda r: r["mse"])
+
+
+def ablation(df: DataFrame, features: list[str], left_out: list[str], label: str, estimator, fold: str, folds: int = 5, metric: str = "mse") -> dict[str, float]:
+    """The metric over folds with all features and without some of them."""
+    rest = [f for f in features if f not in left_out]
+    return {name: cross_validate(df, some, label, estimator, fold, folds, metric)[0][0] for name, some in (("all", features), ("rest", rest))}
 
 
 def save(model: PipelineModel, path: str, state: dict[str, DataFrame] | None = None) -> None:

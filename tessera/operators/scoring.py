@@ -5,11 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import maps
+from ..session import free_name
 from ..sources import files
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -37,38 +39,91 @@ def stub_scorer(column: str, attributes: tuple[str, ...] = ATTRIBUTES) -> Scorer
     return score
 
 
-def tolerant(score: Callable[[pd.DataFrame], pd.Series], out: str = "scores", attempts: int = 3, wait: float = 2.5) -> Scorer:
-    """A scorer that tries a batch again and then its rows alone; rows that still fail get NULL."""
+def tolerant(score: Callable[[pd.DataFrame], pd.Series], out: str = "scores", attempts: int = 6, wait: float = 60.0, rows: int = 16, sleep: Callable[[float], None] = time.sleep) -> Scorer:
+    """A scorer that outlives failures: a slice of ``rows`` that fails is scored row by row, and a row that fails is tried again, up to ``attempts`` times with growing waits.
 
-    def tried(rows: pd.DataFrame, times: int) -> pd.Series | None:
-        for nth in range(times):
+    A row that fails to the end gets NULL. A good row is scored twice at most,
+    and only where a row of its slice failed.
+    """
+
+    def alone(row: pd.DataFrame):
+        for nth in range(attempts):
             try:
-                return pd.Series(list(score(rows)), index=rows.index, dtype=object)
+                return list(score(row))[0]
             except Exception:  # whatever a model or its service raises
-                if nth + 1 < times:
-                    time.sleep(wait * 2**nth)
+                if nth + 1 < attempts:
+                    sleep(wait * 2**nth)
         return None
 
+    def told(part: pd.DataFrame) -> list:
+        try:
+            return list(score(part))
+        except Exception:
+            return [alone(part.iloc[[i]]) for i in range(len(part))]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.reset_index(drop=True)
-            told = tried(batch, attempts)
-            if told is None:
-                alone = (tried(batch.iloc[[i]], 1) for i in range(len(batch)))
-                told = pd.Series([None if x is None else x.iloc[0] for x in alone], dtype=object)
-            yield batch.assign(**{out: told})
+            scores = [x for at in range(0, len(batch), rows) for x in told(batch.iloc[at : at + rows])]
+            yield batch.assign(**{out: pd.Series(scores, dtype=object)})
+
+    return run
+
+
+# Fixed value: what the guard for stand-in images answers.
+DEFAULT_UNSURE = 2
+
+
+def labelling_scorer(classify: Callable[[pd.DataFrame], list[dict[str, float]]], out: str = "room_type") -> Scorer:
+    """The label of largest score for each image, the first of equals in the model's order; NULL where the model fails."""
+    best = lambda told: max(told, key=told.get) if told else None
+    return tolerant(lambda rows: [best(x) for x in classify(rows)], out, attempts=1)
+
+
+def default_image_scorer(classify: Callable[[pd.DataFrame], list[int]], out: str = "default_image") -> Scorer:
+    """Whether an image is a stand-in: 0, 1, or 2 where the model isn't sure or fails."""
+    inner = tolerant(classify, out, attempts=1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in inner(batches):
+            known = [int(v) if v in (0, 1) else DEFAULT_UNSURE for v in batch[out]]
+            yield batch.assign(**{out: known})
+
+    return run
+
+
+def embedding_scorer(embed: Callable[[pd.DataFrame], list], out: str = "embedding") -> Scorer:
+    """The vector of each image at unit length; an empty one where the model fails or gives zeros."""
+    inner = tolerant(embed, out, attempts=1)
+
+    def unit(v) -> list[float]:
+        x = np.asarray([] if v is None else v, np.float64).ravel()
+        length = float(np.sqrt((x**2).sum()))
+        return (x / length).astype(np.float32).tolist() if length and np.isfinite(length) else []
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in inner(batches):
+            yield batch.assign(**{out: pd.Series([unit(v) for v in batch[out]], dtype=object)})
 
     return run
 
 
 def score_in_parts(images: DataFrame, path: str, key: str, score: Callable[[DataFrame], DataFrame], parts: int = 16) -> DataFrame:
-    """Scores written part by part, so that a later run goes on behind the last whole part."""
-    spark = images.sparkSession
-    for part in range(parts):
-        target = f"{path}/part={part}"
-        if not files.exists(spark, f"{target}/_SUCCESS"):
-            score(images.filter(F.pmod(F.xxhash64(key), F.lit(parts)) == part)).write.mode("overwrite").parquet(target)
-    return spark.read.parquet(path).drop("part")
+    """Scores written part by part, so that a later run goes on behind the last whole part.
+
+    The input is dealt once, by the hash of the key, and each part reads its
+    own rows alone; a later run must have the same input.
+    """
+    spark, dealt, part = images.sparkSession, f"{path}/_dealt", free_name(images, "part")
+    if not files.exists(spark, f"{dealt}/_SUCCESS"):
+        numbered = images.withColumn(part, F.pmod(F.xxhash64(key), F.lit(parts)))
+        numbered.repartition(part, F.pmod(F.xxhash64(*(c for c, kind in images.dtypes if "map<" not in kind)), F.lit(8))).write.mode("overwrite").partitionBy(part).parquet(dealt)
+    for n in range(parts):
+        if not files.exists(spark, f"{path}/p{n}/_SUCCESS"):
+            mine = f"{dealt}/{part}={n}"
+            rows = spark.read.schema(images.schema).parquet(mine) if files.exists(spark, mine) else images.limit(0)
+            score(rows).write.mode("overwrite").parquet(f"{path}/p{n}")
+    return spark.read.parquet(*(f"{path}/p{n}" for n in range(parts)))
 
 
 def score_images(images: DataFrame, scorer: Scorer, schema: str, exists: str = "true", valid: str = "true", keys: tuple[str, ...] = maps.KEYS) -> DataFrame:

@@ -181,6 +181,7 @@ def test_failing_rows_are_null_and_parts_resume(spark, tmp_path):
 
     df = frame(spark, [(p,) for p in ("a", "bad", "c", "d")], "path string")
     scorer = scoring.tolerant(score, attempts=2, wait=0.0)
+    assert cleaning.drop_keys(df, "path", df.filter("path = 'bad'")).count() == 3
     run = lambda part: scoring.infer(part, scorer, "path string, scores string")
     want = {"a": "a!", "bad": None, "c": "c!", "d": "d!"}
     assert {r.path: r.scores for r in scoring.score_in_parts(df, str(tmp_path / "s"), "path", run, 3).collect()} == want
@@ -203,3 +204,63 @@ def test_saved_models_predict_alike(spark, tmp_path):
 def test_stored_attempts_are_one_at_least(spark):
     df = frame(spark, [("3",), (" 2 ",), ("0",), ("-4",), ("x",), ("",), (None,)], "n string")
     assert [r[0] for r in df.select(ingest.stored_attempts(F.col("n"))).collect()] == [3, 2, 1, 1, 1, 1, 1]
+
+
+def test_failing_rows_are_tried_again_and_good_ones_are_not(spark):
+    import pandas as pd
+
+    calls, waits = [], []
+
+    def score(rows):
+        calls.append(list(rows["path"]))
+        if "bad" in set(rows["path"]) or ("late" in set(rows["path"]) and sum("late" in c for c in calls) < 4):
+            raise ValueError("no answer")
+        return rows["path"] + "!"
+
+    paths = ["a", "b", "bad", "c", "late", "d", "e"]
+    (got,) = scoring.tolerant(score, attempts=4, wait=1.0, rows=3, sleep=waits.append)(iter([pd.DataFrame({"path": paths})]))
+    assert list(got["scores"]) == ["a!", "b!", None, "c!", "late!", "d!", "e!"]
+    asked = lambda p: sum(p in c for c in calls)
+    assert [asked(p) for p in ("a", "b", "c", "d")] == [2, 2, 2, 2] and asked("e") == 1 and asked("bad") == 5 and waits[:3] == [1.0, 2.0, 4.0]
+
+
+def test_adaptors_of_models(spark):
+    import pandas as pd
+
+    batch = pd.DataFrame({"path": ["a", "bad", "zero", "none"]})
+
+    def fails(answers):
+        def run(rows):
+            if "bad" in set(rows["path"]):
+                raise OSError("unreadable")
+            return [answers[p] for p in rows["path"]]
+
+        return run
+
+    one = lambda scorer, out: list(next(iter(scorer(iter([batch]))))[out])
+    assert one(scoring.labelling_scorer(fails({"a": {"kitchen": 0.4, "bedroom": 0.6}, "zero": {"toilet": 0.5, "bedroom": 0.5}, "none": {}})), "room_type") == ["bedroom", None, "toilet", None]
+    assert one(scoring.default_image_scorer(fails({"a": 1, "zero": 0, "none": 7})), "default_image") == [1, 2, 0, 2]
+    vectors = one(scoring.embedding_scorer(fails({"a": [3.0, 4.0], "zero": [0.0, 0.0], "none": None})), "embedding")
+    assert vectors[0] == pytest.approx([0.6, 0.8]) and vectors[1:] == [[], [], []]
+
+
+def test_parts_keep_a_column_named_part_and_read_their_own_rows(spark, tmp_path):
+    df = frame(spark, [(str(i), i) for i in range(40)], "path string, part int")
+    seen = []
+
+    def score(rows):
+        seen.append(rows.count())
+        return rows.withColumn("scores", F.lit("s"))
+
+    got = scoring.score_in_parts(df, str(tmp_path / "s"), "path", score, 4)
+    assert sorted((r.path, r.part, r.scores) for r in got.collect()) == sorted((str(i), i, "s") for i in range(40)) and sum(seen) == 40
+
+
+def test_search_and_ablation(spark):
+    rows = [(i, float(i % 10), float(i % 3), 2.0 * (i % 10) + i % 3, i % 3) for i in range(90)]
+    df = frame(spark, rows, "id int, a double, b double, y double, fold int").cache()
+    small = {name: (e, g[:2]) for name, (e, g) in model.searched("y").items() if name != "forest"}
+    found = model.search(df, ["a", "b"], "y", "id", "fold", 3, small, most_neighbours=4)
+    assert [r["mse"] for r in found] == sorted(r["mse"] for r in found) and {r["model"] for r in found} == {"linear", "tree", "neighbours"} and len(found) == 1 + 2 + 4
+    told = model.ablation(df, ["a", "b"], ["a"], "y", small["linear"][0], "fold", 3)
+    assert told["all"] < 0.01 < told["rest"] and len(model.searched("y")["forest"][1]) == 108
