@@ -14,8 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import maps, numeric, text, vectors
-from ..operators import cleaning, features, ingest, labels, metrics, model, scoring, search
-from ..sources import pages
+from ..operators import cleaning, features, ingest, labels, metrics, model, preprocess, scoring, search
+from ..sources import frontier, pages
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -691,7 +691,12 @@ def q52_forest_prediction(spark, sf_dir):
     return model.predict(fitted, shaped(test)).select("o_orderkey", "predicted_price")
 
 
-@query(None)
+@query(f"""WITH r AS (SELECT c_custkey, c_acctbal::DOUBLE AS y, c_nationkey::DOUBLE AS a, (c_custkey % 17)::DOUBLE AS b FROM customer),
+    m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS b_y FROM r),
+    f AS (SELECT *, (bb * ay - ab * b_y) / (aa * bb - ab * ab) AS ka, (aa * b_y - ab * ay) / (aa * bb - ab * ab) AS kb FROM m),
+    e AS (SELECT c_custkey, n, (y - my) - ka * (a - ma) - kb * (b - mb) AS residual, 1.0 / n + (bb * (a - ma) ** 2 - 2 * ab * (a - ma) * (b - mb) + aa * (b - mb) ** 2) / (aa * bb - ab * ab) AS leverage FROM r, f),
+    s AS (SELECT sum(residual ** 2) / (count(*) - 3) AS s2 FROM e)
+    SELECT c_custkey, {six('residual')} AS residual, {six('leverage')} AS leverage, {six('residual ** 2 / (3 * s2) * leverage / (1 - leverage) ** 2')} AS cooks_d FROM e, s""")
 def q53_influence(spark, sf_dir):
     """Residual, leverage and Cook's distance of a fit on customers' balances."""
     from ..operators import regress
@@ -700,7 +705,8 @@ def q53_influence(spark, sf_dir):
     return regress.influence(rows, "c_acctbal", ["nation", "group"]).select("c_custkey", r6("residual").alias("residual"), r6("leverage").alias("leverage"), r6("cooks_d").alias("cooks_d"))
 
 
-@query(None)
+@query("""SELECT 'https://h.example/ms/chuko/nc_' || p_partkey || '/' AS url, p_partkey::VARCHAR AS source_id, p_partkey::INT AS price_man_yen, '2LDK' AS layout,
+    p_size + 0.5::DOUBLE AS area_sqm, NULL::INT AS year_built, NULL::INT AS floor_number, NULL::INT AS floors_total, NULL::VARCHAR AS address, p_brand || '駅' AS nearest_station, 5::INT AS walk_minutes FROM part""")
 def q54_listing_fields(spark, sf_dir):
     """Fields read from listing pages made of parts."""
     size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
@@ -709,8 +715,150 @@ def q54_listing_fields(spark, sf_dir):
     return pages.listing_fields(made)
 
 
-@query(None)
+_HASHED = "('0x' || substr(md5(path || '{0}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"""SELECT l_orderkey, path, room_type, {', '.join(f"CASE WHEN room_type = 'floor plan' THEN -1000.0::DOUBLE ELSE {six(_HASHED.format(a))} END AS {a}" for a in scoring.ATTRIBUTES)}
+    FROM (SELECT l_orderkey, concat_ws('/', l_orderkey, l_linenumber, l_partkey) AS path, CASE l_returnflag WHEN 'N' THEN 'floor plan' ELSE l_returnflag END AS room_type FROM lineitem)""")
 def q55_stub_scores(spark, sf_dir):
     """Scores of images by the stand-in model; floor plans keep their sentinel."""
     images = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey").alias("path"), F.when(F.col("l_returnflag") == "N", scoring.FLOOR_PLAN).otherwise(F.col("l_returnflag")).alias("room_type"))
-    return scoring.score_images(images, scoring.stub_scorer("path"), "l_orderkey bigint, path string, room_type string, scores string", keys=scoring.ATTRIBUTES)
+    scored = scoring.score_images(images, scoring.stub_scorer("path"), "l_orderkey bigint, path string, room_type string, scores string", keys=scoring.ATTRIBUTES)
+    told = maps.parse_scores(F.col("scores"))
+    return scored.select("l_orderkey", "path", "room_type", *(r6(F.element_at(told, a)).alias(a) for a in scoring.ATTRIBUTES))
+
+
+# models
+
+
+_NEAR = "WITH r AS (SELECT o_orderkey, o_totalprice::DOUBLE AS y, year(o_orderdate)::DOUBLE AS a, (o_custkey % 50)::DOUBLE AS b FROM orders)"
+
+
+@query(f"""{_NEAR}, d AS (SELECT q.o_orderkey, t.y, row_number() OVER (PARTITION BY q.o_orderkey ORDER BY (q.a - t.a) ** 2 + (q.b - t.b) ** 2, t.y) AS n
+    FROM r q, r t WHERE q.o_orderkey % 50 = 0 AND t.o_orderkey % 50 <> 0)
+    SELECT o_orderkey, round(avg(y) FILTER (n <= 1), 4) AS k1, round(avg(y) FILTER (n <= 5), 4) AS k5, round(avg(y) FILTER (n <= 30), 4) AS k30 FROM d WHERE n <= 30 GROUP BY o_orderkey""")
+def q56_neighbour_curve(spark, sf_dir):
+    """Predicted prices of every fiftieth order by its nearest 1, 5 and 30 others."""
+    from ..operators import neighbours
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("y"), F.year("o_orderdate").cast("double").alias("a"), (F.col("o_custkey") % 50).cast("double").alias("b"))
+    asked = F.col("o_orderkey") % 50 == 0
+    told = neighbours.knn_curve(rows.filter(~asked), rows.filter(asked), ["a", "b"], "y", "o_orderkey", 30)
+    return told.select("o_orderkey", *(F.round(F.col("predictions")[k - 1], 4).alias(f"k{k}") for k in (1, 5, 30)))
+
+
+# orders as listings, in words that both engines read
+_LISTED = """SELECT o_orderkey, o_totalprice AS price_man_yen, CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE o_custkey % 4 + 1 END AS rooms_num,
+    35 + n_nationkey * 0.01 AS latitude, 139 + n_nationkey * 0.02 AS longitude, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE n_name END AS nearest_station,
+    CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE 10 + o_custkey % 83 END AS area_sqm, 1970 + o_orderkey % 50 AS year_built, o_custkey % 9 + 1 AS floor_number, o_custkey % 9 + 3 AS floors_total,
+    o_orderkey % 20 AS walk_minutes, CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 1 THEN 'R' WHEN 2 THEN 'K' WHEN 3 THEN 'UNKNOWN' ELSE 'LDK' END AS base_layout,
+    CASE WHEN o_orderkey % 17 = 0 THEN NULL WHEN o_orderkey % 50 <= 10 THEN 'pre 1981' WHEN o_orderkey % 50 <= 30 THEN '1981 to 2000' ELSE 'post 2000' END AS building_period,
+    {scores} FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey"""
+_ROOM_SCORES = ", ".join(f"CASE WHEN (o_orderkey + {i}) % 3 = 0 THEN NULL ELSE CAST((o_orderkey * {i + 2}) % 101 AS DOUBLE) / 100 END AS {c}" for i, c in enumerate(c for _, _, columns in preprocess.MEANS for c in columns))
+_LISTED = _LISTED.format(scores=_ROOM_SCORES)
+
+
+def _matrix_sql() -> str:
+    number = {c: f"({c} - q_{c}[2]) / coalesce(nullif(q_{c}[3] - q_{c}[1], 0), 1)" for c in (*preprocess.NUMBERS[1], "encoding")}
+    out = {f"keep_rooms__{c}": c for c in preprocess.PASSED[1]}
+    out["station_transformer__nearest_station"] = number["encoding"]
+    out |= {f"num_transformer__{c}": number[c] for c in preprocess.NUMBERS[1]}
+    for branch, c, categories in preprocess.ORDINALS:
+        out[f"{branch}__{c}"] = f"coalesce(list_position([{', '.join(map(repr, categories))}], coalesce({c}, m_{c})) - 1, -1)"
+    for branch, name, columns in preprocess.MEANS:
+        out[f"{branch}__{name}"] = f"list_avg([{', '.join(columns)}])"
+    quartiles = ", ".join(f"quantile_cont({c}::DOUBLE, [0.25, 0.5, 0.75]) AS q_{c}" for c in (*preprocess.NUMBERS[1], "encoding"))
+    modes = ", ".join(f"(SELECT {c} FROM t WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS m_{c}" for _, c, _ in preprocess.ORDINALS)
+    return f"""WITH l AS ({_LISTED}), t AS (SELECT * FROM l WHERE o_orderkey % 3 <> 0),
+        whole AS (SELECT avg(price_man_yen) AS mean, var_pop(price_man_yen) AS var FROM t),
+        by_station AS (SELECT nearest_station, n * var / (n * var + v) * m + (1 - n * var / (n * var + v)) * mean AS known
+            FROM (SELECT nearest_station, count(*) AS n, avg(price_man_yen) AS m, var_pop(price_man_yen) AS v FROM t WHERE nearest_station IS NOT NULL GROUP BY nearest_station), whole),
+        e AS (SELECT l.*, coalesce(known, mean) AS encoding FROM l LEFT JOIN by_station USING (nearest_station), whole),
+        fitted AS (SELECT {quartiles} FROM e WHERE o_orderkey % 3 <> 0), modes AS (SELECT {modes})
+        SELECT o_orderkey, {', '.join(f'round(({x})::DOUBLE, 6) AS {name}' for name, x in out.items())} FROM e, fitted, modes"""
+
+
+@query(_matrix_sql())
+def q57_preprocessed_matrix(spark, sf_dir):
+    """The price model's 14 features of all orders, fitted on two thirds of them."""
+    tables = {name: table(spark, sf_dir, name) for name in ("orders", "customer", "nation")}
+    listed = spark.sql(_LISTED.replace("FROM orders", "FROM {orders}").replace("JOIN customer", "JOIN {customer}").replace("JOIN nation", "JOIN {nation}"), **tables)
+    fitted = preprocess.ListingPreprocessor().fit(listed.filter("o_orderkey % 3 <> 0"))
+    return preprocess.matrix(fitted, listed, ("o_orderkey",)).select("o_orderkey", *(r6(c).alias(c) for c in preprocess.FEATURES))
+
+
+@query("""WITH r AS (SELECT ln(1 + o_totalprice) AS y, year(o_orderdate)::DOUBLE AS a, (o_custkey % 100)::DOUBLE AS b FROM orders),
+    m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS b_y, var_pop(y) * count(*) AS yy FROM r),
+    f AS (SELECT *, aa * bb - ab * ab AS det, (bb * ay - ab * b_y) / (aa * bb - ab * ab) AS ka, (aa * b_y - ab * ay) / (aa * bb - ab * ab) AS kb FROM m),
+    s AS (SELECT *, yy - ka * ay - kb * b_y AS rest, (yy - ka * ay - kb * b_y) / (n - 3) AS s2 FROM f),
+    c AS (SELECT 'const' AS name, my - ka * ma - kb * mb AS coefficient, sqrt(s2 * (1.0 / n + (bb * ma ** 2 - 2 * ab * ma * mb + aa * mb ** 2) / det)) AS error, * FROM s
+        UNION ALL SELECT 'year', ka, sqrt(s2 * bb / det), * FROM s UNION ALL SELECT 'customer', kb, sqrt(s2 * aa / det), * FROM s)
+    SELECT name, round(coefficient, 8) AS coefficient, round(error, 8) AS error, round(coefficient / error, 5) AS t, n::BIGINT AS n, (n - 3)::BIGINT AS df_resid, round(1 - rest / yy, 8) AS r2,
+        round(1 - rest / yy * (n - 1) / (n - 3), 8) AS adjusted_r2, round((yy - rest) / 2 / s2, 5) AS f, round(-n / 2.0 * (ln(2 * pi() * rest / n) + 1), 4) AS log_likelihood FROM c""")
+def q58_ols_summary(spark, sf_dir):
+    """Coefficients of log prices with their errors, and the fit as a whole."""
+    from ..operators import regress
+
+    rows = table(spark, sf_dir, "orders").select(F.log1p("o_totalprice").alias("y"), F.year("o_orderdate").cast("double").alias("year"), (F.col("o_custkey") % 100).cast("double").alias("customer"))
+    terms, whole = regress.ols_summary(rows, "y", ["year", "customer"])
+    told = terms.crossJoin(F.broadcast(whole.select("n", "df_resid", "r2", "adjusted_r2", "f", "log_likelihood")))
+    places = {"coefficient": 8, "error": 8, "t": 5, "r2": 8, "adjusted_r2": 8, "f": 5, "log_likelihood": 4}
+    return told.select("name", "n", "df_resid", *(F.round(c, p).alias(c) for c, p in places.items()))
+
+
+@query("""WITH r AS (SELECT o_orderkey, o_totalprice::DOUBLE / 1000 AS y, (o_custkey % 10)::DOUBLE / 10 AS x FROM orders),
+    g AS (SELECT count(*) + 1 AS s0, sqrt(2) * sum(x) AS s1, sum(x * x) AS s2, 2 * sum(x * x) + 1 AS t2, sqrt(2) * sum(x ** 3) AS t3, sum(x ** 4) + 1 AS u4, sum(y) AS b0, sqrt(2) * sum(x * y) AS b1, sum(x * x * y) AS b2 FROM r),
+    d AS (SELECT *, s0 * (t2 * u4 - t3 * t3) - s1 * (s1 * u4 - t3 * s2) + s2 * (s1 * t3 - t2 * s2) AS det FROM g),
+    w AS (SELECT (b0 * (t2 * u4 - t3 * t3) - s1 * (b1 * u4 - t3 * b2) + s2 * (b1 * t3 - t2 * b2)) / det AS w0, (s0 * (b1 * u4 - t3 * b2) - b0 * (s1 * u4 - t3 * s2) + s2 * (s1 * b2 - b1 * s2)) / det AS w1,
+        (s0 * (t2 * b2 - b1 * t3) - s1 * (s1 * b2 - b1 * s2) + b0 * (s1 * t3 - t2 * s2)) / det AS w2 FROM d)
+    SELECT o_orderkey, round(w0 + sqrt(2) * w1 * x + w2 * x * x, 5) AS predicted FROM r, w""")
+def q59_kernel_ridge(spark, sf_dir):
+    """Prices by ridge on a polynomial kernel of degree two over one variable."""
+    from ..operators import regress
+
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice").cast("double") / 1000).alias("y"), ((F.col("o_custkey") % 10).cast("double") / 10).alias("x"))
+    weights = regress.fit_kernel_ridge(rows, "y", ["x"], strength=1.0, degree=2)
+    return regress.predict_kernel_ridge(rows, weights, ["x"], degree=2).select("o_orderkey", F.round("prediction", 5).alias("predicted"))
+
+
+# crawl
+
+
+@query("""WITH i AS (SELECT DISTINCT l_orderkey, l_linenumber, 'https://h.example/photo/' || l_orderkey || '_' || l_linenumber || '.jpg' AS u FROM lineitem)
+    SELECT o_orderkey, 'https://h.example/ms/chuko/nc_' || o_orderkey || '/' AS url, count(u)::INT AS photos, md5(coalesce(string_agg(u, ' ' ORDER BY l_linenumber > 2, l_linenumber), '')) AS digest, 3::INT AS visited
+    FROM orders LEFT JOIN i ON l_orderkey = o_orderkey GROUP BY o_orderkey""")
+def q60_photo_frontier(spark, sf_dir):
+    """Photos of orders as listings: two on a listing's page, the others on the photo page that it names."""
+    key = F.col("l_orderkey").cast("string")
+    site = F.concat(F.lit("https://h.example/ms/chuko/nc_"), key, F.lit("/"))
+    image = F.concat(F.lit('<img src="/photo/'), key, F.lit("_"), F.col("l_linenumber").cast("string"), F.lit('.jpg">'))
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", image.alias("h")))).alias("i"))
+    shown = lambda keep: F.array_join(F.transform(F.filter("i", keep), lambda x: x["h"]), "")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey")).join(items, "l_orderkey", "left")
+    pages_of = orders.select("l_orderkey", site.alias("url"), F.coalesce(shown(lambda x: x["l_linenumber"] <= 2), F.lit("")).alias("html"))
+    stored = orders.select(F.concat(site, F.lit("photo/")).alias("url"), F.coalesce(shown(lambda x: F.lit(True)), F.lit("")).alias("html"))
+    met = frontier.collect_photos(pages_of, lambda urls: urls.join(stored, "url", "left"), most=3)
+    told = met.join(pages_of.select("l_orderkey", "url"), "url")
+    return told.select(F.col("l_orderkey").alias("o_orderkey"), "url", F.size("photos").alias("photos"), F.md5(F.array_join("photos", " ")).alias("digest"), F.size("visited").alias("visited"))
+
+
+_RESULTS = "SELECT user_id, event_id, CASE WHEN event_type = 'purchase' THEN 'ok' ELSE 'failed' END AS status FROM events"
+
+
+@query(f"""WITH r AS ({_RESULTS}), b AS (SELECT user_id, event_id % 2 AS batch, max(event_id) AS last, bool_or(status = 'ok') AS ok FROM r GROUP BY 1, 2),
+    one AS (SELECT user_id, last FROM b WHERE batch = 0 AND NOT ok)
+    SELECT coalesce(o.user_id, t.user_id)::VARCHAR AS source_id, ((o.user_id IS NOT NULL)::INT + (t.user_id IS NOT NULL)::INT)::INT AS attempts, 'event ' || coalesce(t.last, o.last) AS last_reason
+    FROM one o FULL JOIN (SELECT * FROM b WHERE batch = 1) t USING (user_id) WHERE NOT coalesce(t.ok, false)""")
+def q61_carried_failures(spark, sf_dir):
+    """Failing users after two batches of events, the state carried from one to the other."""
+    from ..sources import crawl, schemas
+
+    events = table(spark, sf_dir, "events")
+    log = events.select(
+        F.col("user_id").cast("string").alias("source_id"), F.lit("").alias("url"), F.when(F.col("event_type") == "purchase", "ok").otherwise("failed").alias("status"),
+        F.concat(F.lit("event "), F.col("event_id").cast("string")).alias("reason"), F.timestamp_seconds("event_id").alias("at"), (F.col("event_id") % 2).alias("batch"),
+    )
+    state = spark.createDataFrame([], schemas.FAILING)
+    for batch in (0, 1):
+        state = crawl.carry_failures(state, log.filter(F.col("batch") == batch))
+    return state.select("source_id", "attempts", "last_reason")
