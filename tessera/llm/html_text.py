@@ -12,10 +12,17 @@ are left out of the tree before. Names in class, id and role only hint, in two
 ways. A name that says nothing but furniture (``sidebar``, ``cookie-notice``), or
 a form, is left out unless it holds the article: an article or main element, or
 more than ``WRAPS`` of the page's text outside links, where names of comments and
-notices never wrap. A name that has such a word as a part (``has-sidebar``,
-``post-header``) is left to density: it goes if it doesn't hold the densest
-subtree, and within that if it is mostly links or below the threshold and has no
-headline.
+notices wrap only if nothing would be left. A name that has such a word as a
+part (``has-sidebar``, ``post-header``) is left to density: it goes if it doesn't
+hold the densest subtree, and within that if it is mostly links or below the
+threshold and has no headline. Comments are often denser than an article, so a
+name with a word for them as a part (``user-comments``) goes unless it holds the
+article, a headline or nearly all text.
+
+The densest subtree may be a body without its headline, lead or last paragraph.
+Outside of article and main elements its siblings join it that are neither
+furniture nor have links: headings, those that stand between parts of the
+content, and those that end as a sentence does.
 
 Defined results: a null or empty page, or one without main text, has the empty
 text; of two subtrees with equal sums the first counts; unclosed and truncated
@@ -30,6 +37,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 from pyspark.sql import DataFrame
@@ -62,7 +70,10 @@ HINTS = (
 ).split()
 
 NEVER = frozenset("ad ads advert advertisement adverts advertising cookie cookies consent gdpr comment comments disqus reply replies respond newsletter".split())
+COMMENTS = frozenset("comment comments disqus reply replies respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 WRAPS = 0.6  # of a page's characters outside links
+NEARLY_ALL = 0.95
 
 _HINT = re.compile("(?:" + "|".join(HINTS) + ")")
 _TAG = re.compile(
@@ -72,11 +83,14 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.IGNORECASE)
 
 
-NONE, PART, WHOLE, NEVER_WRAPS, ALWAYS = range(5)
+_STOPS = frozenset(".!?:;\u2026\u3002\"'\u201d\u00bb)")
+
+
+NONE, PART, PART_COMMENTS, WHOLE, NEVER_WRAPS, ALWAYS = range(6)
 
 
 def _hint(tag: str, attributes: str, inside_article: bool) -> int:
-    """What tag and attributes say: ALWAYS furniture, furniture by a WHOLE name, by PART of one, or NONE."""
+    """What tag and attributes say: ALWAYS furniture, furniture by a WHOLE name, by PART of one (of comments or not), or NONE."""
     if tag in FURNITURE or tag == "header" and not inside_article:
         return ALWAYS
     found = WHOLE if tag == "form" else NONE
@@ -95,7 +109,7 @@ def _hint(tag: str, attributes: str, inside_article: bool) -> int:
                 if hints and all(hints):
                     found = max(found, WHOLE if NEVER.isdisjoint(words) else NEVER_WRAPS)
                 elif any(hints):
-                    found = max(found, PART)
+                    found = max(found, PART if COMMENTS.isdisjoint(words) else PART_COMMENTS)
     return found
 
 
@@ -260,11 +274,16 @@ def _without_furniture(tree: _Tree) -> _Sums:
         return all_of
     prose = all_of.chars[all_of.body] - all_of.link_chars[all_of.body]
     wraps = lambda i: all_of.articles[i] > 0 or tree.hints[i] == WHOLE and all_of.chars[i] - all_of.link_chars[i] > WRAPS * prose
-    gone = [h >= WHOLE and not wraps(i) for i, h in enumerate(tree.hints)]
+    share = lambda i: (all_of.chars[i] - all_of.link_chars[i]) / max(1, prose)
+    holds = lambda i: all_of.articles[i] > 0 or all_of.heads[i] > 0 or share(i) > NEARLY_ALL
+    gone = [h >= WHOLE and not wraps(i) or h == PART_COMMENTS and not holds(i) for i, h in enumerate(tree.hints)]
     some = _Sums(tree, gone)
+    if not some.chars[some.body] - some.link_chars[some.body]:  # nothing else is left
+        gone = [g and not (h == NEVER_WRAPS and share(i) > WRAPS) for i, (g, h) in enumerate(zip(gone, tree.hints))]
+        some = _Sums(tree, gone)
     best, threshold = some.top[some.body], some.threshold(tree)
     for i, h in enumerate(tree.hints):
-        if h != PART or some.gone[i] or i <= best <= last[i]:
+        if h not in (PART, PART_COMMENTS) or some.gone[i] or i <= best <= last[i]:
             continue
         mostly_links = 2 * some.link_chars[i] > some.chars[i]
         inside = best < i <= last[best]
@@ -272,6 +291,32 @@ def _without_furniture(tree: _Tree) -> _Sums:
     return _Sums(tree, gone)
 
 
+def _join_siblings(tree: _Tree, of: _Sums, content: list[bool]) -> None:
+    """Add to the content the siblings of the densest subtree that belong to it, unless an article or main element holds it."""
+    best, i = of.top[of.body], of.top[of.body]
+    while i > of.body and tree.tags[i] not in ("article", "main"):
+        i = tree.parents[i]
+    if best <= of.body or i > of.body or tree.tags[i] in ("article", "main"):
+        return
+    parent, siblings, i = tree.parents[best], [], tree.parents[best] + 1
+    while i <= tree.last[parent]:
+        siblings.append(i)
+        i = tree.last[i] + 1
+    held = [i for i in siblings if content[i] or any(content[i : tree.last[i] + 1])]
+    known = set(held)
+    told: dict[int, list[str]] = {i: [] for i in siblings if not of.gone[i] and i not in known and of.chars[i] and not of.link_chars[i] and tree.hints[i] == NONE}
+    for node, text in tree.events if told else ():
+        at = bisect_right(siblings, node) - 1
+        if text and at >= 0 and node <= tree.last[siblings[at]] and siblings[at] in told:
+            told[siblings[at]].append(text)
+    for i, texts in told.items():
+        text = "".join(texts).strip()
+        heading = tree.tags[i] in HEADINGS or of.heads[i]
+        between = held and held[0] < i < held[-1]
+        if heading or between or text[-1:] in _STOPS and "\u00a9" not in text:
+            content[i : tree.last[i] + 1] = [True] * (tree.last[i] + 1 - i)
+
+
 def main_text(page: str | None) -> str:
     """Main text of a page, its blocks joined by empty lines."""
     if not page:
@@ -284,6 +329,7 @@ def main_text(page: str | None) -> str:
             top = of.top[i]
             content[top : tree.last[top] + 1] = [True] * (tree.last[top] + 1 - top)
         i = tree.last[i] + 1 if content[i] else i + 1
+    _join_siblings(tree, of, content)
     blocks, words = [], []
     for node, text in [*tree.events, (0, None)]:
         if text is None:

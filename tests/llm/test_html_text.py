@@ -95,3 +95,40 @@ def test_nulls_repeats_and_empty(spark):
     pages = spark.createDataFrame([(1, None, None, "x"), (None, "u", "<p>a</p>", "x"), (None, "u", "<p>a</p>", "x")], "page_id bigint, url string, html string, text string")
     assert sorted((str(r.page_id), r.text, r.n_chars) for r in H.extract(pages).collect()) == [("1", "", 0), ("None", "a", 1), ("None", "a", 1)]
     assert H.extract(pages.limit(0)).count() == 0
+
+
+LEAD = "<p>" + "Some words of the story that go on and on in many sentences. " * 8 + "</p>"
+SAID = "<p>" + "I think that this is wrong and I say so at length here today. " * 6 + "</p>"
+
+
+def test_comments_whose_name_only_has_the_word_are_left_out():
+    for page in (f"<div class=post>{LEAD}</div><div class='user-comments'>{SAID * 8}</div>", f"<div class=post>{LEAD}<div id='comments-area'>{SAID * 8}</div></div>"):
+        text = H.main_text(f"<html><body>{page}</body></html>")
+        assert "the story" in text and "wrong" not in text
+    assert "the story" in H.main_text(f"<body><div class='page has-comments'><h1>Head</h1>{LEAD}</div></body>")
+
+
+def test_headlines_and_last_paragraphs_beside_the_body_stay():
+    page = lambda x: H.main_text(f"<html><body>{x}</body></html>").split("\n\n")
+    body = f"<div class=body>{LEAD * 3}</div>"
+    assert page(f"<h1>The head line</h1>{body}")[0] == "The head line"
+    assert page(f"{body}<div><p>That was all.</p></div>")[-1] == "That was all."
+    assert page(f"<div><p>This is the lead.</p></div>{body}")[0] == "This is the lead."
+    assert len(page(f"{body}<div>\u00a9 2024 Example. All rights reserved.</div><div>Home</div><div><a href=x>More.</a></div>")) == 3
+    assert page(f"<div>Site note here.</div><article><h1>H</h1>{LEAD}</article><div>Other words.</div>") == ["H", LEAD[3:-4].strip()]
+
+
+def test_a_notice_name_wraps_when_nothing_else_is_left():
+    assert H.main_text(f"<body><div class=newsletter>{LEAD}</div></body>") == LEAD[3:-4].strip()
+    assert "story" not in H.main_text(f"<body><div class=newsletter>{LEAD}</div><div class=post>{SAID}</div></body>")
+
+
+def test_many_siblings_take_linear_time():
+    import time
+
+    took = []
+    for n in (4_000, 16_000):
+        began = time.process_time()
+        H.main_text("<body>" + f"<div class=body>{LEAD}</div>" + "<div>And so on.</div>" * n + "</body>")
+        took.append(time.process_time() - began)
+    assert took[1] < 12 * max(took[0], 0.05)
