@@ -114,7 +114,7 @@ def test_headlines_and_last_paragraphs_beside_the_body_stay():
     assert page(f"<h1>The head line</h1>{body}")[0] == "The head line"
     assert page(f"{body}<div><p>That was all.</p></div>")[-1] == "That was all."
     assert page(f"<div><p>This is the lead.</p></div>{body}")[0] == "This is the lead."
-    assert len(page(f"{body}<div>\u00a9 2024 Example. All rights reserved.</div><div>Home</div><div><a href=x>More.</a></div>")) == 3
+    assert len(page(f"{body}<div>\u00a9 2024 Example. All rights reserved.</div><div>Home</div>")) == 3
     assert page(f"<div>Site note here.</div><article><h1>H</h1>{LEAD}</article><div>Other words.</div>") == ["H", LEAD[3:-4].strip()]
 
 
