@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import free_name, in_fold, map_rows
+from .common import give_back, free_name, in_fold, map_rows
 
 BUCKETS = 1 << 16
 DIMENSIONS = 16
@@ -212,7 +212,10 @@ def fit(docs: DataFrame, fold: int | None = 0) -> Model:
     packed = lambda at, share: (at.astype(np.uint16).tobytes(), share.astype(np.float32).tobytes())
     made = map_rows(drawn, "h bigint, lang string, at binary, share binary", lambda: lambda rows: [(h, x[0], *packed(*x[1:])) for lang, t, h in rows if has_letter(t) for x in ([(UNKNOWN, *features(t))] if lang == UNKNOWN else examples(lang, t))], rows=16)
     rows = made.toArrow().sort_by([("lang", "ascending"), ("h", "ascending"), ("at", "ascending")])
-    return train([(x["lang"], np.frombuffer(x["at"], np.uint16), np.frombuffer(x["share"], np.float32)) for x in rows.to_pylist()])
+    model = train([(x["lang"], np.frombuffer(x["at"], np.uint16), np.frombuffer(x["share"], np.float32)) for x in rows.to_pylist()])
+    del rows
+    give_back()  # the driver's share, too
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
