@@ -89,13 +89,14 @@ def fold_ids(df: DataFrame, key: str, folds: int = 5) -> DataFrame:
     Rows are counted in ranges of the key, so ranks come from windows over
     ranges, not over the table.
     """
-    ranked = global_rank(df, [F.col(key)], "_nth")
+    nth = free_name(df, "nth")
+    ranked = global_rank(df, [F.col(key)], nth)
     total = df.count()
     small, larger = divmod(total, folds)
-    at = F.col("_nth") - 1
+    at = F.col(nth) - 1
     edge = larger * (small + 1)
     fold = F.when(at < edge, F.floor(at / (small + 1))).otherwise(larger + F.floor((at - edge) / F.lit(max(small, 1))))
-    return ranked.withColumn("fold", fold.cast("int")).drop("_nth")
+    return ranked.withColumn("fold", fold.cast("int")).drop(nth)
 
 
 def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
@@ -119,8 +120,17 @@ def global_rank(df: DataFrame, order: list[Column], out: str) -> DataFrame:
 
 def batch_numbers(df: DataFrame, order: list[Column], first: int, size: int) -> DataFrame:
     """``batch``: 0 for the first rows, then batches of equal size."""
-    ranked = global_rank(df, order, "_nth")
-    return ranked.withColumn("batch", F.when(F.col("_nth") <= first, 0).otherwise(1 + F.floor((F.col("_nth") - first - 1) / size)).cast("int")).drop("_nth")
+    nth = free_name(df, "nth")
+    at = F.col(nth)
+    return global_rank(df, order, nth).withColumn("batch", F.when(at <= first, 0).otherwise(1 + F.floor((at - first - 1) / size)).cast("int")).drop(nth)
+
+
+def even_batches(df: DataFrame, order: list[Column], batches: int) -> DataFrame:
+    """``batch`` of even batches in the order, from 0; their ends are those of ``batch_cuts``."""
+    nth = free_name(df, "nth")
+    ends = batch_cuts(df.count(), batches)
+    batch = sum(((F.col(nth) > end).cast("int") for end in ends[:-1]), F.lit(0))
+    return global_rank(df, order, nth).withColumn("batch", batch).drop(nth)
 
 
 def batch_cuts(rows: int, batches: int) -> list[int]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,6 +53,39 @@ def search(images: DataFrame, listings: DataFrame, query: Column | None, key: st
     return found.join(top_k(with_similarity(images, query), k, tie).select(key), key, "left_semi")
 
 
+# Adjectives of a search and the score that each speaks of, and whether it asks for a high one.
+ADJECTIVES = {
+    "expensive": ("luxury", True), "cheap": ("luxury", False), "bright": ("brightness", True), "dark": ("brightness", False),
+    "new": ("condition", True), "used": ("condition", False), "spacious": ("spaciousness", True), "small": ("spaciousness", False),
+}
+ROOMS = ("bathroom", "bedroom", "kitchen", "living room", "toilet")
+
+
+def wished(prompt: str) -> list[tuple[str, bool]]:
+    """Score columns that a prompt such as "Bright bedroom, new toilet" names, and whether each is to be high.
+
+    An adjective speaks of the next room; several before one room all do. Words
+    that are neither are passed over, and so is an adjective without a room.
+    """
+    words, waiting, out = re.findall(r"\w+", prompt.lower()), [], []
+    for at, word in enumerate(words):
+        room = "living room" if words[at : at + 2] == ["living", "room"] else word
+        if word in ADJECTIVES:
+            waiting.append(ADJECTIVES[word])
+        elif room in ROOMS:
+            out += [(f"{score}_{room}".replace(" ", "_"), high) for score, high in waiting]
+            waiting = []
+    return list(dict.fromkeys(out))
+
+
+def by_prompt(listings: DataFrame, prompt: str, edge: float = 0.5) -> DataFrame:
+    """Listings whose scores are above the edge where the prompt asks for much, and not above it where it asks for little; one without the score is left out."""
+    for column, high in wished(prompt):
+        score = F.col(column)
+        listings = listings.filter(score > edge if high else score <= edge)
+    return listings
+
+
 def deal(price: Column, predicted: Column) -> Column:
     """Good Deal below the predicted price, else Fair; NULL if either is missing."""
     return F.when(price < predicted, "Good Deal").when(price >= predicted, "Fair")

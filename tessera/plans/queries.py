@@ -485,9 +485,10 @@ def q36_priority_union_cap(spark, sf_dir):
     return ingest.candidates(q35_retry_pick(spark, sf_dir), table(spark, sf_dir, "events"), "user_id", 60)
 
 
-@query("SELECT count_if(value > 50) AS responses_high, count(*) AS responses, count_if(event_type = 'error') AS errors FROM events")
+@query("SELECT count(*) AS responses, count_if(status = 503) AS status_503, count_if(status = 429) AS status_429 FROM (SELECT CASE event_type WHEN 'error' THEN 503 WHEN 'click' THEN 429 ELSE 200 END AS status FROM events)")
 def q36_status_counters(spark, sf_dir):
-    return table(spark, sf_dir, "events").agg(F.count_if(F.col("value") > 50).alias("responses_high"), F.count("*").alias("responses"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    status = F.when(F.col("event_type") == "error", 503).when(F.col("event_type") == "click", 429).otherwise(200)
+    return ingest.request_stats(table(spark, sf_dir, "events").select(status.alias("status")))
 
 
 # labels
@@ -862,3 +863,17 @@ def q61_carried_failures(spark, sf_dir):
     for batch in (0, 1):
         state = crawl.carry_failures(state, log.filter(F.col("batch") == batch))
     return state.select("source_id", "attempts", "last_reason")
+
+
+@query("""WITH o AS (SELECT o_orderkey, (o_custkey % 101) / 100.0::DOUBLE AS bright, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 97) / 96.0::DOUBLE END AS condition FROM orders)
+    SELECT o_orderkey FROM o WHERE bright > 0.5 AND condition <= 0.5""")
+def q62_prompt_filter(spark, sf_dir):
+    """Orders as listings that fit the prompt of a search."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_custkey") % 101) / 100.0).alias("brightness_bedroom"), F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_orderkey") % 97) / 96.0).alias("condition_living_room"))
+    return search.by_prompt(orders, "Bright bedroom and a used living room").select("o_orderkey")
+
+
+@query("""SELECT o_orderkey, CAST((n > 15 * t // 60) AS INT) + CAST((n > 30 * t // 60) AS INT) + CAST((n > 45 * t // 60) AS INT) AS batch
+    FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS n, count(*) OVER () AS t FROM orders)""")
+def q63_even_batches(spark, sf_dir):
+    return features.even_batches(table(spark, sf_dir, "orders").select("o_orderkey"), [F.col("o_orderkey")], 4)

@@ -30,6 +30,23 @@ def write_csv(df: DataFrame, path: str, sep: str = ",") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=sep, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
+def append_csv(df: DataFrame, path: str, schema: str) -> None:
+    """Append rows to a folder of CSV files; nothing is written for none, and columns that differ raise.
+
+    Every file has a header, so readers know its columns; rows that a failed
+    job left half written aren't among the folder's files.
+    """
+    check_schema(df, T.StructType.fromDDL(schema))
+    if not df.isEmpty():
+        df.write.mode("append").csv(path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+def read_sheet(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """Records of a staged sheet as text, empty where a cell is, and its headers in order."""
+    df = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    return df.na.fill(""), df.columns
+
+
 def append_new(df: DataFrame, path: str, keys: list[str]) -> None:
     """Append the rows whose key isn't stored yet; the stored schema must be the same."""
     spark = df.sparkSession

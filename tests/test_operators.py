@@ -264,3 +264,21 @@ def test_search_and_ablation(spark):
     assert [r["mse"] for r in found] == sorted(r["mse"] for r in found) and {r["model"] for r in found} == {"linear", "tree", "neighbours"} and len(found) == 1 + 2 + 4
     told = model.ablation(df, ["a", "b"], ["a"], "y", small["linear"][0], "fold", 3)
     assert told["all"] < 0.01 < told["rest"] and len(model.searched("y")["forest"][1]) == 108
+
+
+def test_prompts_name_scores_of_rooms(spark):
+    from tessera.operators import search
+
+    assert search.wished("Bright bedroom") == [("brightness_bedroom", True)]
+    assert search.wished("a cheap, dark KITCHEN and spacious living room; new") == [("luxury_kitchen", False), ("brightness_kitchen", False), ("spaciousness_living_room", True)]
+    assert search.wished("bedroom bright") == [] and search.wished("") == []
+    df = frame(spark, [(1, 0.6, 0.5), (2, 0.5, 0.6), (3, None, 0.1), (4, 0.9, 0.9)], "id int, brightness_bedroom double, condition_toilet double")
+    ids = lambda p: sorted(r.id for r in search.by_prompt(df, p).collect())
+    assert (ids("bright bedroom"), ids("dark bedroom"), ids("Bright bedroom, used toilet"), ids("anything")) == ([1, 4], [2], [1], [1, 2, 3, 4])
+
+
+def test_even_batches_end_where_the_cuts_are(spark):
+    df = spark.range(10).withColumn("nth", F.lit("kept"))
+    rows = features.even_batches(df, [F.col("id")], 4).collect()
+    assert [sum(r.batch == b for r in rows) for b in range(4)] == [2, 3, 2, 3] and {r.nth for r in rows} == {"kept"}
+    assert features.batch_cuts(10, 4) == [2, 5, 7, 10]

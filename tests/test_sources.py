@@ -126,3 +126,15 @@ def test_a_batch_of_pages_that_runs_again_counts_what_it_counted(spark, tmp_path
     assert state() == before and counts() == had and [x for x, _ in had] == ["1", "2", "3"]
     failed = {r.source_id for r in stream.failed_listings(spark, folder).collect()}
     assert failed == {"2"}
+
+
+def test_appended_csv_and_sheets(spark, tmp_path):
+    schema, path = "a string, b int", f"{tmp_path}/c"
+    files.append_csv(spark.createDataFrame([("x, y", 1)], schema), path, schema)
+    files.append_csv(spark.createDataFrame([('say "z"', None)], schema), path, schema)
+    files.append_csv(spark.createDataFrame([], schema), path, schema)
+    assert sorted(map(tuple, files.read_csv(spark, path, schema).collect()), key=str) == [('say "z"', None), ("x, y", 1)]
+    with pytest.raises(ValueError):
+        files.append_csv(spark.createDataFrame([(1,)], "b int"), path, schema)
+    records, headers = files.read_sheet(spark, path)
+    assert headers == ["a", "b"] and {r.b for r in records.collect()} == {"1", ""}
