@@ -87,6 +87,11 @@ def bin_sizes(total: int, shards: int, bins: int) -> np.ndarray:
 
 def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bin_rows: int = 1 << 20, bin_bytes: int = 1 << 26) -> DataFrame:
     """All rows and columns of ``docs``, each with its ``shard`` and ``slot``; columns of these names are replaced."""
+    return _placed(docs, shards, seed, bin_rows, bin_bytes)[0]
+
+
+def _placed(docs: DataFrame, shards: int, seed: int, bin_rows: int, bin_bytes: int) -> tuple[DataFrame, int, int]:
+    """The shuffled rows, the number of rows, and of bins in each shard."""
     docs = docs.drop("shard", "slot")
     named = [free_name(docs, x) for x in ("bin", "draw")]
     # written once, so that counts and draws see the same partitions in the same order
@@ -120,12 +125,19 @@ def shuffle(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bin_rows: int
     shard, part = F.floor(to / bins).cast("int"), (to % bins).cast("bigint")
     room = F.lit(total // shards).cast("bigint") + (shard < total % shards).cast("bigint")
     before = part * F.floor(room / bins) + F.least(part, room % bins)
-    return sent.withColumns({"shard": shard, "slot": (before + place).cast("bigint")}).drop(*named)
+    return sent.withColumns({"shard": shard, "slot": (before + place).cast("bigint")}).drop(*named), total, bins
+
 
+def write(docs: DataFrame, folder: str, shards: int = SHARDS, seed: int = 1, bin_rows: int = 1 << 20, bin_bytes: int = 1 << 26) -> None:
+    """Write the rows as Parquet, a folder for each shard, a file for each of its bins with slots that follow each other, in order.
 
-def write(docs: DataFrame, folder: str, **parameters) -> None:
-    """Write the rows as Parquet, a folder for each shard, in slot order within each file."""
-    shuffle(docs, **parameters).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    A task holds one bin, so its size is bounded however large a shard is.
+    """
+    placed, total, bins = _placed(docs, shards, seed, bin_rows, bin_bytes)
+    rows = max(1, -(-max(1, -(-total // shards)) // bins))  # of a bin
+    part = F.least(F.floor(F.col("slot") / rows), F.lit(bins - 1))
+    dealt = placed.repartitionById(shards * bins, (F.col("shard") * bins + part).cast("int"))
+    dealt.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
 
 
 def summary(placed: DataFrame) -> DataFrame:

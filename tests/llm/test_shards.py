@@ -69,3 +69,19 @@ def test_shards_are_written_in_slot_order(spark, sf, tmp_path):
     S.write(docs, f"{tmp_path}/out", shards=4)
     back = spark.read.parquet(f"{tmp_path}/out").orderBy("shard", "slot").collect()
     assert sorted(r.text for r in back) == sorted(r.text for r in docs.collect()) and {r.shard for r in back} == {0, 1, 2, 3}
+
+
+def test_files_hold_bins_in_slot_order(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    df = spark.createDataFrame([(i, "x" * (i % 50)) for i in range(1000)], "doc_id bigint, text string").repartition(5)
+    S.write(df, f"{tmp_path}/out", shards=3, bin_rows=60)
+    back, sizes = [], []
+    for shard in range(3):
+        files = [pq.ParquetFile(f).read() for f in sorted((tmp_path / "out" / f"shard={shard}").glob("*.parquet"))]
+        slots = [f.column("slot").to_pylist() for f in files]
+        assert all(s == list(range(s[0], s[0] + len(s))) for s in slots) and sorted(x for s in slots for x in s) == list(range(333 + (shard < 1)))
+        sizes += map(len, slots)
+        back += [i for f in files for i in f.column("doc_id").to_pylist()]
+    assert sorted(back) == list(range(1000)) and max(sizes) <= 60 and len(sizes) == 18
+    S.write(df.limit(0), f"{tmp_path}/none", shards=3)
