@@ -41,6 +41,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import by_bytes, held, new_folder, parts_between, text_bytes
@@ -51,6 +52,7 @@ CACHED_UNITS = 1_000_000
 MAGIC = b"TDAC0001"
 BLOCK = 512  # bits of a bitmap for each entry of its directory
 
+FILES = "part bigint, nth bigint, name string, tokens bigint"
 SLICE = 8_000_000  # bytes of text encoded together
 
 
@@ -224,13 +226,13 @@ def _closings(starts: np.ndarray, file_tokens: int) -> Iterator[tuple[int, int]]
         at = to
 
 
-def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_tokens: int = FILE_TOKENS, specials: bool = True) -> list[tuple[str, int]]:
-    """Write the ids of all texts below ``folder``; names and token counts of the files, in order.
+def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_tokens: int = FILE_TOKENS, specials: bool = True) -> None:
+    """Write the ids of all texts below ``folder``, and a table of the files beside them: part, nth in the part, name and tokens.
 
-    ``folder`` must be reachable from every executor. What returns to the
-    driver is one row for each file.
+    ``folder`` must be reachable from every executor. Files are in the order of
+    their parts and numbers; nothing of them passes through the driver.
     """
-    told = pa.schema([("name", pa.string()), ("tokens", pa.int64())])
+    told = pa.schema([("part", pa.int64()), ("nth", pa.int64()), ("name", pa.string()), ("tokens", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -239,16 +241,17 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_tok
         encoder, part, nth = _encoder(tokenizer, specials), TaskContext.get().partitionId(), 0
         for batch in by_bytes(batches, "text", SLICE):
             ids, starts = encoder(batch.column("text"), end)
-            keys, names, sizes = batch.column("doc_id").to_pylist(), [], []
+            keys, numbers, names, sizes = batch.column("doc_id").to_pylist(), [], [], []
             for a, b in _closings(starts, file_tokens):
                 name, aside = f"part-{part:07d}-{nth:07d}.dac", f".{uuid.uuid4().hex}"
                 with store.open_output_stream(f"{root}/{aside}") as out:
                     out.write(to_file(keys[a:b], ids[starts[a] : starts[b]], starts[a : b + 1] - starts[a]))
                 store.move(f"{root}/{aside}", f"{root}/{name}")
+                numbers.append(nth)
                 names.append(name)
                 sizes.append(int(starts[b] - starts[a]))
                 nth += 1
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], schema=told)
+            yield pa.RecordBatch.from_arrays([pa.array([part] * len(names), pa.int64()), pa.array(numbers, pa.int64()), pa.array(names, pa.string()), pa.array(sizes, pa.int64())], schema=told)
 
     from pyarrow import fs
 
@@ -258,7 +261,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END, file_tok
     keyed = docs.select("doc_id", "text").select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("nth"))
     order = (F.col("doc_id").asc_nulls_first(), "h", "nth")
     dealt = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
-    return sorted((r.name, r.tokens) for r in dealt.mapInArrow(run, "name string, tokens bigint").collect())
+    dealt.mapInArrow(run, FILES).write.mode("overwrite").parquet(f"{folder}/_files")
 
 
 def _encoder(path: str, specials: bool) -> Encoder:
@@ -266,31 +269,41 @@ def _encoder(path: str, specials: bool) -> Encoder:
     return held(("units", path, specials), lambda: Encoder(path, specials))
 
 
-def read(spark, folder: str, files: list[tuple[str, int]]) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of each document in the files."""
-    first, starts = 0, {}
-    for name, tokens in files:
-        starts[name], first = first, first + tokens
+def read(spark, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of each document in the files of ``folder``.
+
+    A file's first token is numbered by the sums of the parts before its own,
+    of which one number each reaches the driver, and of the files before it in
+    its part.
+    """
+    files = spark.read.schema(FILES).parquet(f"{folder}/_files")
+    first, before = 0, []
+    for part, tokens in sorted(files.groupBy("part").agg(F.sum("tokens")).collect()):
+        before.append((part, first))
+        first += tokens
+    parts = spark.createDataFrame(before, "part bigint, first bigint")
+    inside = F.sum("tokens").over(W.partitionBy("part").orderBy("nth")) - F.col("tokens")
+    based = files.withColumn("inside", inside).join(F.broadcast(parts), "part").select("name", (F.col("first") + F.col("inside")).alias("base"))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
-    if not files:
-        return spark.createDataFrame([], "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
-    sent = spark.sparkContext.broadcast(starts)  # one entry for each file
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            for path, content in zip(*(batch.column(c) for c in ("path", "content"))):
-                file = TokenFile(content.as_py())
+            for name, base in zip(*(c.to_pylist() for c in batch.columns)):
+                with store.open_input_stream(f"{root}/{name}") as stream:
+                    file = TokenFile(stream.read())
                 ids = file.codes.all().astype("<u4")
                 at = file.starts.tolist()
                 sums = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(at, at[1:])]
-                base = sent.value[path.as_py().rpartition("/")[2]]
                 yield pa.RecordBatch.from_arrays([pa.array(file.doc_ids, pa.int64()), pa.array(file.starts[:-1] + base), pa.array(np.diff(file.starts)), pa.array(sums, pa.int64())], schema=schema)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.dac").load(folder)
-    return files.select("path", "content").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return based.repartition(max(1, len(before)), "name").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, file_tokens: int = FILE_TOKENS) -> DataFrame:
     """Write all texts to a new shared folder and read back what the files say of each document."""
     folder = new_folder(docs.sparkSession, "token-codes")
-    return read(docs.sparkSession, folder, write(docs, tokenizer, folder, file_tokens=file_tokens))
+    write(docs, tokenizer, folder, file_tokens=file_tokens)
+    return read(docs.sparkSession, folder)
