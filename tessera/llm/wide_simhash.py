@@ -12,22 +12,24 @@ meets, and one that shares fewer usually does. In a posting list the shared
 positional bytes of a pair are tallied, pairs below ``MIN_SHARED`` are dropped,
 and what is left is verified by exact Jaccard similarity of the two sets.
 
-Texts with equal shingle sets are one node, so copies cost nothing. A list gives
-all its pairs, as long as they are no more than ``ALL_PAIRS`` for each member. A
-dense group of near copies makes more, and gives pairs with leaders: the first
-node leads, nodes that share ``MIN_SHARED`` bytes with it are held against it,
-the first of the others leads next, until none is left. So what a group gives is
-linear in its size. Links
-between two nodes that are both near a leader but not near enough to be verified
-are left to the other 139 lists of each node, which have other leaders.
+Texts with equal shingle sets are one node, so copies cost nothing. A pair is
+told by the first of the lists that it shares. A list gives all its pairs, as
+long as they are no more than ``ALL_PAIRS`` for each member. A dense group of
+near copies has more; there the members meet with their sets, all pairs that
+share enough bytes and aren't connected yet are verified in place, and only
+edges that connect the same nodes leave. So what moves is linear in a group's
+size, and no pair of a list is left out.
 
 A list beyond ``LIST_BOUND`` is dealt into chunks of that size, whose leaders
-form the list of the next round. A dense group has few leaders, so its list
-shrinks at once. Where more than half of a list leads, its nodes are unrelated,
-and all are listed anew by one more shared byte; nodes that share
+form the list of the next round: the first node leads, nodes that share
+``MIN_SHARED`` bytes with it are held against it, the first of the others leads
+next. A dense group has few leaders, so its list shrinks at once. Then members
+of its largest group needn't meet again; the others meet all members, in tiles
+of bounded size. That is quadratic in the worst case of a long list without a
+large group, but distributed. Where more than half of a list leads, its nodes
+are unrelated, and all are listed anew by one more shared byte; nodes that share
 ``MIN_SHARED`` bytes share five beside those of their list, so after five such
-steps all members are near each other. Rounds are some six times the logarithm
-of the list's length at most.
+steps all members are near each other.
 
 Shingle sets are as large as the texts. They are made for the index, made again
 for the nodes that meet in it, and moved only for those.
@@ -43,6 +45,7 @@ empty table gives an empty result; all columns of the rows that stay are kept.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -61,8 +64,10 @@ WIDTH = 42
 COUNTERS = 128
 DIMENSIONS = 512
 MIN_SHARED = 8
-ALL_PAIRS = 4
+ALL_PAIRS = 2
 LIST_BOUND = 1024
+LEADERS = 99  # depth of a list of leaders
+TILE = 1 << 24  # bytes of shingles from one side of a tile
 BROADCAST_ROWS = 1_000_000  # most rows of a drop list that is sent to every task
 HEAVY = 1000
 SALTS = 32
@@ -149,17 +154,23 @@ def node_sets(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return _sets(docs.select("text"), shingle, "node bigint, shingles binary", made)
 
 
-def _near(held: np.ndarray, some: np.ndarray, at: int) -> np.ndarray:
-    """Whether each of ``some`` members shares enough bytes with the member ``at``."""
-    return (held[some] == held[at]).sum(1) >= MIN_SHARED
+def _near(held: np.ndarray, some: np.ndarray, at: int, number: int | None = None) -> np.ndarray:
+    """Whether each of ``some`` members shares enough bytes with the member ``at`` and, if the list has a number, no set of a smaller one."""
+    same = held[some] == held[at]
+    near = same.sum(1) >= MIN_SHARED
+    if number is not None:
+        group, (a, b, c) = SETS[number][0] // 6, SETS[number]
+        near &= (same[:, : 6 * group].reshape(len(same), group, 6).sum(2) < 3).all(1)
+        near &= ~same[:, [i for i in range(6 * group, c) if i not in (a, b)]].any(1)
+    return near
 
 
-def _all_pairs(node: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+def _all_pairs(node: np.ndarray, held: np.ndarray, number: int | None = None) -> tuple[np.ndarray, np.ndarray] | None:
     """All pairs of a list that share enough bytes; None if they are more than ``ALL_PAIRS`` a member."""
     u, v, total = [node[:0]], [node[:0]], 0
     for at in range(len(node)):
         rest = np.arange(at + 1, len(node))
-        met = node[rest[_near(held, rest, at)]]
+        met = node[rest[_near(held, rest, at, number)]]
         total += len(met)
         if total > ALL_PAIRS * len(node):
             return None
@@ -168,6 +179,17 @@ def _all_pairs(node: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(u), np.concatenate(v)
 
 
+def _paired(held: np.ndarray, number: int | None = None) -> np.ndarray:
+    """The members of a list that share enough bytes with another."""
+    paired = np.zeros(len(held), bool)
+    for at in range(len(held)):
+        rest = np.arange(at + 1, len(held))
+        near = rest[_near(held, rest, at, number)]
+        paired[near] = True
+        paired[at] |= len(near) > 0
+    return paired
+
+
 def _with_leaders(node: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of a list's members with their leaders, and the places of the leaders."""
     u, v, rest, leads = [node[:0]], [node[:0]], np.arange(len(node)), []
@@ -186,25 +208,34 @@ def _members(members: list[dict]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (u, v) of lists; of a dense one the members u that have a pair there, without v, and the list's key."""
     for batch in batches:
-        for members in batch.column(0).to_pylist():
+        for k, members in zip(*(c.to_pylist() for c in batch.columns)):
             node, held = _members(members)
-            u, v = _all_pairs(node, held) or _with_leaders(node, held)[:2]
+            pairs = _all_pairs(node, held, k >> 24)
+            u, v = pairs or (node[_paired(held, k >> 24)], None)
             if len(u):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                columns = [pa.array([None] * len(u) if pairs else [k] * len(u), pa.int64()), pa.array(u), pa.array(v) if pairs else pa.nulls(len(u), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["k", "u", "v"])
 
 
-def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (u, v) of chunks and, without v, the leaders of each with their bytes."""
-    for batch in batches:
-        for k, depth, n, used, members in zip(*(c.to_pylist() for c in batch.columns)):
-            node, held = _members(members)
-            u, v, leads = _with_leaders(node, held)
-            u, v = _all_pairs(node, held) or (u, v)
-            size = len(u) + len(leads)
-            fixed = [pa.array([x] * size, t) for x, t in ((k, pa.int64()), (depth, pa.int32()), (n, pa.int64()), (used, pa.list_(pa.int32())))]
-            pairs = [pa.array([*u.tolist(), *node[leads].tolist()], pa.int64()), pa.array([*v.tolist(), *[None] * len(leads)], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*fixed, *pairs, pa.array([*[None] * len(u), *(held[i].tobytes() for i in leads)], pa.binary())], names=["k", "depth", "n", "used", "u", "v", "print"])
+def _led(bound: int):
+    """Pairs (u, v) of chunks; without v the leaders of long lists, with their bytes, and the members of dense short ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, depth, n, used, members in zip(*(c.to_pylist() for c in batch.columns)):
+                node, held = _members(members)
+                pairs = _all_pairs(node, held)
+                u, v, leads = _with_leaders(node, held)
+                alone = leads if n > bound else np.flatnonzero(_paired(held)) if pairs is None else leads[:0]
+                u, v = pairs or (u, v)
+                size = len(u) + len(alone)
+                fixed = [pa.array([x] * size, t) for x, t in ((k, pa.int64()), (depth, pa.int32()), (n, pa.int64()), (used, pa.list_(pa.int32())))]
+                told = [pa.array([*u.tolist(), *node[alone].tolist()], pa.int64()), pa.array([*v.tolist(), *[None] * len(alone)], pa.int64())]
+                yield pa.RecordBatch.from_arrays([*fixed, *told, pa.array([*[None] * len(u), *(held[i].tobytes() if n > bound else None for i in alone)], pa.binary())], names=["k", "depth", "n", "used", "u", "v", "print"])
+
+    return run
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -212,56 +243,157 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def candidates(distinct: DataFrame, bound: int = LIST_BOUND) -> DataFrame:
-    """Pairs (u, v) of nodes (node, print) that meet in the index and share enough bytes."""
-    three = lambda c: F.concat(*(F.substring("print", i + 1, 1) for i in c))
-    keys = F.array(*(F.conv(F.hex(three(c)), 16, 10).cast("bigint") + (n << 24) for n, c in enumerate(SETS)))
+def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sets = np.array(SETS)
+    for batch in batches:
+        for at in range(0, batch.num_rows, 2048):
+            part = batch.slice(at, 2048)
+            held = np.frombuffer(b"".join(part.column("print").to_pylist()), np.uint8).reshape(-1, WIDTH).astype(np.int64)
+            a, b, c = (held[:, sets[:, i]] for i in range(3))
+            k = a << 16 | b << 8 | c | np.arange(len(sets)) << 24
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("node").to_numpy(), len(sets))), pa.array(k.ravel())], names=["node", "k"])
+
+
+def _with_node(lists: DataFrame, table: DataFrame) -> DataFrame:
+    """``lists`` (node and others) with the columns of ``table``, which has one row a node; a node's rows are joined as one."""
+    others = [c for c in lists.columns if c != "node"]
+    return lists.groupBy("node").agg(F.collect_list(F.struct(*others)).alias("at")).join(table, "node").withColumn("at", F.explode("at")).select("at.*", "node", *(c for c in table.columns if c != "node"))
+
+
+class Met:
+    """What meets in the index: pairs (u, v); dense lists (k, nth, node) whose pairs are too many to be told; long lists (k, node), None if there are none."""
+
+    def __init__(self, pairs: DataFrame, dense: DataFrame, long: DataFrame | None):
+        self.pairs, self.dense, self.long = pairs, dense, long
+
+
+def meetings(distinct: DataFrame, bound: int = LIST_BOUND) -> Met:
+    """What meets in the index of nodes (node, print)."""
     distinct = cut(distinct.select("node", "print"))
-    postings = distinct.select("node", F.explode(keys).alias("k"))
-    counts = cut(postings.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"))
-    long = counts.filter(F.col("n") > bound)
+    postings = distinct.mapInArrow(_postings, "node bigint, k bigint")
+    long = cut(postings.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > bound))
     some = _few(long) if not long.isEmpty() else None
     short = postings if some is None else postings.join(some.select("k"), "k", "left_anti")
     # few postings have a partner, so they move without the bytes, and those that have one take them along
-    shared = short.join(counts.filter(F.col("n") <= bound).select("k"), "k").join(distinct, "node")
-    lists = shared.groupBy("k").agg(F.collect_list(F.struct("node", "print")).alias("m"))
-    found = lists.select("m").mapInArrow(_tallied, "u bigint, v bigint")
+    shared = short.groupBy("k").agg(F.collect_list("node").alias("m")).filter(F.size("m") > 1).select("k", F.explode("m").alias("node"))
+    lists = _with_node(shared, distinct).groupBy("k").agg(F.collect_list(F.struct("node", "print")).alias("m"))
+    found = cut(lists.mapInArrow(_tallied, "k bigint, u bigint, v bigint"))
+    pairs, dense = found.filter("v is not null").select("u", "v"), found.filter("v is null").select("k", F.lit(-1).alias("nth"), F.col("u").alias("node"))
+    left = None
     if some is not None:
         used = F.get(F.array(*(F.array(*map(F.lit, c)) for c in SETS)), F.shiftright("k", 24).cast("int"))
         rows = postings.join(some, "k").join(distinct, "node").select("k", "node", "print", "n", F.lit(0).alias("depth"), used.alias("used"))
-        found = found.unionByName(_long_lists(rows, bound))
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        more = _long_lists(rows, bound)
+        pairs, dense, left = pairs.unionByName(more.pairs), dense.unionByName(more.dense), more.long
+    return Met(pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), dense, left)
+
 
+def candidates(distinct: DataFrame, bound: int = LIST_BOUND) -> DataFrame:
+    """Pairs (u, v) of nodes (node, print) that meet in the index and share enough bytes; those of dense lists with leaders only."""
+
+    def led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for members in batch.column(0).to_pylist():
+                u, v, _ = _with_leaders(*_members(members))
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
 
-def _long_lists(rows: DataFrame, bound: int) -> DataFrame:
-    """Pairs of lists too long for a task: ``rows`` have k, node, print, n (the list's length), depth and used (positions that the list shares)."""
-    pairs, nth = [], 0
+    met = meetings(distinct, bound)
+    lists = met.dense.join(distinct.select("node", "print"), "node").groupBy("k", "nth").agg(F.collect_list(F.struct("node", "print")).alias("m"))
+    return met.pairs.unionByName(lists.select("m").mapInArrow(led, "u bigint, v bigint")).distinct()
+
+
+def _long_lists(rows: DataFrame, bound: int) -> Met:
+    """What meets in lists too long for a task: ``rows`` have k, node, print, n (the list's length), depth and used (positions that the list shares)."""
+    pairs, dense, long, nth = [], [], [], 0
+    fresh = (F.col("n") > bound) & (F.col("depth") < LEADERS)
     while True:
         chunk = F.pmod(F.xxhash64("node", F.lit(nth)), F.ceil(F.col("n") / bound))
         lists = rows.groupBy("k", "depth", "n", "used", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "print")).alias("m"))
-        met = cut(lists.select("k", "depth", "n", "used", "m").mapInArrow(_led, "k bigint, depth int, n bigint, used array<int>, u bigint, v bigint, print binary"))
+        met = cut(lists.select("k", "depth", "n", "used", "m").mapInArrow(_led(bound), "k bigint, depth int, n bigint, used array<int>, u bigint, v bigint, print binary"))
         pairs.append(met.filter("v is not null").select("u", "v"))
+        dense.append(met.filter((F.col("n") <= bound) & F.col("v").isNull()).select("k", F.lit(nth).alias("nth"), F.col("u").alias("node")))
         leads = met.filter((F.col("n") > bound) & F.col("v").isNull()).select("k", "depth", "n", "used", F.col("u").alias("node"), "print")
         left = cut(leads.groupBy("k").agg(F.count("*").alias("left")).filter("left > 1"))
         if left.isEmpty():
+            long.append(rows.filter(fresh).select("k", "node"))
             break
         left, nth = _few(left), nth + 1
         leads = leads.join(left, "k")
         unrelated = (F.col("left") > bound) & (2 * F.col("left") > F.col("n")) & (F.col("depth") < MIN_SHARED - 3)
         # positions behind the last one by which the list was made, so that each set of further positions is listed once
         free = F.filter(F.sequence(F.lit(0), F.lit(WIDTH - 1)), lambda i: ~F.array_contains("used", i) & ((F.col("depth") == 0) | (i > F.element_at("used", -1))))
+        long.append(rows.filter(fresh).join(left, "k", "left").filter(~F.coalesce(unrelated, F.lit(False))).select("k", "node"))
         finer = rows.join(left, "k").filter(unrelated).withColumn("at", F.explode(free))
         finer = finer.select(F.xxhash64("k", "at", F.substring(F.col("print"), F.col("at") + 1, F.lit(1))).alias("k"), "node", "print", (F.col("depth") + 1).alias("depth"), F.array_append("used", F.col("at")).alias("used"))
         finer = finer.join(finer.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1"), "k")
-        rows = cut(leads.filter(~unrelated).select("k", "node", "print", F.col("left").alias("n"), "depth", "used").unionByName(finer.select("k", "node", "print", "n", "depth", "used")))
-    out = pairs[0]
-    for p in pairs[1:]:
-        out = out.unionByName(p)
-    return out
+        # leaders go on as long as they get fewer; what they leave out is told by the long list
+        on = ~unrelated & ((F.col("left") <= bound) | (2 * F.col("left") <= F.col("n")))
+        rows = cut(leads.filter(on).select("k", "node", "print", F.col("left").alias("n"), F.lit(LEADERS).alias("depth"), "used").unionByName(finer.select("k", "node", "print", "n", "depth", "used")))
+    whole = lambda parts: reduce(DataFrame.unionByName, parts)
+    long = cut(whole(long))
+    return Met(whole(pairs), whole(dense), None if long.isEmpty() else long)
+
+
+def _tiles(lists: DataFrame, sizes: DataFrame, bound: int) -> DataFrame:
+    """Lists (k, nth, node, root, minor) in parts ``tile`` of bounded rows and bytes, so that any two members meet in one, unless neither is ``minor``."""
+    sized = _with_node(lists, sizes)
+    some = lambda what: F.greatest(F.ceil(F.count_if(what) / bound), F.ceil(F.sum(F.when(what, F.col("size")).otherwise(0)) / TILE)).cast("int")
+    parts = sized.groupBy("k", "nth").agg(some(F.col("minor")).alias("few"), some(~F.col("minor")).alias("many"))
+    cells = cut(parts.filter("few > 0 and few + many > 1"))  # the others are a part each
+    if cells.isEmpty():
+        return lists.withColumn("tile", F.lit(0))
+    met = lists.join(_few(cells), ["k", "nth"], "left")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("minor"), F.col("few")).otherwise(F.col("many")).cast("bigint")).cast("int")
+    number = lambda i, j: i * (F.col("few") + F.col("many")) + j
+    upto = lambda n: F.filter(F.sequence(F.lit(0), n), lambda i: i < n)
+    others = F.concat(F.transform(upto(F.col("few")), lambda j: number(F.least("mine", j), F.greatest("mine", j))), F.transform(upto(F.col("many")), lambda j: number(F.col("mine"), F.col("few") + j)))
+    of = F.when(F.col("minor"), others).otherwise(F.transform(upto(F.col("few")), lambda i: number(i, F.col("few") + F.col("mine"))))
+    return met.withColumn("mine", mine).withColumn("tile", F.explode(F.coalesce(of, F.array(F.lit(0))))).select(*lists.columns, "tile")
+
+
+def _connected(tiles: DataFrame, table: DataFrame, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect, in each tile of a list, what pairs connect that share enough bytes and are as similar as is asked."""
+
+    def run(members: pa.Table) -> pa.Table:
+        members = members.combine_chunks()
+        k, nth = (members.column(c).to_numpy() for c in ("k", "nth"))
+        number = int(k[0]) >> 24 if nth[0] == -1 else None
+        held = np.frombuffer(b"".join(members.column("print").to_pylist()), np.uint8).reshape(-1, WIDTH)
+        data, ends = text_bytes(pa.concat_arrays(members.column("shingles").chunks))
+        sets, ends = np.frombuffer(data.tobytes(), np.uint32), ends // 4
+        size, root = np.diff(ends), members.column("root").to_numpy()
+        group = root.copy()
+        for at in range(len(root)):
+            rest = np.arange(at + 1, len(root))
+            rest = rest[(group[rest] != group[at]) & (np.minimum(size[rest], size[at]) >= similarity * np.maximum(size[rest], size[at]))]
+            rest = rest[_near(held, rest, at, number)]
+            if not len(rest):
+                continue
+            mine, theirs = sets[ends[at] : ends[at + 1]], np.concatenate([sets[ends[i] : ends[i + 1]] for i in rest])
+            place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            both = np.add.reduceat((mine[place] == theirs).astype(np.int64), np.cumsum(size[rest]) - size[rest])
+            linked = rest[both >= similarity * (size[at] + size[rest] - both) - 1e-9]
+            group[np.isin(group, group[linked])] = group[at]
+        # each is told with the smallest that it is connected to, so that the lists of a group tell the same
+        u, first = np.unique(root, return_index=True)
+        of = group[first]
+        least, place = np.unique(of, return_inverse=True)
+        least = np.full(len(least), u[-1])
+        np.minimum.at(least, place, u)
+        v = least[place]
+        return pa.table({"u": u[u != v], "v": v[u != v]})
+
+    return _with_node(tiles, table).groupBy("k", "nth", "tile").applyInArrow(run, "u bigint, v bigint")
+
+
+def _told(met: Met) -> DataFrame:
+    """The nodes of all that meets."""
+    told = met.pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(met.dense.select("node"))
+    return (told if met.long is None else told.unionByName(met.long.select("node"))).distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The pairs (u, v) whose sets are as similar as is asked; ``sets`` has node and shingles, for equal nodes as often as it may."""
+    """The pairs (u, v) whose sets are as similar as is asked; ``sets`` has node and shingles, one row a node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -273,10 +405,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     # a node that leads a large group is dealt to SALTS tasks; there are at most HEAVY such nodes for each side
-    pairs = cut(pairs)
     total = pairs.count()
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = cut(sets.join(_few(cut(asked)), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
     for side, name in (("u", "a"), ("v", "b")):
         heavy = pairs.groupBy(side).agg(F.count("*").alias("times")).filter(F.col("times") * HEAVY > total + HEAVY * SALTS).select(side, F.lit(True).alias("heavy"))
         salted = pairs.join(F.broadcast(heavy), side, "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("u", "v"), F.lit(SALTS))).otherwise(0))
@@ -288,8 +417,25 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float = SIMILARITY)
 
 def groups(rows: DataFrame, sets: DataFrame, similarity: float = SIMILARITY, bound: int = LIST_BOUND) -> DataFrame:
     """(node, root) of the nodes among ``rows`` (as ``nodes`` gives them; ``sets`` as ``node_sets`` does) that are linked to others."""
-    distinct = rows.groupBy("node").agg(F.min("print").alias("print"))
-    return components(verified(candidates(distinct, bound), sets, similarity))
+    distinct = cut(rows.groupBy("node").agg(F.min("print").alias("print")))
+    met = meetings(distinct, bound)
+    met.pairs = cut(met.pairs)
+    sets = cut(sets.join(_few(cut(_told(met))), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")))
+    edges = verified(met.pairs, sets, similarity)
+    if met.dense.isEmpty() and met.long is None:
+        return components(edges)
+    table, sizes = distinct.join(sets, "node"), sets.select("node", F.octet_length("shingles").alias("size"))
+    dense = met.dense.select("k", "nth", "node", F.col("node").alias("root"), F.lit(True).alias("minor"))
+    edges = edges.unionByName(_connected(_tiles(dense, sizes, bound), table, similarity))
+    if met.long is None:
+        return components(edges)
+    # of a long list the nodes of its largest group needn't meet each other again
+    edges = cut(edges)
+    roots = components(edges)
+    lists = met.long.distinct().join(roots, "node", "left").select("k", F.lit(-2).alias("nth"), "node", F.coalesce("root", "node").alias("root"))
+    most = lists.groupBy("k", "root").agg(F.count("*").alias("n")).groupBy("k").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count("*").alias("roots"))
+    lists = cut(lists.join(_few(cut(most.filter("roots > 1").select("k", "most"))), "k").withColumn("minor", F.col("root") != F.col("most")).drop("most"))
+    return components(edges.unionByName(_connected(_tiles(lists, sizes, bound), table, similarity)))
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bound: int = LIST_BOUND) -> DataFrame:

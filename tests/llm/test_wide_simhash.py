@@ -149,3 +149,28 @@ def test_nulls_repeats_clashing_columns_and_empty_tables(spark):
     # of doc_id 3 and of doc_id 5 the copies go, whatever else bears their id
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(3, ""): 1, (7, "a b c d"): 1, (None, "zz yy xx ww"): 1, (3, "b b b b b b"): 1})
     assert S.one_of_each(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("bound", [S.LIST_BOUND, 20])
+def test_links_of_dense_lists_that_leaders_miss(spark, bound, monkeypatch):
+    """Nodes that are all near by their bytes, but alike in pairs only, beside one large group."""
+    monkeypatch.setattr(S, "TILE", 400)
+    rng, rows, sets = random.Random(8), [], []
+    for i in range(90):
+        shared = [rng.randrange(1 << 32) for _ in range(50)] if i % 2 == 0 or i >= 60 else shared
+        shared = sets[60] if i > 60 else shared
+        sets.append(shared)
+        rows.append((i, bytes(7 if rng.random() < 0.8 else rng.randrange(256) for _ in range(S.WIDTH))))
+    packed = [(i, pa.array(sorted({*s, i}), pa.uint32()).buffers()[1].to_pybytes()[: 4 * len({*s, i})]) for i, s in enumerate(sets)]
+    roots = S.groups(spark.createDataFrame(rows, "node bigint, print binary"), spark.createDataFrame(packed, "node bigint, shingles binary"), bound=bound)
+    assert {r.node: r.root for r in roots.collect()} == {i: 60 if i >= 60 else i // 2 * 2 for i in range(90)}
+
+
+def test_a_pair_belongs_to_one_of_its_lists():
+    rng = random.Random(3)
+    held = S.np.array([[rng.choice((1, 2)) for _ in range(S.WIDTH)] for _ in range(40)], S.np.uint8)
+    for a in range(40):
+        for b in range(a + 1, 40):
+            lists = [n for n, c in enumerate(S.SETS) if (held[a, c] == held[b, c]).all()]
+            mine = [n for n in lists if S._near(held, S.np.array([b]), a, n)[0]]
+            assert mine == (lists[:1] if (held[a] == held[b]).sum() >= S.MIN_SHARED else [])
