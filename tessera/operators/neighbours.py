@@ -6,14 +6,16 @@ known; they bound a query's distance to its ``most``-th neighbour from above, an
 its distance to anything in a cell from below. A query is sent to the cells that
 may hold a neighbour and to no others, so most pairs are never computed; a
 cell's rows are dealt to parts of bounded size, and so are the queries that it
-gets. Equal training rows are one row with its number of times.
+gets. Equal training rows are one row with its number of times; of those that
+stand at one point only the ``most`` smallest labels are kept, as the others are
+among nobody's nearest, and queries at one point are one query. So the search
+grows with the points, not with the rows.
 
 The neighbours' labels, nearest first and smaller labels first among equally
 near ones, give the mean of the first k for every k at once.
 
 Defined results: rows or queries with a NULL or NaN feature, and rows with a
-NULL label, are left out; the key of a query should be unique, and equal keys
-share one result; with fewer training rows than k the mean is of all of them; no
+NULL label, are left out; queries of equal keys have a result each; with fewer training rows than k the mean is of all of them; no
 training rows give no result.
 """
 
@@ -34,6 +36,7 @@ PIVOTS = 256
 ROWS = 20_000  # rows of a cell that a task holds
 QUERIES = 2_000  # queries of a cell that a task holds
 BLOCK = 256
+SALTS = 8
 SLACK = 1e-9  # relative, for rounding in the bounds
 
 
@@ -45,6 +48,18 @@ def _whole(df: DataFrame) -> DataFrame:
     return df.filter(~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
 
 
+def _least(train: DataFrame, features: list[str], label: str, most: int) -> DataFrame:
+    """x, y and times of the rows of smallest labels at each point: others there are among no query's nearest ``most``.
+
+    The rank's bound is known, so tasks leave few rows of a point before they are shuffled.
+    """
+    at = [f"x{i}" for i in range(len(features))]
+    rows = train.select(*(F.col(f).cast("double").alias(c) for f, c in zip(features, at)), F.col(label).cast("double").alias("y"))
+    rows = rows.filter(" and ".join(["y is not null", *(f"{c} is not null and not isnan({c})" for c in at)]))
+    ranked = rows.withColumn("n", F.row_number().over(W.partitionBy(*at).orderBy("y"))).filter(F.col("n") <= most)
+    return ranked.groupBy(*at, "y").agg(F.count("*").alias("times")).select(F.array(*at).alias("x"), "y", "times")
+
+
 def _dense(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
@@ -121,14 +136,16 @@ def _pivots(rows: DataFrame, many: int, width: int) -> np.ndarray:
 def nearest(train: DataFrame, asked: DataFrame, features: list[str], label: str, key: str, most: int = 30, pivots: int = PIVOTS, rows_at_once: int = ROWS) -> DataFrame:
     """key, labels (of the ``most`` nearest training rows, nearest first) and compared (rows that were compared) of each query."""
     width = len(features)
-    rows = _whole(train.select(_vector(features).alias("x"), F.col(label).cast("double").alias("y")).filter("y is not null"))
-    rows = cut(rows.groupBy("x", "y").agg(F.count("*").alias("times")))
-    queries = _whole(asked.select(F.col(key).alias("key"), _vector(features).alias("x")))
-    kind = queries.schema["key"].dataType.simpleString()
+    rows = cut(_least(train, features, label, most))
+    given = _whole(asked.select(F.col(key).alias("name"), _vector(features).alias("x")))
+    name = given.schema["name"].dataType.simpleString()
+    # a point is asked for once, by a number, however many queries stand there
+    points = cut(given.select("x").distinct().withColumn("key", F.monotonically_increasing_id()))
+    queries, kind = points.select("key", "x"), "bigint"
     result = f"key {kind}, d double, y double, times bigint, compared bigint"
     at = _pivots(rows, pivots, width)
     if not len(at):
-        return asked.sparkSession.createDataFrame([], f"`{key}` {kind}, labels array<double>, compared bigint")
+        return asked.sparkSession.createDataFrame([], f"`{key}` {name}, labels array<double>, compared bigint")
     cells = Cells(rows, at, most)
     parts = [max(1, math.ceil(n / rows_at_once)) for n in cells.count.tolist()]
 
@@ -179,7 +196,10 @@ def nearest(train: DataFrame, asked: DataFrame, features: list[str], label: str,
     ordered = F.array_sort(F.collect_list(F.struct("d", "y", F.least("times", F.lit(most)).cast("int").alias("times"))))
     labels = F.slice(F.flatten(F.transform(ordered, lambda s: F.array_repeat(s["y"], s["times"]))), 1, most)
     told = ranked.groupBy("key").agg(labels.alias("labels")).join(compared, "key")
-    return told.select(F.col("key").alias(key), "labels", "compared")
+    # dealt by salts too, as many queries may stand at one point
+    told = points.join(told, "key").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = given.withColumn("salt", F.pmod(F.xxhash64("name"), F.lit(SALTS)).cast("int")).join(told, ["x", "salt"])
+    return met.select(F.col("name").alias(key), "labels", "compared")
 
 
 def knn_curve(train: DataFrame, asked: DataFrame, features: list[str], label: str, key: str, most: int = 30, pivots: int = PIVOTS) -> DataFrame:

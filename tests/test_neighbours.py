@@ -61,3 +61,15 @@ def test_best_k_over_folds(spark):
             total += (brute([(r[2], r[3]) for r in rows if r[1] != fold], (x,), 12)[n - 1] - y) ** 2
         want.append(total / len(rows))
     assert errors == pytest.approx(want) and k == 1 + want.index(min(want)) and k > 2
+
+
+def test_rows_and_queries_at_one_point_are_compared_once(spark, monkeypatch):
+    rnd, routed, cut = random.Random(3), [], neighbours.cut
+    rows = [(float(i % 3), float(rnd.randint(0, 10**6))) for i in range(600)]
+    monkeypatch.setattr(neighbours, "cut", lambda df: routed.append(cut(df)) or routed[-1])
+    got = neighbours.nearest(spark.createDataFrame(rows, "a double, y double"), spark.createDataFrame([(i, float(i % 4)) for i in range(200)], "id int, a double"), ["a"], "y", "id", 5).collect()
+    assert len(got) == 200 and all(r.compared <= 15 for r in got)
+    for r in got:
+        want = sorted((abs(a - r.id % 4), y) for a, y in rows)[:5]
+        assert r.labels == [y for _, y in want]
+    assert all(df.count() <= 15 for df in routed)  # neither all rows nor all queries move
