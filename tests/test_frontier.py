@@ -83,3 +83,14 @@ def test_a_page_that_many_listings_name_is_loaded_once(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "url string, html string")
     assert frontier.collect_photos(none, lambda urls: urls.withColumn("html", F.lit(None).cast("string"))).collect() == []
+
+
+def test_pages_of_few_bytes_are_read_in_many_parts(spark):
+    listings = spark.range(400).selectExpr("concat('https://h.example/ms/chuko/nc_', id, '/') url", "'<p>x</p>' html").coalesce(1)
+    assert pages.listing_fields(listings).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_addresses_are_joined_as_by_the_library():
+    for base in ("https://h.example/ms/nc_1/", "http://h.x:80/a?b#c", "//h/x", "", "https://u@h/x", "https://H.x/y"):
+        for a in ("/photo/1_2.jpg", "/a//b", "/a/../b", "/./a", "//h2/a", "/", "/a?b#c", "a/b", "https://z/x", "/a;b/", "/-x/.y", ""):
+            assert pages.X.joined(base, a) == urljoin(base, a), (base, a)
