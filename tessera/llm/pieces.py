@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding by a shared-prefix forward pass.
 
-A text is cut into marked words: runs of the space mark with what follows them.
-No piece reaches over such a cut, so words encode apart. The distinct words of
+A text is cut into words between any two characters that stand side by side in
+no piece of the model (mostly before marks of space and around punctuation). No
+piece reaches over such a cut, so words encode apart. The distinct words of
 a batch are sorted, which is a depth-first walk of their trie, and the forward
 states of a word's prefixes are kept for the next word as far as their common
 prefix goes.
@@ -11,6 +12,8 @@ For a unigram model the state of a prefix is its best score and last piece
 largest sum: the encoding of a prefix is that of a shorter one and one more
 piece, where the last two pieces stay apart when they are merged alone, and
 exactly one piece fits. So the state is the last piece, and no score is summed.
+Beside it stands the longest end of the prefix that begins a piece; a table
+gives the pieces that end there, so none is looked for by its length.
 Both give the ids of the sentencepiece library for models that take texts as
 they are; a model that normalises texts first, or has other rules for white
 space, is refused when it is loaded.
@@ -29,7 +32,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +56,7 @@ class Model:
 
         sp = self.library = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
-        self.text = [sp.id_to_piece(i) for i in ids]
+        self.text = [sp.id_to_piece(i).replace(MARK, " ") for i in ids]  # no piece holds a space itself
         plain = [i for i in ids if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))]
         self.ids = {self.text[i]: i for i in plain}
         self.scores = {self.text[i]: sp.get_score(i) for i in plain}
@@ -63,19 +66,40 @@ class Model:
         usual = sorted(s for s in self.scores.values() if s > -1e8)
         self.merges = all(s == round(s) for s in usual)  # ranks, not log probabilities
         self.floor = (usual[0] if usual else 0) - 10
-        self.spelled = [t.replace(MARK, " ").encode() for t in self.text]
+        self.spelled = [t.encode() for t in self.text]
         for value, i in self.bytes.items():
             self.spelled[i] = bytes([value])
         for i in ids:
             if sp.is_control(i):
                 self.spelled[i] = b""
+        data, ends = text_bytes(pa.array(list(self.ids), pa.large_string()))
+        side_by_side = np.ones(max(len(data) - 1, 0), bool)
+        side_by_side[ends[1:-1] - 1] = False
+        self.joined = np.zeros((256, 256), bool)  # bytes between which a text isn't cut
+        self.joined[:, 0x80:0xC0] = True  # these go on with a character
+        self.joined[data[:-1][side_by_side], data[1:][side_by_side]] = True
+
+
+class Packed(dict):
+    """The ids of a piece, or of a character without one, as bytes."""
+
+    def __init__(self, model: Model):
+        super().__init__((t, array("i", [i]).tobytes()) for t, i in model.ids.items())
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        model = self.model
+        ids = [model.bytes[b] for b in piece.encode("utf-8", "surrogatepass")] if model.bytes else [model.unknown]
+        return array("i", ids).tobytes()
 
 
 class Encoder:
     def __init__(self, path: str):
         self.model = Model(path)
-        self.words: dict[str, bytes] = {}
-        self.apart: dict[str, bool] = {}
+        self.words: dict[bytes, bytes] = {}
+        self.packed = Packed(self.model)
+        self.pairs = 0  # held in the tables of self.ending
+        self.ending = self._ending() if self.model.merges else {}
         self.spelled = pa.array(self.model.spelled, pa.large_binary())
         if [x.tolist() for x in self.lists(list(PROBES))] != self.model.library.encode(list(PROBES)):
             raise ValueError("the model changes texts before it cuts them, which isn't built")
@@ -93,34 +117,54 @@ class Encoder:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
-    def _stays(self, before: str, piece: str) -> bool:
+    def _ending(self) -> dict[str, tuple[tuple[str, int, dict[str, bool]], ...]]:
+        """For each beginning of a piece: the pieces of several characters that end it, longest first, their lengths, and whether they can follow others."""
+        ids = self.model.ids
+        entries = {t: (t, len(t), {}) for t in ids if len(t) > 1}
+        begun = {t[:n] for t in ids for n in range(len(t) + 1)}
+        return {t: tuple(entries[e] for at in range(len(t) - 1) if (e := t[at:]) in entries) for t in begun}
+
+    def _stays(self, before: str, piece: str, after: dict[str, bool]) -> bool:
         """Whether the piece can follow: merged together, both stay as they are."""
-        known = self.apart.get(key := f"{before} {piece}")  # no piece holds a space
-        if known is None:
-            known = self._merged(before + piece) == ([before, piece] if before else [piece])
-            if len(self.apart) < CACHED_PAIRS:  # those met first stay
-                self.apart[key] = known
-        return known
-
-    def _walk(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
+        stays = self._merged(before + piece) == ([before, piece] if before else [piece])
+        if self.pairs < CACHED_PAIRS:  # those met first stay
+            after[before] = stays
+            self.pairs += 1
+        return stays
+
+    def _walk(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """The pieces of each of the sorted words."""
-        model, previous = self.model, ""
-        ids, scores, longest = model.ids, model.scores, model.longest
-        last, total = [""], [0.0]  # for each prefix: its last piece; the score of its best path
+        model, ending, previous = self.model, self.ending, ""
+        scores, longest = model.scores, model.longest
+        last = [""]  # for each prefix: its last piece
+        begun = [""]  # its longest end that begins a piece (ranked merges)
+        total = [0.0]  # the score of its best path (unigram)
         for word in words:
-            same, most = 0, min(len(word), len(previous))
-            while same < most and word[same] == previous[same]:
+            same = 0
+            for a, b in zip(word, previous):
+                if a != b:
+                    break
                 same += 1
-            del last[same + 1 :], total[same + 1 :]
-            for end in range(same + 1, len(word) + 1):
-                if model.merges:
-                    for start in range(max(0, end - longest), end):
-                        piece = word[start:end]
-                        if (piece in ids or start == end - 1) and self._stays(last[start], piece):
+            del last[same + 1 :], begun[same + 1 :], total[same + 1 :]
+            if model.merges:
+                state, end = begun[same], same
+                for letter in word[same:]:
+                    end += 1
+                    state += letter
+                    while (fitting := ending.get(state)) is None:
+                        state = state[1:]
+                    for piece, length, after in fitting:
+                        before = last[end - length]
+                        if (stays := after.get(before)) is None:
+                            stays = self._stays(before, piece, after)
+                        if stays:
                             break
+                    else:
+                        piece = letter
                     last.append(piece)
-                    total.append(0.0)
-                else:
+                    begun.append(state)
+            else:
+                for end in range(same + 1, len(word) + 1):
                     best, chosen = None, word[end - 1]
                     for start in range(max(0, end - longest), end):
                         piece = word[start:end]
@@ -131,43 +175,35 @@ class Encoder:
                     total.append(best)
             pieces, at = [], len(word)
             while at:
-                pieces.append(last[at])
-                at -= len(last[at])
-            yield word, pieces[::-1]
+                pieces.append(piece := last[at])
+                at -= len(piece)
+            pieces.reverse()
+            yield word, pieces
             previous = word
 
-    def _ids(self, pieces: list[str]) -> bytes:
-        out = array("i")
-        model = self.model
-        for p in pieces:
-            if (i := model.ids.get(p)) is not None:
-                out.append(i)
-            elif model.bytes:
-                out.extend(model.bytes[b] for b in p.encode("utf-8", "surrogatepass"))
-            else:
-                out.append(model.unknown)
-        return out.tobytes()
-
     def _distinct(self, units: list[bytes]) -> list[bytes]:
-        """Ids of the distinct marked words, in which spaces stand for marks."""
-        marked = {u.decode("utf-8", "surrogatepass").replace(" ", MARK): u for u in units if u not in self.words}
-        fresh = {marked[word]: self._ids(pieces) for word, pieces in self._walk(sorted(marked))}
-        if len(self.words) + len(fresh) <= CACHED_WORDS:  # the words met first stay; others are encoded each time
-            self.words.update(fresh)
-            return list(map(self.words.__getitem__, units))
-        known = self.words.get
+        """Ids of the distinct words."""
+        words, packed = self.words, self.packed.__getitem__
+        new = sorted(u for u in units if u not in words)
+        found = self._walk(u.decode("utf-8", "surrogatepass") for u in new)
+        fresh = {u: b"".join(map(packed, pieces)) for u, (_, pieces) in zip(new, found)}
+        if len(words) + len(fresh) <= CACHED_WORDS:  # the words met first stay; others are encoded each time
+            words.update(fresh)
+            return list(map(words.__getitem__, units))
+        known = words.get
         return [fresh[u] if (x := known(u)) is None else x for u in units]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's begin and the last end."""
         texts = pc.replace_substring(texts.cast(pa.large_string()), MARK, " ")  # both are marks
         data, ends = text_bytes(texts)
-        some = np.flatnonzero(np.diff(ends))
-        data = np.insert(data, ends[some], 32)  # a text begins with a mark, unless it is empty
+        filled = np.flatnonzero(np.diff(ends))
+        data = np.insert(data, ends[filled], 32)  # a text begins with a mark, unless it is empty
         ends = ends + np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
-        cut = np.zeros(len(data) + 1, bool)
-        cut[:-1] = data == 32
-        cut[1:-1] &= data[:-1] != 32
+        cut = np.ones(len(data) + 1, bool)
+        for at in range(0, len(data) - 1, SLICE):  # a text may be longer
+            some = data[at : at + SLICE + 1]
+            cut[at + 1 : at + len(some)] = ~self.model.joined[some[:-1], some[1:]]
         cut[ends] = True
         units = np.flatnonzero(cut)
         distinct, place = parts_between(data, units)

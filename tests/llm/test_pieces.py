@@ -38,6 +38,51 @@ def test_random_words(library, encoder):
     assert [x.tolist() for x in encoder.lists(letters)] == library.encode(letters)
 
 
+def test_words_are_cut_where_no_piece_reaches(library):
+    encoder = P.Encoder(PATH)
+    encoder.words.clear()
+    text = "stone, stone. stone; stone$$$ (stone)"
+    assert encoder.lists([text])[0].tolist() == library.encode(text)
+    assert [w for w in encoder.words if b"stone" in w and len(w) > 6] == []  # one word, whatever stands after it
+    joined, plain = encoder.model.joined, [t.encode() for t in encoder.model.ids]
+    assert all(joined[a, b] for t in plain for a, b in zip(t, t[1:]))
+    assert not joined[ord("e"), ord(" ")] and not joined.all()
+
+
+def test_pieces_are_not_looked_for_by_length():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, key, default=None):
+            Counted.asked += 1
+            return super().get(key, default)
+
+        def __contains__(self, key):
+            Counted.asked += 1
+            return super().__contains__(key)
+
+    encoder = P.Encoder(PATH)
+    for table in ("ids", "scores"):
+        setattr(encoder.model, table, Counted(getattr(encoder.model, table)))
+    encoder.ending = Counted(encoder.ending)
+    rng = random.Random(2)
+    words = sorted({" " + "".join(rng.choice("abeinst") for _ in range(12)) for _ in range(3000)})
+    list(encoder._walk(words))  # pairs of pieces are known after it
+    Counted.asked = 0
+    list(encoder._walk(words))
+    assert Counted.asked < 3 * sum(map(len, words))
+
+
+@pytest.mark.parametrize("size", [P.SLICE, 50])
+def test_glued_pieces_and_characters(library, encoder, monkeypatch, size):
+    monkeypatch.setattr(P, "SLICE", size)
+    rng = random.Random(3)
+    pieces = [library.id_to_piece(i).replace("▁", " ") for i in range(259, 32000)]
+    letters = sorted(set("".join(pieces)))
+    texts = ["".join(rng.choice(kind) for _ in range(rng.randrange(1, 30))) for kind in (pieces, letters, ".,;:!?#$%*-_=/()'\" \n\tab01", "é日本😀ßñ .,a") for _ in range(2000)]
+    assert [x.tolist() for x in encoder.lists(texts)] == library.encode(texts)
+
+
 def test_unigram_path_is_the_best_path(monkeypatch):
     encoder = P.Encoder(PATH)
     rng = random.Random(1)
