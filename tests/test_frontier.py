@@ -1,6 +1,7 @@
 """Probing by rounds against a walk of one listing after another."""
 
 import random
+import re
 from urllib.parse import urljoin
 
 from pyspark.sql import functions as F
@@ -94,3 +95,40 @@ def test_addresses_are_joined_as_by_the_library():
     for base in ("https://h.example/ms/nc_1/", "http://h.x:80/a?b#c", "//h/x", "", "https://u@h/x", "https://H.x/y"):
         for a in ("/photo/1_2.jpg", "/a//b", "/a/../b", "/./a", "//h2/a", "/", "/a?b#c", "a/b", "https://z/x", "/a;b/", "/-x/.y", ""):
             assert pages.X.joined(base, a) == urljoin(base, a), (base, a)
+
+
+PLAIN = '<div style="a:url(/photo/1.jpg)"><img src="/photo/2.jpg" data-src="/x/logo.png"/><a href="/nc_1/photo/">x</a><img srcset="/photo/3.webp 2x, /photo/4.webp"><br></div> /media/5'
+
+
+def test_a_plain_page_is_not_parsed_for_its_photos(monkeypatch):
+    def parsed(html):
+        raise AssertionError("parsed")
+
+    want = [f"{HOST}/photo/{n}" for n in ("1.jpg", "2.jpg", "3.webp", "4.webp")]
+    assert pages.read_page(PLAIN).media == ["/photo/1.jpg", "/photo/2.jpg", "/x/logo.png", "/photo/3.webp", "/photo/4.webp"]
+    monkeypatch.setattr(pages, "read_page", parsed)
+    assert pages.photo_urls(PLAIN, HOST + "/a/")[:4] == want
+
+
+def test_plain_tags_are_read_as_by_the_library(monkeypatch):
+    rnd = random.Random(5)
+    words = [PLAIN, "<img src=/photo/6.jpg>", "<img src='/photo/7.jpg'>", '<IMG SRC="/photo/8.jpg">', '<img src="a" src="/photo/b.png">', '<img src="/a&amp;b.jpg">', "<script>'<img src=\"/photo/c.jpg\">'</script>", "<script src=\"/api/d.js\"/>", "<!-- <img src=\"/photo/e.jpg\"> -->", "&lt;", "<title><img src=\"/photo/f.jpg\"></title>", "<iframe src=\"/g/\">", "<tr><th>k</th><td>v<br/></td></tr>", "<", ">", '"', "<p", "</p", '<img src="/photo/h.jpg', "<dl><dt>a</dt><dd>b</dd></dl>"]
+    made = ["".join(rnd.choices(words, k=rnd.randint(0, 6))) for _ in range(400)]
+    told = lambda: [[vars(pages.read_page(h))[k] for k in ("media", "scripts", "links", "rows", "lists", "texts", "next")] for h in made]
+    ours, shown = told(), [pages.media(h) for h in made]
+    monkeypatch.setattr(pages, "_START", re.compile("(?!)"))
+    assert ours == told()
+    assert shown == [x[0] for x in ours]
+    assert any(pages._PLAIN_PAGE.fullmatch(h) for h in made) and not all(pages._PLAIN_PAGE.fullmatch(h) for h in made)
+
+
+def test_a_shared_page_names_to_each_listing_its_own_addresses(spark):
+    shared = "".join(f'<script src="{HOST}/e/{n}.js"></script>' for n in (31, 32, 33))
+    site = {f"{HOST}/api/s.json": shared, **{f"{HOST}/e/{n}.js": f'<img src="/photo/{n}.jpg">' for n in (31, 32, 33)}}
+    stored = spark.createDataFrame(list(site.items()), "url string, html string")
+    # the guesses are first, so the shared page is the seventh
+    listings = [(f"{HOST}/ms/chuko/nc_{n}/", f'<script src="{HOST}/api/s.json"></script>') for n in (31, 32)]
+    got = frontier.collect_photos(spark.createDataFrame(listings, "url string, html string"), lambda urls: urls.join(stored, "url"), 8).collect()
+    assert sorted((r.source_id, r.photos, r.visited[6:]) for r in got) == [(str(n), [f"{HOST}/photo/{n}.jpg"], [f"{HOST}/api/s.json", f"{HOST}/e/{n}.js"]) for n in (31, 32)]
+    for r in got:
+        assert (r.photos, r.visited) == walk(r.url, dict(listings)[r.url], r.source_id, site, 8)
