@@ -128,7 +128,8 @@ def test_a_shared_page_names_to_each_listing_its_own_addresses(spark):
     stored = spark.createDataFrame(list(site.items()), "url string, html string")
     # the guesses are first, so the shared page is the seventh
     listings = [(f"{HOST}/ms/chuko/nc_{n}/", f'<script src="{HOST}/api/s.json"></script>') for n in (31, 32)]
-    got = frontier.collect_photos(spark.createDataFrame(listings, "url string, html string"), lambda urls: urls.join(stored, "url"), 8).collect()
+    unasked = spark.createDataFrame([(None, "<p>x</p>"), (HOST + "/y", PLAIN)], "url string, html string")
+    got = frontier.collect_photos(spark.createDataFrame(listings, "url string, html string"), lambda urls: urls.join(stored, "url").unionByName(unasked), 8).collect()
     assert sorted((r.source_id, r.photos, r.visited[6:]) for r in got) == [(str(n), [f"{HOST}/photo/{n}.jpg"], [f"{HOST}/api/s.json", f"{HOST}/e/{n}.js"]) for n in (31, 32)]
     for r in got:
         assert (r.photos, r.visited) == walk(r.url, dict(listings)[r.url], r.source_id, site, 8)
